@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm.rules import QUERY as _OP5, SQL as _OP5_SQL
+from gridspark.llm import rules, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_rule_ledger": _OP5}
+    return {"op1_rans_tokens": tokens.QUERY, "op5_rule_ledger": rules.QUERY}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rule_ledger": _OP5_SQL}
+    return {"op5_rule_ledger": rules.SQL}
