@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import rules, tokens
+from gridspark.llm import packing, rules, shards, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_rans_tokens": tokens.QUERY, "op5_rule_ledger": rules.QUERY}
+    return {
+        "op1_rans_tokens": tokens.QUERY,
+        "op3_permutation_sharding": shards.QUERY,
+        "op5_rule_ledger": rules.QUERY,
+        "op9_best_fit_packing": packing.QUERY,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rule_ledger": rules.SQL}
+    return {"op3_permutation_sharding": shards.sql(), "op5_rule_ledger": rules.SQL}
