@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import packing, rules, shards, tokens
+from gridspark.llm import packing, quality, rules, shards, tokens, toxic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_rans_tokens": tokens.QUERY,
         "op3_permutation_sharding": shards.QUERY,
+        "op4_compression_classifier": quality.QUERY,
         "op5_rule_ledger": rules.QUERY,
+        "op8_toxic_spans": toxic.QUERY,
         "op9_best_fit_packing": packing.QUERY,
     }
 

@@ -60,3 +60,48 @@ def tmp_file() -> str:
     fd, path = tempfile.mkstemp(prefix="gridspark-")
     os.close(fd)
     return path
+
+
+def held_out() -> "F.Column":
+    """Rows that no model learns from: crc32(doc_id as text) mod 5 is 0."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """At most ``per_class`` learnable texts of each label, and how many learnable labels there are.
+
+    The sample is bounded so that it fits the driver: the labels with the
+    smallest hashes of their doc_id, of texts with 1 to ``max_chars`` characters
+    (a text is taken whole or not at all).  The picked ids are broadcast: at most
+    four times ``per_class`` a label.
+    """
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).filter(~held_out())
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    picked = None
+    for k in (0, 1):
+        some = rows.filter(F.col("label") == k).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
+        picked = some if picked is None else picked.unionByName(some)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.char_length("text").between(1, max_chars))
+    found = texts.join(F.broadcast(picked), "doc_id").select("label", "text").distinct()
+    best = None
+    for k in (0, 1):
+        some = found.filter(F.col("label") == k).orderBy(F.xxhash64("text")).limit(per_class)
+        best = some if best is None else best.unionByName(some)
+    return [(r["text"], r["label"]) for r in best.collect()], counts
+
+
+def logistic(x: "np.ndarray", y: "np.ndarray", ridge: float = 1e-2) -> "np.ndarray":
+    """Weights of a logistic regression (the last is the constant) by Newton's method."""
+    import numpy as np
+
+    a = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(a.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        g = a.T @ (p - y) + ridge * w
+        h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge * np.eye(len(w))
+        d = np.linalg.solve(h, g)
+        w -= np.clip(d, -5, 5)
+        if np.abs(d).max() < 1e-8:
+            break
+    return w
