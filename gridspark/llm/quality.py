@@ -3,8 +3,8 @@
 Two zstandard dictionaries are built from good and from bad labelled text.  A
 text is compressed with either, in blocks of a fixed length so that the
 dictionary and not the text's own past decides; the difference of the two sizes
-over the smaller one is turned into a probability by a logistic curve that is
-fitted to labelled texts which neither dictionary has seen.
+over the smaller one, and how far the text shrinks at all, become a probability
+by a logistic curve fitted to labelled texts which neither dictionary has seen.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import held_out, ids_and_text, labelled_sample, logistic, table
 
-BLOCK = 2048
+BLOCK = 512
 LEVEL = 3
 DICT_BYTES = 112_640
 #: Bounds of the training sample: texts of each label, and characters of a text.
@@ -33,8 +33,7 @@ THRESHOLD = 0.3
 class Model:
     good: bytes
     bad: bytes
-    slope: float
-    constant: float
+    curve: np.ndarray | None  # weights of the three measures and the constant; None: not trained
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -56,14 +55,14 @@ class Sizes:
             known.precompute_compress(level=LEVEL)
             self.by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False))
 
-    def difference(self, text: str) -> float:
-        """(bad - good) / the smaller; 0 for an empty text; higher: more like good text."""
+    def measures(self, text: str) -> tuple[float, float, float]:
+        """(bad - good) / the smaller, the smaller / the text's bytes, (bad - good) / the text's bytes; an empty text: 0, 1, 0."""
         raw = text.encode("utf-8", "surrogatepass")
         if not raw:
-            return 0.0
+            return 0.0, 1.0, 0.0
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
         good, bad = (sum(len(c.compress(b)) for b in blocks) for c in self.by)
-        return (bad - good) / min(good, bad)
+        return (bad - good) / min(good, bad), min(good, bad) / len(raw), (bad - good) / len(raw)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -75,15 +74,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         halves[seen[y] % 2].append((text, y))
         seen[y] += 1
     if min(seen) < 2:
-        return Model(b"", b"", 0.0, 0.0)
+        return Model(b"", b"", None)
     good, bad = (_dictionary([t.encode("utf-8", "surrogatepass") for t, y in halves[0] if y == k]) for k in (1, 0))
     sizes = Sizes(good, bad)
-    x = np.array([sizes.difference(t) for t, _ in halves[1]])
+    x = np.array([sizes.measures(t) for t, _ in halves[1]])
     y = np.array([y for _, y in halves[1]], dtype=float)
     w = logistic(x * 10, y)
     # the sample holds as many of either label; the constant returns to the labels' own shares
     shift = np.log(max(counts.get(1, 0), 1) / max(counts.get(0, 0), 1)) - np.log(max(y.sum(), 1) / max((1 - y).sum(), 1))
-    return Model(good, bad, float(w[0] * 10), float(w[1] + shift))
+    return Model(good, bad, np.append(w[:-1] * 10, w[-1] + shift))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -101,10 +100,11 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(model.good, model.bad) if model.slope else None
+        curve = np.zeros(4) if model.curve is None else model.curve
+        sizes = None if model.curve is None else Sizes(model.good, model.bad)
         for b in batches:
-            x = np.array([sizes.difference(t or "") if sizes else 0.0 for t in b["text"].to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(model.slope * x + model.constant, -30, 30)))
+            x = np.array([sizes.measures(t or "") if sizes else (0.0, 0.0, 0.0) for t in b["text"].to_pylist()]).reshape(-1, 3)
+            p = 1 / (1 + np.exp(-np.clip(x @ curve[:3] + curve[3], -30, 30)))
             yield pa.RecordBatch.from_arrays([*[b[n].cast(arrow.field(n).type) for n in names], pa.array(p, pa.float64())], schema=arrow)
 
     return d.mapInArrow(run, out)
