@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import packing, quality, rules, shards, tokens, toxic
+from gridspark.llm import html, jaccard, packing, quality, rules, shards, tokens, toxic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,8 @@ def queries() -> dict[str, Query]:
         "op3_permutation_sharding": shards.QUERY,
         "op4_compression_classifier": quality.QUERY,
         "op5_rule_ledger": rules.QUERY,
+        "op6_jaccard_join": jaccard.QUERY,
+        "op7_boosted_html": html.QUERY,
         "op8_toxic_spans": toxic.QUERY,
         "op9_best_fit_packing": packing.QUERY,
     }
