@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import html, jaccard, packing, quality, rules, shards, tokens, toxic
+from gridspark.llm import decontaminate, html, jaccard, packing, quality, rules, shards, tokens, toxic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op7_boosted_html": html.QUERY,
         "op8_toxic_spans": toxic.QUERY,
         "op9_best_fit_packing": packing.QUERY,
+        "op10_latent_decontamination": decontaminate.QUERY,
     }
 
 

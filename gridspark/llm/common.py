@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +65,7 @@ def tmp_file() -> str:
     return path
 
 
-def held_out() -> "F.Column":
+def held_out() -> F.Column:
     """Rows that no model learns from: crc32(doc_id as text) mod 5 is 0."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
@@ -90,10 +93,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return [(r["text"], r["label"]) for r in best.collect()], counts
 
 
-def logistic(x: "np.ndarray", y: "np.ndarray", ridge: float = 1e-2) -> "np.ndarray":
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weights of a logistic regression (the last is the constant) by Newton's method."""
-    import numpy as np
-
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     for _ in range(50):
@@ -105,3 +106,56 @@ def logistic(x: "np.ndarray", y: "np.ndarray", ridge: float = 1e-2) -> "np.ndarr
         if np.abs(d).max() < 1e-8:
             break
     return w
+
+
+_RNG = np.random.default_rng(20)
+_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes between words: the six ASCII separators; or all ASCII but letters and digits.
+SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(texts: list[str], gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of the texts in a row (A-Z lowered), and where each text's begin (one more than texts).
+
+    Works on the bytes of all texts at once: a word's hash is the sum of its
+    byte values times powers of an odd base.
+    """
+    raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    data = np.frombuffer(b" ".join([*raw, b""]), dtype=np.uint8)
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    gap = gaps[data]
+    if gap.all():
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+    word = ~gap
+    first = np.flatnonzero(word & np.concatenate([[True], gap[:-1]]))
+    after = np.flatnonzero(gap & np.concatenate([[False], word[:-1]]))
+    length = after - first
+    place = np.arange(len(data)) - np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(data)]])))
+    powers = np.full(int(length.max()) + 1, _BASE, dtype=np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    value = np.where(word, _BYTE[data] * powers[np.where(word, place, 0)], np.uint64(0))
+    run = np.cumsum(value, dtype=np.uint64)
+    h = mix(run[after - 1] - run[first] + value[first] + length.astype(np.uint64))
+    per = np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(texts))
+    return h, np.concatenate([[0], np.cumsum(per)])
+
+
+def split(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about ``most`` characters."""
+    at, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t)
+        if n >= most:
+            yield at, i + 1
+            at, n = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
