@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import decontaminate, html, jaccard, packing, quality, rules, shards, tokens, toxic
+from gridspark.llm import decontaminate, html, jaccard, packing, quality, rules, shards, suffixes, tokens, toxic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_rans_tokens": tokens.QUERY,
+        "op2_suffix_dedup": suffixes.QUERY,
         "op3_permutation_sharding": shards.QUERY,
         "op4_compression_classifier": quality.QUERY,
         "op5_rule_ledger": rules.QUERY,
