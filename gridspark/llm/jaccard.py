@@ -1,10 +1,10 @@
 """Exact Jaccard join of word shingles that skips what set relations already answer.
 
 Equal sets are one set.  Each set's shingles are put in one order, rare buckets
-first, and the first tenth of them is indexed: two sets that link share one of
-these.  Sets meet in blocks of bounded size (by their most shared indexed
-shingle and their size), and two blocks are compared only if they share an indexed
-shingle at positions from which the threshold can still be reached.  A block
+first, and the first seventh of them is indexed: two sets that link share a known
+number of these.  Sets meet in blocks of bounded size (by their most shared indexed
+shingle and their size), and two blocks are compared only if they share so many
+indexed shingles, from positions at which the threshold can still be reached.  A block
 is first compared with itself and with the first block of its group; a block
 pair whose sets are by then all in one component is never compared: its answer
 follows from sets that are already known to be alike.  A comparison is one matrix
@@ -19,37 +19,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import ids_and_text, n_parts, table, written
+from gridspark.llm.common import ids_and_text, mix, n_parts, split, table, word_hashes, written
 
 SHINGLE = 3
 PERCENT = 90
+#: Indexed beyond the shortest prefix: one key in so many; linked sets then share as many more.
+EXTRA = 32
 BLOCK = 128
 #: Buckets of the shingle counts that give the order; any order gives the same links.
 BUCKETS_LOG2 = 20
 CHUNKS = 64
 #: Ids up to which the candidates are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-_RNG = np.random.default_rng(20)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_WAYS = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, _BASE, dtype=np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
-
-
+_WAYS = np.random.default_rng(21).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -58,26 +43,11 @@ def shingle_hashes(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
     Words are runs of anything but the six ASCII separators, with A-Z lowered; fewer
     words than ``size`` make one shingle, none make none.  Works on the bytes of all texts at once.
     """
-    raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = np.frombuffer(b" ".join([*raw, b""]), dtype=np.uint8)
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
-    if gap.all():
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
-    word = ~gap
-    first = np.flatnonzero(word & np.concatenate([[True], gap[:-1]]))
-    after = np.flatnonzero(gap & np.concatenate([[False], word[:-1]]))
-    # a word's hash: sum of byte values times powers of an odd base, brought back to power 0
-    n_words = len(first)
-    length = after - first
-    place = np.arange(len(data)) - np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(data)]])))
-    powers = _powers(int(length.max()) + 1)
-    value = np.where(word, _BYTE[data] * powers[np.where(word, place, 0)], np.uint64(0))
-    run = np.cumsum(value, dtype=np.uint64)
-    h = _mix(run[after - 1] - run[first] + value[first] + length.astype(np.uint64))
-    doc = np.searchsorted(ends, first, side="right")
-    per = np.bincount(doc, minlength=len(texts))
-    starts = np.concatenate([[0], np.cumsum(per)])
+    h, starts = word_hashes(texts)
+    per, n_words = np.diff(starts), len(h)
+    if not n_words:
+        return h, starts
+    doc = np.repeat(np.arange(len(texts)), per)
     whole = np.zeros(n_words, dtype=np.uint64)
     for k in range(size):
         whole[: n_words - k] += h[k:] * _WAYS[k]
@@ -89,19 +59,7 @@ def shingle_hashes(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
         whole[s] = (h[s : s + per[i]] * _WAYS[8 : 8 + per[i]]).sum(dtype=np.uint64) + np.uint64(per[i])
         real[s] = True
     counts = np.bincount(doc[real], minlength=len(texts))
-    return _mix(whole[real]), np.concatenate([[0], np.cumsum(counts)])
-
-
-def _split(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of texts with about ``most`` characters."""
-    at, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= most:
-            yield at, i + 1
-            at, n = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    return mix(whole[real]), np.concatenate([[0], np.cumsum(counts)])
 
 
 def bucket_counts(docs: DataFrame) -> np.ndarray:
@@ -112,7 +70,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(1 << BUCKETS_LOG2, dtype=np.int64)
         for b in batches:
             texts = b["text"].to_pylist()
-            for a, z in _split(texts):
+            for a, z in split(texts):
                 h, _ = shingle_hashes(texts[a:z])
                 total += np.bincount((h >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64), minlength=len(total))
         if total.any():
@@ -160,7 +118,7 @@ def sets(docs: DataFrame, classes: np.ndarray, whole: bool) -> DataFrame:
         by = held.value
         for b in batches:
             texts, ids = b["text"].to_pylist(), b["doc_id"].to_pylist()
-            for a, z in _split(texts):
+            for a, z in split(texts):
                 h, at = shingle_hashes(texts[a:z])
                 n, sig, keys = [], [], []
                 for i in range(z - a):
@@ -175,7 +133,13 @@ def sets(docs: DataFrame, classes: np.ndarray, whole: bool) -> DataFrame:
 
 
 def prefix_length(n: int) -> int:
-    return n + (-PERCENT * n // 100) + 1 if n else 0
+    """Of a set of n, the indexed keys: two sets that link share at least ``needed`` of these."""
+    return min(n, n + (-PERCENT * n // 100) + 1 + n // EXTRA) if n else 0
+
+
+def needed(n: Column) -> Column:
+    """Indexed keys that a set of n shares with any set that it links with; that set has at least nine tenths of n."""
+    return 1 + F.floor(F.ceil(n * PERCENT / 100) / EXTRA)
 
 
 def linked(x: int, y: int, both: int) -> bool:
@@ -277,8 +241,12 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     reps = written(base.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")))
     own = base.filter("n > 0").join(reps, "sig").filter("doc_id = rep").groupBy("doc_id", "n").agg(F.first("keys").alias("keys"))
     posts = own.select("doc_id", "n", F.posexplode("keys").alias("pos", "key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    posts = written(posts.join(shared, "key"))
+    # keys of one set alone lead nowhere; nor do sets that share fewer keys than a link needs
+    keys = written(own.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
+    posts = written(posts.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "key"))
+    for last in (False, True):
+        posts = posts.join(posts.groupBy("doc_id").agg(F.count("*").alias("m"), F.first("n").alias("n_")).filter(F.col("m") >= needed(F.col("n_"))).select("doc_id"), "doc_id", "left_semi")
+        posts = written(posts) if last else posts.join(posts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key")
     # a set's home: the key that most sets share; blocks by home and size, dealt evenly
     home = posts.groupBy("doc_id", "n").agg(F.max_by("key", F.struct(F.col("c"), -F.col("key"))).alias("home"))
     home = written(home.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")))
@@ -307,7 +275,9 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = (F.col("hi1") * 100 >= F.col("lo2") * PERCENT) & (F.col("hi2") * 100 >= F.col("lo1") * PERCENT)
     # blocks all of whose sets are in one component need no further comparison with one another
     one = dealt.join(known, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).groupBy("block").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"))
-    rest = x.join(y, "key").filter((F.col("block1") < F.col("block2")) & reach & sizes).select(F.col("block1").alias("b1"), F.col("block2").alias("b2")).distinct()
+    rest = x.join(y, "key").filter((F.col("block1") < F.col("block2")) & sizes).groupBy(F.col("block1").alias("b1"), F.col("block2").alias("b2"))
+    # at the first key that two linked sets share the threshold is in reach; further keys only count
+    rest = rest.agg(F.bool_or(reach).alias("reach"), F.count("*").alias("m"), F.min(F.least("lo1", "lo2")).alias("lo")).filter(F.col("reach") & (F.col("m") >= needed(F.col("lo")))).select("b1", "b2")
     rest = rest.join(done, ["b1", "b2"], "left_anti")
     c1, c2 = (one.select(F.col("block").alias(f"b{k}"), F.col("c_lo").alias(f"lo{k}"), F.col("c_hi").alias(f"hi{k}")) for k in (1, 2))
     rest = rest.join(c1, "b1").join(c2, "b2").filter("lo1 != hi1 OR lo2 != hi2 OR lo1 != lo2").select("b1", "b2")
