@@ -1,7 +1,7 @@
 """Exact Jaccard join of word shingles that skips what set relations already answer.
 
 Equal sets are one set.  Each set's shingles are put in one order, rare buckets
-first, and the first seventh of them is indexed: two sets that link share a known
+first, and the first of them are indexed (a seventh at 90 percent, a quarter at 80): two sets that link share a known
 number of these.  Sets meet in blocks of bounded size (by their most shared indexed
 shingle and their size), and two blocks are compared only if they share so many
 indexed shingles, from positions at which the threshold can still be reached.  A block
@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import ids_and_text, mix, n_parts, split, table, word_hashes, written
 
+#: Words of a shingle and percent of two linked sets' union that they share: in the query, and in the pipeline's stage.
 SHINGLE = 3
 PERCENT = 90
+STAGE_SHINGLE = 5
+STAGE_PERCENT = 80
 #: Indexed beyond the shortest prefix: one key in so many; linked sets then share as many more.
 EXTRA = 32
 BLOCK = 128
@@ -62,7 +65,7 @@ def shingle_hashes(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
     return mix(whole[real]), np.concatenate([[0], np.cumsum(counts)])
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
+def bucket_counts(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """How many shingles of all documents fall in each bucket; the table's size is fixed."""
     width = (1 << BUCKETS_LOG2) // CHUNKS
 
@@ -71,7 +74,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
         for b in batches:
             texts = b["text"].to_pylist()
             for a, z in split(texts):
-                h, _ = shingle_hashes(texts[a:z])
+                h, _ = shingle_hashes(texts[a:z], shingle)
                 total += np.bincount((h >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64), minlength=len(total))
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([total[i * width : (i + 1) * width].astype("<i4").tobytes() for i in range(CHUNKS)], pa.binary())], names=["chunk", "counts"])
@@ -110,7 +113,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def sets(docs: DataFrame, classes: np.ndarray, whole: bool) -> DataFrame:
+def sets(docs: DataFrame, classes: np.ndarray, whole: bool, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (distinct shingles), sig (hash of the set) and keys: the indexed ones, or if ``whole`` all of them, six bytes each."""
     held = docs.sparkSession.sparkContext.broadcast(classes)
 
@@ -119,31 +122,31 @@ def sets(docs: DataFrame, classes: np.ndarray, whole: bool) -> DataFrame:
         for b in batches:
             texts, ids = b["text"].to_pylist(), b["doc_id"].to_pylist()
             for a, z in split(texts):
-                h, at = shingle_hashes(texts[a:z])
+                h, at = shingle_hashes(texts[a:z], shingle)
                 n, sig, keys = [], [], []
                 for i in range(z - a):
                     own = np.unique(h[at[i] : at[i + 1]])
                     n.append(len(own))
                     sig.append(xxhash.xxh3_128_digest(own.tobytes()))
                     k = np.sort(_keys(own, by))
-                    keys.append(_packed(k) if whole else k[: prefix_length(len(k))].astype(np.int64))
+                    keys.append(_packed(k) if whole else k[: prefix_length(len(k), percent)].astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:z], pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.binary() if whole else pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "keys"])
 
     return ids_and_text(docs).mapInArrow(run, f"doc_id long, n long, sig binary, keys {'binary' if whole else 'array<long>'}")
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n: int, percent: int = PERCENT) -> int:
     """Of a set of n, the indexed keys: two sets that link share at least ``needed`` of these."""
-    return min(n, n + (-PERCENT * n // 100) + 1 + n // EXTRA) if n else 0
+    return min(n, n + (-percent * n // 100) + 1 + n // EXTRA) if n else 0
 
 
-def needed(n: Column) -> Column:
-    """Indexed keys that a set of n shares with any set that it links with; that set has at least nine tenths of n."""
-    return 1 + F.floor(F.ceil(n * PERCENT / 100) / EXTRA)
+def needed(n: Column, percent: int = PERCENT) -> Column:
+    """Indexed keys that a set of n shares with any set that it links with; that set has at least ``percent`` of n."""
+    return 1 + F.floor(F.ceil(n * percent / 100) / EXTRA)
 
 
-def linked(x: int, y: int, both: int) -> bool:
-    return 100 * both >= PERCENT * (x + y - both)
+def linked(x: int, y: int, both: int, percent: int = PERCENT) -> bool:
+    return 100 * both >= percent * (x + y - both)
 
 
 def _groups(mask: np.ndarray) -> list[np.ndarray]:
@@ -161,7 +164,7 @@ def _groups(mask: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def compare(ids: list[int], raw: list[bytes]) -> list[tuple[int, int]]:
+def compare(ids: list[int], raw: list[bytes], percent: int = PERCENT) -> list[tuple[int, int]]:
     """(doc, smallest doc of its group) for the groups that links make among these sets."""
     keys = [_unpacked(r) for r in raw]
     n = np.array([len(k) for k in keys])
@@ -182,7 +185,7 @@ def compare(ids: list[int], raw: list[bytes]) -> list[tuple[int, int]]:
         x[rows[lo:hi], columns[lo:hi] - a] = 1
         both += x @ x.T
     both = both.astype(np.int64)
-    mask = 100 * both >= PERCENT * (n[:, None] + n[None, :] - both)
+    mask = 100 * both >= percent * (n[:, None] + n[None, :] - both)
     np.fill_diagonal(mask, False)
     out = []
     for g in _groups(mask):
@@ -191,7 +194,7 @@ def compare(ids: list[int], raw: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-def _compare_blocks(pairs: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
+def _compare_blocks(pairs: DataFrame, blocks: DataFrame, parts: int, percent: int) -> DataFrame:
     """Links (a, b) among the sets of each block pair (b1, b2)."""
     sides = pairs.select(F.xxhash64("b1", "b2").alias("pid"), F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
     rows = sides.join(blocks, "block").select("pid", "doc_id", "keys").repartition(parts, "pid").sortWithinPartitions("pid")
@@ -203,12 +206,12 @@ def _compare_blocks(pairs: DataFrame, blocks: DataFrame, parts: int) -> DataFram
             for p, d, k in zip(b["pid"].to_pylist(), b["doc_id"].to_pylist(), b["keys"].to_pylist(), strict=True):
                 if p != pid:
                     if len(ids) > 1:
-                        out += compare(ids, keys)
+                        out += compare(ids, keys, percent)
                     pid, ids, keys = p, [], []
                 ids.append(d)
                 keys.append(k)
         if len(ids) > 1:
-            out += compare(ids, keys)
+            out += compare(ids, keys, percent)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
@@ -228,7 +231,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = now.select("node", "l")
 
 
-def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, block: int = BLOCK, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     Texts that are null, empty or without words have no shingles and stay alone;
@@ -236,8 +239,8 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = n_parts(spark)
-    classes = order_classes(bucket_counts(docs))
-    base = written(sets(docs, classes, whole=False))
+    classes = order_classes(bucket_counts(docs, shingle))
+    base = written(sets(docs, classes, False, shingle, percent))
     reps = written(base.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")))
     own = base.filter("n > 0").join(reps, "sig").filter("doc_id = rep").groupBy("doc_id", "n").agg(F.first("keys").alias("keys"))
     posts = own.select("doc_id", "n", F.posexplode("keys").alias("pos", "key"))
@@ -245,18 +248,18 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     keys = written(own.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
     posts = written(posts.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "key"))
     for last in (False, True):
-        posts = posts.join(posts.groupBy("doc_id").agg(F.count("*").alias("m"), F.first("n").alias("n_")).filter(F.col("m") >= needed(F.col("n_"))).select("doc_id"), "doc_id", "left_semi")
+        posts = posts.join(posts.groupBy("doc_id").agg(F.count("*").alias("m"), F.first("n").alias("n_")).filter(F.col("m") >= needed(F.col("n_"), percent)).select("doc_id"), "doc_id", "left_semi")
         posts = written(posts) if last else posts.join(posts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key")
     # a set's home: the key that most sets share; blocks by home and size, dealt evenly
     home = posts.groupBy("doc_id", "n").agg(F.max_by("key", F.struct(F.col("c"), -F.col("key"))).alias("home"))
-    home = written(home.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")))
+    home = written(home.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")))
     many = home.groupBy("home", "size").agg(F.count("*").alias("c"))
     dealt = home.join(many, ["home", "size"]).select("doc_id", "n", "home", F.xxhash64("home", "size", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / block))).alias("block"))
     dealt = written(dealt)
     n_ids = dealt.count()
     small = dealt.select("doc_id", "block")
     whole = ids_and_text(docs).join(F.broadcast(small) if n_ids <= BROADCAST_IDS else small, "doc_id")
-    keys = sets(whole.select("doc_id", "text"), classes, whole=True).select("doc_id", "keys")
+    keys = sets(whole.select("doc_id", "text"), classes, True, shingle, percent).select("doc_id", "keys")
     if n_ids <= BROADCAST_IDS:
         blocks = keys.join(F.broadcast(small), "doc_id")
     else:
@@ -267,21 +270,21 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     star = dealt.select("home", "block").distinct().join(first_of, "home").select(F.least("block", "b0").alias("b1"), F.greatest("block", "b0").alias("b2"))
     alone = dealt.groupBy("block").count().filter("count > 1").select(F.col("block").alias("b1"), F.col("block").alias("b2"))
     done = written(star.filter("b1 != b2").unionByName(alone).distinct())
-    links = written(_compare_blocks(done, blocks, parts))
+    links = written(_compare_blocks(done, blocks, parts, percent))
     known = components(links)
     at = posts.join(dealt.select("doc_id", "block"), "doc_id").groupBy("key", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
     x, y = at.select("key", *[F.col(c).alias(f"{c}1") for c in ("block", "lo", "hi", "pos")]), at.select("key", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "pos")])
-    reach = F.least(F.col("hi1") - F.col("pos1"), F.col("hi2") - F.col("pos2")) * (100 + PERCENT) >= PERCENT * (F.col("lo1") + F.col("lo2"))
-    sizes = (F.col("hi1") * 100 >= F.col("lo2") * PERCENT) & (F.col("hi2") * 100 >= F.col("lo1") * PERCENT)
+    reach = F.least(F.col("hi1") - F.col("pos1"), F.col("hi2") - F.col("pos2")) * (100 + percent) >= percent * (F.col("lo1") + F.col("lo2"))
+    sizes = (F.col("hi1") * 100 >= F.col("lo2") * percent) & (F.col("hi2") * 100 >= F.col("lo1") * percent)
     # blocks all of whose sets are in one component need no further comparison with one another
     one = dealt.join(known, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).groupBy("block").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"))
     rest = x.join(y, "key").filter((F.col("block1") < F.col("block2")) & sizes).groupBy(F.col("block1").alias("b1"), F.col("block2").alias("b2"))
     # at the first key that two linked sets share the threshold is in reach; further keys only count
-    rest = rest.agg(F.bool_or(reach).alias("reach"), F.count("*").alias("m"), F.min(F.least("lo1", "lo2")).alias("lo")).filter(F.col("reach") & (F.col("m") >= needed(F.col("lo")))).select("b1", "b2")
+    rest = rest.agg(F.bool_or(reach).alias("reach"), F.count("*").alias("m"), F.min(F.least("lo1", "lo2")).alias("lo")).filter(F.col("reach") & (F.col("m") >= needed(F.col("lo"), percent))).select("b1", "b2")
     rest = rest.join(done, ["b1", "b2"], "left_anti")
     c1, c2 = (one.select(F.col("block").alias(f"b{k}"), F.col("c_lo").alias(f"lo{k}"), F.col("c_hi").alias(f"hi{k}")) for k in (1, 2))
     rest = rest.join(c1, "b1").join(c2, "b2").filter("lo1 != hi1 OR lo2 != hi2 OR lo1 != lo2").select("b1", "b2")
-    more = written(_compare_blocks(rest, blocks, parts))
+    more = written(_compare_blocks(rest, blocks, parts, percent))
     all_links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a != b").unionByName(more)
     found = known if more.isEmpty() else components(all_links)
     named = base.select("doc_id", "n", "sig").join(reps, "sig", "left")
@@ -294,6 +297,6 @@ def QUERY(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component; repeated rows of that doc_id once."""
-    rest = join(docs).filter("doc_id != component_id").select("doc_id").distinct()
+    rest = join(docs, shingle=STAGE_SHINGLE, percent=STAGE_PERCENT).filter("doc_id != component_id").select("doc_id").distinct()
     n = rest.count()
     return docs.join(F.broadcast(rest) if n <= BROADCAST_IDS else rest, "doc_id", "left_anti").select(*docs.columns)
