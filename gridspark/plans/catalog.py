@@ -479,14 +479,26 @@ def q_interp_conserve(spark, sf_dir):
     return r6(regrid.apply_weights(vectors(spark, sf_dir), "k", w, 4).to_frame(), "v")
 
 
+def _order_columns(lines):
+    s = lines.groupBy("l_orderkey", F.col("l_quantity").alias("x")).agg(F.avg("l_extendedprice").alias("y"))
+    t = s.select("l_orderkey").distinct().withColumn("t", F.explode(F.array(F.lit(5.0), F.lit(20.5), F.lit(40.0))))
+    return r6(regrid.interpolate_columns(s, ["l_orderkey"], "x", ["y"], t, "t"), "y")
+
+
 @query("""WITH s AS (SELECT l_orderkey, l_quantity AS x, avg(l_extendedprice) AS y FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL),
 n AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, row_number() OVER w AS k FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY x)),
 t AS (SELECT DISTINCT l_orderkey, u.t FROM s, (VALUES (5.0::DOUBLE), (20.5), (40.0)) AS u(t))
 SELECT l_orderkey, t, round(y + coalesce((y2 - y) * greatest(0.0, least(1.0, (t - x) / (x2 - x))), 0), 6) AS y FROM t JOIN n USING (l_orderkey) WHERE (t >= x OR k = 1) AND (x2 IS NULL OR t < x2)""")
 def q_interp_columns(spark, sf_dir):
-    s = load(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").groupBy("l_orderkey", F.col("l_quantity").alias("x")).agg(F.avg("l_extendedprice").alias("y"))
-    t = s.select("l_orderkey").distinct().withColumn("t", F.explode(F.array(F.lit(5.0), F.lit(20.5), F.lit(40.0))))
-    return r6(regrid.interpolate_columns(s, ["l_orderkey"], "x", ["y"], t, "t"), "y")
+    return _order_columns(load(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_quantity AS x, avg(l_extendedprice) AS y FROM lineitem GROUP BY ALL),
+n AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, row_number() OVER w AS k FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY x)),
+t AS (SELECT DISTINCT l_orderkey, u.t FROM s, (VALUES (5.0::DOUBLE), (20.5), (40.0)) AS u(t))
+SELECT l_orderkey, t, round(y + coalesce((y2 - y) * greatest(0.0, least(1.0, (t - x) / (x2 - x))), 0), 6) AS y FROM t JOIN n USING (l_orderkey) WHERE (t >= x OR k = 1) AND (x2 IS NULL OR t < x2)""")
+def q_interp_columns_all(spark, sf_dir):
+    return _order_columns(load(spark, sf_dir, "lineitem"))
 
 
 # ---------------------------------------------------------------- functions
