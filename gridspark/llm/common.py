@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,21 +20,38 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Rows that go to a Python worker at once; Spark's own 10,000 rows of long texts would fill it.
+ARROW_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    small_batches(ship(spark))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lowers the session's Arrow batches to ARROW_ROWS where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, the folder that driver and executors share.
 
-    Only where the setting is absent (tests on one machine) a temporary folder
-    of this machine serves.
+    Only where the setting is absent and all runs on one machine (tests) a
+    temporary folder of this machine serves.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='gridspark-')}"
+        if held.isDefined():
+            base = held.get()
+        elif spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+            base = f"file://{tempfile.mkdtemp(prefix='gridspark-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -58,11 +76,21 @@ def ids_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def tmp_file() -> str:
-    """A file of this task alone; the caller deletes it."""
-    fd, path = tempfile.mkstemp(prefix="gridspark-")
-    os.close(fd)
-    return path
+def trim() -> None:
+    """Gives memory that a task no longer uses back to the machine; a worker that goes on to other stages stays small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that isn't taken (Spark's names don't tell case)."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def held_out() -> F.Column:
@@ -149,7 +177,7 @@ def word_hashes(texts: list[str], gaps: np.ndarray = SPACES) -> tuple[np.ndarray
     return h, np.concatenate([[0], np.cumsum(per)])
 
 
-def split(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def split(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Runs of texts with about ``most`` characters."""
     at, n = 0, 0
     for i, t in enumerate(texts):

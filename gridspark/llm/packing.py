@@ -15,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from gridspark.llm.common import ids_and_text, table, written
+from gridspark.llm.common import fresh, ids_and_text, table, trim, written
 from gridspark.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -84,24 +85,28 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            cols: list[list[int]] = [[], [], [], [], []]
-            for doc, raw in zip(b["doc_id"].to_pylist(), enc.encode(b["text"].to_pylist()), strict=True):
-                raw = raw + end
-                n = len(raw) // 4
-                at, size = 0, n % capacity or capacity
-                piece = 0
-                while at < n:
-                    for c, v in zip(cols, (doc, piece, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)])), strict=True):
-                        c.append(v)
-                    at, size, piece = at + size, capacity, piece + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            numbers = b["doc_id"].to_pylist()
+            for first, last, ids, per in enc.encode(b["text"]):
+                raw = np.insert(ids, per[1:], np.uint32(end_id)).astype("<u4").tobytes()
+                cols: list[list[int]] = [[], [], [], [], []]
+                begin = 0
+                for doc, n in zip(numbers[first:last], (np.diff(per) + 1).tolist(), strict=True):
+                    at, size, piece = 0, n % capacity or capacity, 0
+                    while at < n:
+                        crc = zlib.crc32(raw[4 * (begin + at) : 4 * (begin + at + size)])
+                        for c, v in zip(cols, (doc, piece, at, size, crc), strict=True):
+                            c.append(v)
+                        at, size, piece = at + size, capacity, piece + 1
+                    begin += n
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
     return ids_and_text(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _rerun(number: int, last: bool, capacity: int):
+def _rerun(number: int, last: bool, capacity: int, released: str):
     """Packs one partition again; keeps its earlier places if they need fewer bins."""
 
     def rerun(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -115,40 +120,41 @@ def _rerun(number: int, last: bool, capacity: int):
         back = np.zeros(len(ids), dtype=bool)
         if not last and len(ids) > lower_bound(sizes, capacity):
             back[np.argsort(fill, kind="stable")[: max(2, int(len(ids) * RELEASED))]] = True
-        return rows.assign(released__=back[where])
+        return rows.assign(**{released: back[where]})
 
     return rerun
 
 
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
-    """Adds sequence_id and offset to rows with length (1 to capacity); all rows and columns stay.
+    """Adds sequence_id and offset to rows with length (1 to capacity); all rows and columns stay, whatever the columns' names.
 
     Full pieces need no packing.  The partitions' number follows the number of
     rows, so that none holds much more than ``part_rows``, whatever is equal among them.
     """
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    pieces = written(pieces.select(*kept))
-    full = pieces.filter(F.col("length") == capacity).select(*kept, (F.monotonically_increasing_id() + F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    part, released = fresh("part", kept), fresh("released", kept)
+    pieces = written(pieces.select(*map(_named, kept)))
+    full = pieces.filter(F.col("length") == capacity).select("*", (F.monotonically_increasing_id() + F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity)
     n = rest.count()
     parts = max(1, -(-n // part_rows))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in kept], F.monotonically_increasing_id()), F.lit(parts))
-    todo = rest.select(*kept, F.lit(-1).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), spread.cast("long").alias("part__"))
-    schema = todo.schema.simpleString()[7:-1].replace(":", " ") + ", released__ boolean"
-    done = [full]
+    spread = F.pmod(F.xxhash64(*map(_named, kept), F.monotonically_increasing_id()), F.lit(parts))
+    todo = rest.select("*", F.lit(-1).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), spread.cast("long").alias(part))
+    schema = StructType([*todo.schema.fields, StructField(released, BooleanType())])
+    out = full
     number = 0
     while True:
         last = parts == 1
-
-        packed = written(todo.groupBy("part__").applyInPandas(_rerun(number, last, capacity), schema))
-        done.append(packed.filter(~F.col("released__")).select(*kept, "sequence_id", "offset"))
-        if last or packed.filter("released__").isEmpty():
+        packed = written(todo.groupBy(part).applyInPandas(_rerun(number, last, capacity, released), schema))
+        out = out.unionByName(packed.filter(~F.col(released)).drop(part, released))
+        if last or packed.filter(released).isEmpty():
             break
         parts, number = -(-parts // MERGE), number + 1
-        todo = packed.filter("released__").drop("released__").withColumn("part__", F.floor(F.col("part__") / MERGE))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+        todo = packed.filter(released).drop(released).withColumn(part, F.floor(F.col(part) / MERGE))
     return out
 
 

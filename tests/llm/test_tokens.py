@@ -3,6 +3,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,18 +42,52 @@ def test_damaged_block():
         T.decode_block(block, f, c, slots)
 
 
-@given(st.lists(st.text(st.sampled_from(list("ab é\n\t\r   \x1c.,'1<>|endoftx")), max_size=40), max_size=5))
-@settings(max_examples=200, deadline=None)
+SIGNS = list("aB9_, '!.sdtm-\n\t\r\x0b\x00\x1c\x7f") + ["é", "×", "÷", "\u0301", "\u00a0", "\u2003", "\u3000", "\u0085", "\u200b", "\u2019", "中", "😀", "²", "Ж", "'s", "'ll", "  ", "\n\n", "<|endoftext|>", "\u0663"]
+
+
+def _encoded(enc, texts):
+    out = []
+    for a, z, ids, per in enc.encode(pa.array(texts, pa.string())):
+        assert len(per) == z - a + 1
+        out += [ids[s:e].tolist() for s, e in zip(per[:-1], per[1:], strict=True)]
+    return out
+
+
+@given(st.lists(st.lists(st.sampled_from(SIGNS), max_size=40).map("".join), max_size=6))
+@settings(max_examples=300, deadline=None)
 def test_encoder_equals_library(texts):
     enc = T.encoder(T.tokenizer_path())
     texts = texts + ["x <|endoftext|>\n y"]
-    got = [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)]
-    assert got == [enc.t.encode(t, add_special_tokens=False).ids for t in texts]
+    assert _encoded(enc, texts) == [enc.t.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_small_store_and_long_text(monkeypatch):
+    """Pieces are dropped and learned again; a long text is cut before white space."""
+    monkeypatch.setattr(T, "KEPT_PIECES", 40)
+    monkeypatch.setattr(T, "STEP_BYTES", 60)
+    enc = T.TokenEncoder(T.tokenizer_path())
+    rng = np.random.default_rng(3)
+    words = [str(x) + "é"[: x % 2] for x in range(300)]
+    texts = ["".join(str(rng.choice(words)) + str(rng.choice([" ", "\n", "  ", ", ", "\n \n"])) for _ in range(n)) for n in (0, 1, 5, 400, 30, 900)]
+    for _ in range(2):
+        assert _encoded(enc, texts) == [enc.t.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_checkpoints_decode_side_by_side(monkeypatch):
+    monkeypatch.setattr(T, "CHECKPOINT_STEPS", 3)
+    ids = np.random.default_rng(5).integers(0, 90, 1000).astype(np.uint32) ** 2
+    f, c, slots = T.tables(T.frequencies(np.bincount(ids)))
+    for n in (1, 15, 16, 47, 48, 49, 1000):
+        block = T.encode_block(ids[:n], f, c, 16)
+        assert len(block["checkpoints"]) == (-(-n // 16) - 1) // 3
+        assert (T.decode_block(block, f, c, slots) == ids[:n]).all()
+        for mark in block["checkpoints"]:
+            assert (T.decode_block(block, f, c, slots, mark["step"]) == ids[mark["step"] * block["lanes"] : n]).all()
 
 
 def _brute(rows):
     t, at, out = T.encoder(T.tokenizer_path()).t, 0, []
-    for i, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
         out.append((i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         at += len(ids)
@@ -63,7 +98,7 @@ def test_file_round_trip(spark):
     path = shared_dir(spark)
     T.write_tokens(odd_docs(spark, TEXTS), path, T.tokenizer_path(), 2, 3)
     read = T.crc32_of(T.read_tokens(spark, path)).join(T.starts(spark, path), ["part", "block"])
-    got = sorted((r.doc_id, r.base + r["at"], r.n_tokens, r.ids_crc32) for r in read.collect())
+    got = sorted(((r.doc_id, r.base + r["at"], r.n_tokens, r.ids_crc32) for r in read.collect()), key=lambda r: r[1])
     assert got == _brute(TEXTS)
 
 
