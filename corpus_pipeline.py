@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridspark.llm import decontaminate, jaccard, packing, quality, suffixes
-from gridspark.llm.common import table, written
+from gridspark.llm.common import small_batches, table, written
 from gridspark.session import ship
 
 
 def _shipped(stage):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        return stage(ship(spark), docs, sf_dir)
+        return stage(small_batches(ship(spark)), docs, sf_dir)
 
     return run_stage
 
