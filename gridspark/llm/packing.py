@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from gridspark.llm.common import fresh, ids_and_text, table, trim, written
+from gridspark.llm.common import ids_and_text, table, trim, written
 from gridspark.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -106,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     return ids_and_text(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _rerun(number: int, last: bool, capacity: int, released: str):
+def _rerun(number: int, last: bool, capacity: int):
     """Packs one partition again; keeps its earlier places if they need fewer bins."""
 
     def rerun(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +120,7 @@ def _rerun(number: int, last: bool, capacity: int, released: str):
         back = np.zeros(len(ids), dtype=bool)
         if not last and len(ids) > lower_bound(sizes, capacity):
             back[np.argsort(fill, kind="stable")[: max(2, int(len(ids) * RELEASED))]] = True
-        return rows.assign(**{released: back[where]})
+        return rows.assign(released=back[where])
 
     return rerun
 
@@ -136,26 +136,27 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
     rows, so that none holds much more than ``part_rows``, whatever is equal among them.
     """
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    part, released = fresh("part", kept), fresh("released", kept)
-    pieces = written(pieces.select(*map(_named, kept)))
+    # under names of our own meanwhile, which no other column has
+    own = ["length" if c == "length" else f"column_{i}" for i, c in enumerate(kept)]
+    pieces = written(pieces.select(*map(_named, kept)).toDF(*own))
     full = pieces.filter(F.col("length") == capacity).select("*", (F.monotonically_increasing_id() + F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity)
     n = rest.count()
     parts = max(1, -(-n // part_rows))
-    spread = F.pmod(F.xxhash64(*map(_named, kept), F.monotonically_increasing_id()), F.lit(parts))
-    todo = rest.select("*", F.lit(-1).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), spread.cast("long").alias(part))
-    schema = StructType([*todo.schema.fields, StructField(released, BooleanType())])
+    spread = F.pmod(F.xxhash64(*own, F.monotonically_increasing_id()), F.lit(parts))
+    todo = rest.select("*", F.lit(-1).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), spread.cast("long").alias("part"))
+    schema = StructType([*todo.schema.fields, StructField("released", BooleanType())])
     out = full
     number = 0
     while True:
         last = parts == 1
-        packed = written(todo.groupBy(part).applyInPandas(_rerun(number, last, capacity, released), schema))
-        out = out.unionByName(packed.filter(~F.col(released)).drop(part, released))
-        if last or packed.filter(released).isEmpty():
+        packed = written(todo.groupBy("part").applyInPandas(_rerun(number, last, capacity), schema))
+        out = out.unionByName(packed.filter(~F.col("released")).drop("part", "released"))
+        if last or packed.filter("released").isEmpty():
             break
         parts, number = -(-parts // MERGE), number + 1
-        todo = packed.filter(released).drop(released).withColumn(part, F.floor(F.col(part) / MERGE))
-    return out
+        todo = packed.filter("released").drop("released").withColumn("part", F.floor(F.col("part") / MERGE))
+    return out.toDF(*kept, "sequence_id", "offset")
 
 
 def QUERY(spark: SparkSession, sf_dir: str) -> DataFrame:
