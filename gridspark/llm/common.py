@@ -5,11 +5,12 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,6 @@ from gridspark.session import ship
 #: Separators of words in the query contracts: the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-
-
 #: Rows that go to a Python worker at once; Spark's own 10,000 rows of long texts would fill it.
 ARROW_ROWS = 2000
 
@@ -187,3 +186,42 @@ def split(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
             at, n = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
+
+
+def order_classes(counts: np.ndarray) -> np.ndarray:
+    """A class from 0 to 15 for each bucket, by how far its count stands above the usual one."""
+    usual = max(1.0, float(np.median(counts)))
+    return np.clip(np.ceil(np.log2(np.maximum(counts / usual, 1.0)) * 2), 0, 15).astype(np.uint64)
+
+
+#: Pieces of a task's array, and tasks whose pieces are summed together in a first round.
+CHUNKS = 64
+TOGETHER = 256
+
+
+def array_sum(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int, kind: str = "i8") -> np.ndarray:
+    """The sum of the arrays (of one ``length``) that ``of`` makes of each task's rows.
+
+    Arrays travel in pieces and are summed in two rounds by shuffle; the driver gets one sum.
+    """
+    step = -(-length // CHUNKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = of(batches).astype(f"<{kind}").ravel()
+        if total.any():
+            pieces = [total[i * step : (i + 1) * step].tobytes() for i in range(CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([TaskContext.get().partitionId() // TOGETHER] * CHUNKS, pa.int32()), pa.array(pieces, pa.binary())], names=["chunk", "some", "x"])
+        trim()
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(rows["x"].iloc[0]) // np.dtype(kind).itemsize, dtype=np.float64 if kind[0] == "f" else np.int64)
+        for r in rows["x"]:
+            total += np.frombuffer(r, dtype=f"<{kind}")
+        return pd.DataFrame({"chunk": [key[0]], "some": [key[1] if len(key) > 1 else 0], "x": [total.astype(f"<{kind}").tobytes()]})
+
+    schema = "chunk int, some int, x binary"
+    parts = df.mapInArrow(run, schema).groupBy("chunk", "some").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
+    out = np.zeros(length, dtype=kind)
+    for r in parts.collect():
+        out[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["x"], dtype=f"<{kind}")
+    return out

@@ -3,17 +3,22 @@
 A string of 50 bytes that also starts in a document with a smaller doc_id goes.
 The steps, each a Spark stage:
 
-1. Every start of a 50-byte string is filed under the least hash of the 16-byte
-   strings inside it.  Equal strings have equal least hashes, so a start whose
-   hash no other document has can't repeat; this loses nothing.
-2. The runs of starts that are left travel with their bytes to the shard of
-   their hash.  Equal runs of a batch of documents travel once, so a passage that
-   a third of all documents share never gathers in one task.
-3. A shard sorts all suffixes of its distinct runs by induced sorting: the
-   S*-suffixes are sorted first, then queues on disk carry tuples of (suffix,
-   common prefix with the one before) to the L- and then to the S-suffixes.
-   Neighbours with a common prefix of 50 or more hold one string.
-4. The covered ranges return to their documents.
+1. Equal texts are one text, held by its least doc_id.
+2. Every start of a 50-byte string is filed under the least of the hashes of the
+   16-byte strings inside it, rare ones first, so that a phrase of many documents
+   files only the strings that lie within it.  Equal strings have equal least
+   hashes: what one hash has together is all that can match.
+3. Runs of starts under one hash meet by that hash and a hash of their bytes.
+   Equal runs are one run, held by its least document.  A hash with one distinct
+   run has nothing to sort; this loses nothing.
+4. The other distinct runs travel with their bytes, sorted by their hash.  They
+   are taken in blocks of bounded size that end between hashes, so a shard may be
+   far larger than memory.  The suffixes of a block are sorted by induction: the
+   S*-suffixes first, then queues on disk carry tuples of (suffix, common prefix
+   with the one before) to the L- and then to the S-suffixes.  Neighbours with a
+   common prefix of 50 or more hold one string.  Where a hash has too many distinct
+   runs for a block, its strings travel one by one under hashes of their own.
+5. The covered ranges return to their documents.
 """
 
 from __future__ import annotations
@@ -24,20 +29,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from gridspark.llm.common import ids_and_text, mix, n_parts, split, table, written
+from gridspark.llm.common import array_sum, ids_and_text, mix, n_parts, order_classes, split, table, trim, written
 
 LENGTH = 50
 GRAM = 16
 WINDOW = LENGTH - GRAM + 1
 RUN = 64  # most starts of one run
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_000_000
+#: Bytes of distinct runs that are sorted together, and distinct runs of one hash beyond which it is split.
+BLOCK_BYTES = 2_000_000
+SPLIT_RUNS = 10_000
+#: Buckets of the counts that give the hashes' order; any order gives the same result.
+BUCKETS_LOG2 = 20
 #: Rows and bytes of a table up to which it is broadcast to the documents; beyond, both are shuffled.
 BROADCAST_BYTES = 48_000_000
 #: Tuples of a queue held in memory before they go to its file.
 HELD = 1 << 20
+#: Rows without doc_id count as one document behind all others.
+LAST = (1 << 63) - 1
 
 # ------------------------------------------------------------ induced sorting
 
@@ -102,63 +116,28 @@ def _common(t: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarr
     return out
 
 
-def _sort_starred(t: np.ndarray, n: int, starred: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """S*-suffixes in order (by their first ``depth`` symbols, then by position) and the common prefix with the one before.
+def _sort_starred(t: np.ndarray, starred: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """S*-suffixes in order by their first ``depth`` symbols, and the common prefix with the one before.
 
-    S*-substrings are named by their symbols; the string of names is sorted by
-    doubling, each round pairing a suffix's name with that of the suffix behind it.
+    Eight symbols a round; a round only takes the suffixes that are still equal.
     """
-    m = len(starred)
-    if not m:
-        return starred, np.zeros(0, dtype=np.int64)
-    ends = np.append(starred[1:] + 1, n + 1)  # the last reaches the end of the text, a 0
-    lengths = ends - starred
-    names = np.zeros(m, dtype=np.int64)
-    todo = np.arange(m)
-    # eight symbols a step; behind a substring's end the largest symbol, for the shorter of two is the greater
-    at = 0
-    while len(todo):
-        word = np.zeros(len(todo), dtype=np.uint64)
-        for k in range(8):
-            inside = at + k < lengths[todo]
-            word = (word << np.uint64(8)) | np.where(inside, t[np.minimum(starred[todo] + at + k, len(t) - 1)], 255).astype(np.uint64)
-        order = np.lexsort((word, names[todo]))
-        n, w = names[todo][order], word[order]
-        new = np.concatenate([[True], (n[1:] != n[:-1]) | (w[1:] != w[:-1])])
-        fresh = np.concatenate([[True], n[1:] != n[:-1]])
-        # a name leaves room for the names that split off behind it
-        first = np.flatnonzero(fresh)
-        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        names[todo[order]] = n + place[head]
-        at += 8
-        counts = np.bincount(names[todo], minlength=1) if len(todo) else np.zeros(1, dtype=np.int64)
-        todo = todo[(counts[names[todo]] > 1) & (lengths[todo] > at)]
-    # doubling over the string of names; a substring has two symbols of its own at least
-    k = 1
-    while k < max(2, depth):
-        behind = np.full(m, -1, dtype=np.int64)
-        behind[:-k] = names[k:] if k < m else behind[:-k]
-        order = np.argsort(names, kind="stable")
-        n = names[order]
-        same = np.concatenate([[False], n[1:] == n[:-1]])
-        if not same.any():
+    words = np.ndarray((len(t) - 8,), dtype=">u8", buffer=t, strides=(1,))
+    order = np.arange(len(starred))
+    new = np.zeros(len(starred), dtype=bool)
+    new[:1] = True
+    tied = np.arange(len(starred))
+    for at in range(0, depth, 8):
+        group = (np.cumsum(new) - 1)[tied]
+        w = words[starred[order[tied]] + at].astype(np.uint64)
+        by = np.lexsort((w, group))
+        order[tied], w = order[tied[by]], w[by]
+        new[tied[1:]] |= (w[1:] != w[:-1]) & (group[1:] == group[:-1])
+        last = np.append(new[1:], True)
+        tied = np.flatnonzero(~(new & last))
+        if not len(tied):
             break
-        tied = same | np.concatenate([same[1:], [False]])
-        some = order[tied]
-        order2 = np.lexsort((behind[some], names[some]))
-        some = some[order2]
-        n, b = names[some], behind[some]
-        fresh = np.concatenate([[True], n[1:] != n[:-1]])
-        new = fresh | np.concatenate([[True], b[1:] != b[:-1]])
-        first = np.flatnonzero(fresh)
-        place = np.arange(len(some)) - np.repeat(first, np.diff(np.append(first, len(some))))
-        head = np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))
-        names[some] = n + place[head]
-        k *= 2
-    order = np.argsort(names, kind="stable")
     out = starred[order]
-    common = np.zeros(m, dtype=np.int64)
+    common = np.zeros(len(out), dtype=np.int64)
     common[1:] = _common(t, out[:-1], out[1:], depth)
     return out, common
 
@@ -198,7 +177,7 @@ def _spread(sources: np.ndarray, common: np.ndarray, since: np.ndarray, t: np.nd
 def sorted_suffixes(text: np.ndarray, limit: int = LENGTH, held: int = HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Chunks (suffixes, common prefixes) of all suffixes of ``text``, from the greatest to the least.
 
-    Symbols are 1 to 250, of which 1 ends a string; only the first ``2 * limit``
+    Symbols are 1 to 250, of which 1 ends a string; only the first ``limit``
     symbols decide.  A suffix's common prefix is that with the next one given
     (the next lesser), at most ``limit``.
     """
@@ -212,8 +191,7 @@ def sorted_suffixes(text: np.ndarray, limit: int = LENGTH, held: int = HELD) ->
     nearest = np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1]
     is_s = np.where(nearest < n, a[np.minimum(nearest, n - 1)] < b[np.minimum(nearest, n - 1)], False)
     star = np.flatnonzero(is_s & np.concatenate([[False], ~is_s[:-1]]))
-    order, common = _sort_starred(t, n, star, 2 * limit)
-    common = np.minimum(common, limit)
+    order, common = _sort_starred(t, star, limit)
     first_of = np.searchsorted(t[order], np.arange(257)) if len(order) else np.zeros(257, dtype=np.int64)
     # L-suffixes, symbols upwards
     queue = Queue(256, held)
@@ -326,17 +304,66 @@ def repeated_starts(runs: list[bytes], least: list[int], length: int = LENGTH, h
 # ------------------------------------------------------------ runs of starts
 
 
-def runs_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+_POWERS = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse."""
+    if len(_POWERS["up"]) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            p = np.full(max(n, BATCH_CHARS * 2), base, dtype=np.uint64)
+            p[0] = 1
+            _POWERS[name] = np.multiply.accumulate(p)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def digests(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte strings of the data, by a running sum."""
+    up, down = _powers(len(data) + 1)
+    run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(0x51ED2701)) * up[:-1], dtype=np.uint64)])
+    return mix((run[first + size] - run[first]) * down[first] + size.astype(np.uint64))
+
+
+def _grams(data: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the 16-byte strings at each byte; the data goes on for 64 bytes behind n."""
+    words = np.ndarray((n + 48,), dtype="<u8", buffer=data, strides=(1,))
+    return mix(words[: n + 40] * np.uint64(0x9E3779B97F4A7C15) + words[8 : n + 48] * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _joined(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([*raw, b"\0" * 64]), dtype=np.uint8)
+
+
+def gram_classes(docs: DataFrame) -> np.ndarray:
+    """How common the 16-byte strings of each bucket are in all texts, as a class from 0 to 15."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        total = np.zeros(1 << BUCKETS_LOG2, dtype=np.int64)
+        for b in batches:
+            texts = b["text"].to_pylist()
+            for a, z in split(texts, BATCH_CHARS):
+                raw = [t.encode("utf-8", "surrogatepass") for t in texts[a:z]]
+                n = sum(map(len, raw))
+                h = _grams(_joined(raw), n)[:n]
+                total += np.bincount((h >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64), minlength=len(total))
+        return total
+
+    return order_classes(array_sum(docs.select("text"), count, 1 << BUCKETS_LOG2))
+
+
+def runs_of(raw: list[bytes], classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(data, document, first start, number of starts, hash) of the runs of starts with one least hash."""
-    data = np.frombuffer(b"".join([*raw, b"\0" * 64]), dtype=np.uint8)
+    data = _joined(raw)
     sizes = np.array([len(r) for r in raw], dtype=np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)])
     n = int(begin[-1])
     none = np.zeros(0, dtype=np.int64)
     if n < LENGTH:
         return data, none, none, none, none.astype(np.uint64)
-    words = np.ndarray((n + 48,), dtype="<u8", buffer=data, strides=(1,))
-    h = mix(words[: n + 40] * np.uint64(0x9E3779B97F4A7C15) + words[8 : n + 48] * np.uint64(0xC2B2AE3D27D4EB4F))
+    h = _grams(data, n)
+    if classes is not None:
+        h = (classes[(h >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)] << np.uint64(60)) | (h & np.uint64((1 << 60) - 1))
     low, width = h, 1
     while width * 2 <= WINDOW:
         low = np.minimum(low[:-width], low[width:])
@@ -344,7 +371,7 @@ def runs_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     if width < WINDOW:
         low = np.minimum(low[: len(low) - (WINDOW - width)], low[WINDOW - width :])
     low = low[:n]
-    doc = np.repeat(np.arange(len(raw)), sizes)
+    doc = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
     valid = np.arange(n) + LENGTH <= begin[1:][doc]
     change = np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | (valid[1:] != valid[:-1])])
     first = np.flatnonzero(change)
@@ -358,279 +385,392 @@ def runs_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         step = np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(parts)[:-1]]), parts)
         count = np.minimum(RUN, count[which] - step * RUN)
         first = first[which] + step * RUN
-    return data, doc[first], first - begin[doc[first]], count, low[first]
+    doc = doc[first].astype(np.int64)
+    return data, doc, first - begin[doc], count, low[first]
 
 
 def _u4(x: np.ndarray) -> bytes:
-    return x.astype("<u4").tobytes()
+    return np.asarray(x).astype("<u4").tobytes()
 
 
-def shared_runs(docs: DataFrame) -> DataFrame:
-    """doc_id and bits: which of the document's runs have a hash that another document has too.
+def _u8(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).astype("<u8", copy=False).tobytes()
+
+
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _news(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys differ from those before them."""
+    out = np.ones(len(keys[0]), dtype=bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """k1 and k2 (128 bits that stand for a text), doc (no doc_id: LAST) and text of every row."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"))
+
+
+_FILED = [("bucket", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("digests", pa.binary()), ("docs", pa.binary()), ("runs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())]
+_TOLD = [("batch", pa.int64()), ("equal", pa.binary()), ("sort", pa.binary()), ("split", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())]
+_FLAGS = [("k1", pa.int64()), ("k2", pa.int64()), ("low", pa.binary()), ("high", pa.binary())]
+_SQL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+
+
+def _ddl(fields: list[tuple[str, pa.DataType]]) -> str:
+    return ", ".join(f"{n} {_SQL[t]}" for n, t in fields)
 
-    Hashes travel packed, a row for each batch of documents and bucket; a batch's documents travel with one of them.
-    """
-    parts = n_parts(docs.sparkSession)
-    buckets = max(256, 4 * parts)
 
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _file(classes: object, buckets: int):
+    """A batch's runs, packed by buckets of their hash: equal runs of the batch once, with its least document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         for b in batches:
-            texts, ids = b["text"].to_pylist(), b["doc_id"].to_pylist()
+            texts = b["text"].to_pylist()
+            ids, keys = b["doc"].to_numpy(), np.column_stack([b["k1"].to_numpy(), b["k2"].to_numpy()])
             for a, z in split(texts, BATCH_CHARS):
-                _, doc, _, _, h = runs_of([t.encode("utf-8", "surrogatepass") for t in texts[a:z]])
-                bucket, low = (h % np.uint64(buckets)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
-                order = np.lexsort((doc, low, bucket))
-                bucket, low, d = bucket[order], low[order], doc[order]
-                # hashes of two documents of the batch: marked in the highest bit of the run's number
-                same = np.concatenate([[False], (bucket[1:] == bucket[:-1]) & (low[1:] == low[:-1])])
-                group = np.cumsum(~same) - 1
-                several = np.zeros(len(group) and group[-1] + 1, dtype=bool)
-                several[group[1:][same[1:] & (d[1:] != d[:-1])]] = True
-                run = order.astype(np.uint32) | np.where(several[group], np.uint32(1 << 31), np.uint32(0)) if len(order) else order.astype(np.uint32)
-                names, first = np.unique(bucket, return_index=True)
-                ends = np.append(first, len(bucket))
-                rows = [(int(n), number, _u4(low[s:e]), _u4(run[s:e]), None, None) for n, s, e in zip(names, ends[:-1], ends[1:], strict=True)]
-                rows.append((number % buckets, number, None, None, np.array(ids[a:z], dtype="<i8").tobytes(), _u4(np.bincount(doc, minlength=z - a))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "batch", "hashes", "runs", "ids", "counts"])
+                data, doc, first, count, h = runs_of([t.encode("utf-8", "surrogatepass") for t in texts[a:z]], classes.value)
+                per = np.bincount(doc, minlength=z - a)
+                at = np.concatenate([[0], np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in texts[a:z]])])[doc] + first
+                g = digests(data, at, count + LENGTH - 1)
+                d = ids[a:z][doc]
+                bucket = (mix(h) % np.uint64(buckets)).astype(np.int32)
+                order = np.lexsort((d, g, h, bucket))
+                bucket, h, g, d = bucket[order], h[order], g[order], d[order]
+                new = _news(bucket, h, g)
+                group = np.cumsum(new) - 1
+                least = d[np.flatnonzero(new)][group] if len(d) else d
+                held = d == least
+                equal = order[~held]
+                bucket, h, g, d, order = bucket[held], h[held], g[held], d[held], order[held]
+                names, starts = np.unique(bucket, return_index=True)
+                ends = np.append(starts, len(bucket))
+                rows = [(int(n), number, _u8(h[s:e]), _u8(g[s:e]), _u8(d[s:e]), _u4(order[s:e]), None, None) for n, s, e in zip(names, ends[:-1], ends[1:], strict=True)]
+                rows.append((number % buckets, number, None, None, None, _u4(equal), keys[a:z].astype("<i8").tobytes(), _u4(per)))
+                yield _batch(rows, _FILED)
                 number += 1
-
-    names = ["batch", "runs", "ids", "counts"]
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+
+    return run
+
+
+def _compare_bucket(held: list[tuple], split_runs: int) -> list[tuple]:
+    """For each batch: its runs that a lesser document has too, those to be sorted, and those to be split and sorted."""
+    h, g, d = (np.concatenate([np.frombuffer(x[k], dtype=t) for x in held]) for k, t in ((1, "<u8"), (2, "<u8"), (3, "<i8")))
+    r = np.concatenate([np.frombuffer(x[4], dtype="<u4") for x in held])
+    batch = np.repeat(np.arange(len(held)), [len(x[1]) // 8 for x in held])
+    order = np.lexsort((d, g, h))
+    h, g, d = h[order], g[order], d[order]
+    new_h = _news(h)
+    new = new_h | _news(g)
+    least = d[np.flatnonzero(new)]
+    equal = d > least[np.cumsum(new) - 1]
+    # a hash whose distinct runs are all held by one document tells nothing new
+    of = np.flatnonzero(new_h[new])
+    several = np.minimum.reduceat(least, of) != np.maximum.reduceat(least, of)
+    many = np.diff(np.append(of, len(least))) > split_runs
+    group = np.cumsum(new_h) - 1
+    sort = ~equal & several[group]
+    cut = sort & many[group]
+    kind = np.where(equal, 1, np.where(cut, 3, np.where(sort, 2, 0)))
+    some = np.flatnonzero(kind)
+    some = some[np.lexsort((kind[some], batch[order[some]]))]
+    b, k, r = batch[order[some]], kind[some], r[order[some]]
+    ends = np.searchsorted(b * 4 + k, (np.arange(len(held))[:, None] * 4 + np.array([1, 2, 3, 4])).ravel()).reshape(-1, 4)
+    return [(x[0], _u4(r[e[0] : e[1]]), _u4(r[e[1] : e[2]]), _u4(r[e[2] : e[3]]), None, None) for x, e in zip(held, ends.tolist(), strict=True) if e[3] > e[0]]
+
+
+def _compare(split_runs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-
-        def close() -> list[tuple]:
-            if not held:
-                return []
-            h = np.concatenate([np.frombuffer(x[1], dtype="<u4") for x in held])
-            r = np.concatenate([np.frombuffer(x[2], dtype="<u4") for x in held])
-            batch = np.repeat(np.arange(len(held)), [len(x[1]) // 4 for x in held])
-            order = np.lexsort((batch, h))
-            ho, bo = h[order], batch[order]
-            same = np.concatenate([[False], ho[1:] == ho[:-1]])
-            group = np.cumsum(~same) - 1
-            shared = np.zeros(group[-1] + 1, dtype=bool)
-            shared[group[1:][same[1:] & (bo[1:] != bo[:-1])]] = True
-            shared[group[r[order] >> 31 == 1]] = True
-            keep = order[shared[group]]
-            keep.sort()
-            ends = np.searchsorted(batch[keep], np.arange(len(held) + 1))
-            return [(x[0], _u4(r[keep[s:e]] & np.uint32((1 << 31) - 1)), None, None) for x, s, e in zip(held, ends[:-1], ends[1:], strict=True) if e > s]
-
         for b in batches:
             rows = []
-            for bucket, batch, hashes, runs, ids, counts in zip(*(b[c].to_pylist() for c in ("bucket", "batch", "hashes", "runs", "ids", "counts")), strict=True):
-                if ids is not None:
-                    rows.append((batch, None, ids, counts))
+            for bucket, batch, h, g, d, runs, keys, counts in zip(*(b[c].to_pylist() for c, _ in _FILED), strict=True):
+                if keys is not None:
+                    rows.append((batch, runs, None, None, keys, counts))
                     continue
                 if bucket != now:
-                    rows += close()
+                    rows += _compare_bucket(held, split_runs) if held else []
                     now, held = bucket, []
-                held.append((batch, hashes, runs))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-        if rows := close():
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, head, held = None, None, []
-
-        def close() -> tuple[list[int], list[bytes]]:
-            if head is None:
-                return [], []
-            counts = np.frombuffer(head[1], dtype="<u4").astype(np.int64)
-            bits = np.zeros(int(counts.sum()), dtype=bool)
-            for r in held:
-                bits[np.frombuffer(r, dtype="<u4")] = True
-            ends = np.cumsum(counts)
-            own = [(i, bits[e - n : e]) for i, e, n in zip(np.frombuffer(head[0], dtype="<i8").tolist(), ends.tolist(), counts.tolist(), strict=True)]
-            some = [(i, np.packbits(x).tobytes()) for i, x in own if x.any()]
-            return [i for i, _ in some], [x for _, x in some]
-
-        def out(found: tuple[list[int], list[bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.binary())], names=["doc_id", "bits"])
+                held.append((batch, h, g, d, runs))
+            yield _batch(rows, _TOLD)
+        if held:
+            yield _batch(_compare_bucket(held, split_runs), _TOLD)
+        trim()
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, head, told = None, None, []
+
+    def close() -> list[tuple]:
+        if head is None:
+            return []
+        counts = np.frombuffer(head[1], dtype="<u4").astype(np.int64)
+        kind = np.zeros(int(counts.sum()), dtype=np.uint8)
+        for some in told:
+            for k, r in enumerate(some):
+                if r is not None:
+                    kind[np.frombuffer(r, dtype="<u4")] = k + 1
+        keys = np.frombuffer(head[0], dtype="<i8").reshape(-1, 2).tolist()
+        ends = np.cumsum(counts).tolist()
+        own = [(key, kind[e - n : e]) for key, e, n in zip(keys, ends, counts.tolist(), strict=True)]
+        return [(*key, np.packbits(x & 1).tobytes(), np.packbits(x >> 1).tobytes()) for key, x in own if x.any()]
+
+    for b in batches:
+        rows = []
+        for batch, equal, sort, cut, keys, counts in zip(*(b[c].to_pylist() for c, _ in _TOLD), strict=True):
+            if batch != now:
+                rows += close()
+                now, head, told = batch, None, []
+            if keys is not None:
+                head = keys, counts
+            told.append((equal, sort, cut))
+        yield _batch(rows, _FLAGS)
+    yield _batch(close(), _FLAGS)
+    trim()
+
+
+def run_flags(firsts: DataFrame, classes: object) -> DataFrame:
+    """k1, k2, low and high: two bits for each run of a text that has any: 1 held by a lesser document, 2 to be sorted, 3 to be split and sorted.
+
+    Hashes travel packed, a row for each batch of documents and bucket; a batch's texts travel with one of them.
+    """
+    parts = n_parts(firsts.sparkSession)
+    filed = firsts.mapInArrow(_file(classes, max(256, 4 * parts)), _ddl(_FILED))
+    compared = filed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(SPLIT_RUNS), _ddl(_TOLD))
+    return compared.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_gather, _ddl(_FLAGS))
 
-        for b in batches:
-            for batch, runs, ids, counts in zip(*(b[c].to_pylist() for c in names), strict=True):
-                if batch != now:
-                    yield out(close())
-                    now, head, held = batch, None, []
-                if ids is not None:
-                    head = ids, counts
-                else:
-                    held.append(runs)
-        yield out(close())
 
-    filed = ids_and_text(docs).mapInArrow(file, "bucket int, batch long, hashes binary, runs binary, ids binary, counts binary")
-    compared = filed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "batch long, runs binary, ids binary, counts binary")
-    return compared.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(gather, "doc_id long, bits binary")
+_SENT = [("shard", pa.int64()), ("run", pa.binary()), ("doc", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int64()), ("ranges", pa.binary())]
+_RANGES = [("k1", pa.int64()), ("k2", pa.int64()), ("ranges", pa.binary())]
 
 
-def _near(spark: SparkSession, small: DataFrame, column: str) -> DataFrame:
-    """The table as a broadcast side if its measured size is bounded."""
-    r = small.agg(F.coalesce(F.sum(F.length(column) + 64), F.lit(0)).alias("n")).first()
-    return F.broadcast(small) if r["n"] <= BROADCAST_BYTES else small
+def _bits(packed: list[bytes], per: list[int]) -> np.ndarray:
+    rows = [np.unpackbits(np.frombuffer(x, dtype=np.uint8))[:n] for x, n in zip(packed, per, strict=True)]
+    return np.concatenate(rows) if rows else np.zeros(0, dtype=np.uint8)
 
 
-def covered_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id and ranges: the starts, each of which covers the 50 bytes from it, as little-endian uint32 pairs (first, number)."""
-    spark = docs.sparkSession
-    parts = n_parts(spark)
-    flags = written(shared_runs(docs).groupBy("doc_id").agg(F.first("bits").alias("bits")))
-    near = ids_and_text(docs).join(_near(spark, flags, "bits"), "doc_id")
+def _send(classes: object):
+    """The runs to be sorted with their bytes; for each text, the ranges that equal runs cover."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            all_texts, all_ids, all_bits = b["text"].to_pylist(), b["doc_id"].to_pylist(), b["bits"].to_pylist()
-            for a, z in split(all_texts, BATCH_CHARS):
-                raw, ids = [t.encode("utf-8", "surrogatepass") for t in all_texts[a:z]], all_ids[a:z]
-                data, doc, first, count, h = runs_of(raw)
-                per = np.bincount(doc, minlength=len(raw))
-                use = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8))[:n] for x, n in zip(all_bits[a:z], per.tolist(), strict=True)]).astype(bool) if len(raw) else np.zeros(0, dtype=bool)
-                doc, first, count, h = doc[use], first[use], count[use], h[use]
-                rows: dict[bytes, tuple[int, list[tuple[int, int]], int]] = {}
-                done: dict[int, list[int]] = {}
-                for d, f, c, x in zip(doc.tolist(), first.tolist(), count.tolist(), h.tolist(), strict=True):
-                    run = raw[d][f : f + c + LENGTH - 1]
-                    i = ids[d]
-                    old = rows.get(run)
-                    if old is None or i < old[0]:
-                        if old is not None:
-                            for e, g in old[1]:
-                                done.setdefault(e, []).extend((g, c))
-                        rows[run] = i, [(i, f)], x
-                    elif i == old[0]:
-                        old[1].append((i, f))
-                    else:
-                        done.setdefault(i, []).extend((f, c))
-                out = [(x >> 1, run, i, _u4(np.array([f for _, f in at])), None) for run, (i, at, x) in rows.items()]
-                out += [((i * 2654435761) & 0x7FFFFFFF, None, i, None, _u4(np.array(r))) for i, r in done.items()]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "run", "doc_id", "at", "ranges"])
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, least, firsts = [], [], []  # rows come by run, then doc_id: the first of a run is its least document
+            texts, low, high = (b[c].to_pylist() for c in ("text", "low", "high"))
+            ids, k1, k2 = (b[c].to_pylist() for c in ("doc", "k1", "k2"))
+            for a, z in split(texts, BATCH_CHARS):
+                raw = [t.encode("utf-8", "surrogatepass") for t in texts[a:z]]
+                data, doc, first, count, h = runs_of(raw, classes.value)
+                per = np.bincount(doc, minlength=len(raw)).tolist()
+                kind = _bits(low[a:z], per) + 2 * _bits(high[a:z], per)
+                rows: list[tuple] = []
+                use = np.flatnonzero(kind == 2)
+                for i, f, c, x in zip(doc[use].tolist(), first[use].tolist(), count[use].tolist(), h[use].view(np.int64).tolist(), strict=True):
+                    rows.append((x, raw[i][f : f + c + LENGTH - 1], ids[a + i], k1[a + i], k2[a + i], f, None))
+                use = np.flatnonzero(kind == 3)
+                if len(use):
+                    begin = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+                    i, f = np.repeat(doc[use], count[use]), np.concatenate([np.arange(s, s + c) for s, c in zip(first[use].tolist(), count[use].tolist(), strict=True)])
+                    x = digests(data, begin[i] + f, np.full(len(i), LENGTH)).view(np.int64)
+                    rows += [(s, raw[j][g : g + LENGTH], ids[a + j], k1[a + j], k2[a + j], g, None) for s, j, g in zip(x.tolist(), i.tolist(), f.tolist(), strict=True)]
+                use = np.flatnonzero(kind == 1)
+                names, at = np.unique(doc[use], return_index=True)
+                pairs = np.column_stack([first[use], count[use]])
+                for i, s, e in zip(names.tolist(), at.tolist(), np.append(at, len(use))[1:].tolist(), strict=True):
+                    rows.append((k1[a + i], None, None, k1[a + i], k2[a + i], None, _u4(pairs[s:e].ravel())))
+                yield _batch(rows, _SENT)
+        trim()
+
+    return run
+
+
+def _solved(runs: list[bytes], least: list[int], places: list[list[tuple]], held: int) -> list[tuple]:
+    """The covered ranges of a block of distinct runs: (k1, k2, ranges)."""
+    out: dict[tuple, list[int]] = {}
+    for at, hit in zip(places, repeated_starts(runs, least, LENGTH, held), strict=True):
+        if hit.any():
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+            pairs = [(s, e - s) for s, e in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)]
+            for k1, k2, f in at:
+                out.setdefault((k1, k2), []).extend(y for s, c in pairs for y in (f + s, c))
+    return [(*k, _u4(np.array(r))) for k, r in out.items()]
+
+
+def _solve(block_bytes: int, held: int):
+    """Rows come by shard (a hash), run and document; the first of a run is its least document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: list[bytes] = []
+        least: list[int] = []
+        places: list[list[tuple]] = []
+        now = last = None
         size = 0
-        covers: dict[int, list[int]] = {}
-
-        def out() -> pa.RecordBatch:
-            r = pa.RecordBatch.from_arrays([pa.array(list(covers), pa.int64()), pa.array([_u4(np.array(x)) for x in covers.values()], pa.binary())], names=["doc_id", "ranges"])
-            covers.clear()
-            return r
-
-        last = None
         for b in batches:
-            for run, i, at, ranges in zip(*(b[c].to_pylist() for c in ("run", "doc_id", "at", "ranges")), strict=True):
+            out: list[tuple] = []
+            for shard, text, doc, k1, k2, at, ranges in zip(*(b[c].to_pylist() for c, _ in _SENT), strict=True):
                 if ranges is not None:
-                    covers.setdefault(i, []).extend(np.frombuffer(ranges, dtype="<u4").tolist())
+                    out.append((k1, k2, ranges))
                     continue
-                places = np.frombuffer(at, dtype="<u4").tolist()
-                n = len(run) - LENGTH + 1
-                if run == last and i > least[-1]:
-                    covers.setdefault(i, []).extend(y for f in places for y in (f, n))
-                elif run == last:
-                    firsts[-1] += places
+                if shard != now:
+                    if size >= block_bytes:
+                        out += _solved(runs, least, places, held)
+                        runs, least, places, size = [], [], [], 0
+                    now, last = shard, None
+                if text != last:
+                    runs.append(text)
+                    least.append(doc)
+                    places.append([(k1, k2, at)])
+                    last = text
+                    size += len(text)
+                elif doc > least[-1]:
+                    out.append((k1, k2, _u4(np.array([at, len(text) - LENGTH + 1]))))
                 else:
-                    runs.append(run)
-                    least.append(i)
-                    firsts.append(places)
-                    last = run
-                    size += len(run)
-            yield out()
-        if not runs:
-            return
-        for i, places, hit in zip(least, firsts, repeated_starts(runs, least), strict=True):
-            if hit.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                pairs = [(int(s), int(e - s)) for s, e in zip(edge[0::2], edge[1::2], strict=True)]
-                covers.setdefault(i, []).extend(y for f in places for s, c in pairs for y in (f + s, c))
-        yield out()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+                    places[-1].append((k1, k2, at))
+            yield _batch(out, _RANGES)
+        if runs:
+            yield _batch(_solved(runs, least, places, held), _RANGES)
+        trim()
+
+    return run
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, held = None, []
+
+    def packed() -> bytes:
+        r = np.frombuffer(b"".join(held), dtype="<u4").astype(np.int64).reshape(-1, 2)
+        r = r[np.argsort(r[:, 0], kind="stable")]
+        end = np.maximum.accumulate(r[:, 0] + r[:, 1])
+        new = np.concatenate([[True], r[1:, 0] > end[:-1]])
+        first = np.flatnonzero(new)
+        return _u4(np.column_stack([r[first, 0], np.append(end[first[1:] - 1], end[-1]) - r[first, 0]]).ravel())
+
+    for b in batches:
+        rows = []
+        for k1, k2, r in zip(*(b[c].to_pylist() for c, _ in _RANGES), strict=True):
+            if (k1, k2) != now:
+                if held:
+                    rows.append((*now, packed()))
+                now, held = (k1, k2), []
+            held.append(r)
+        yield _batch(rows, _RANGES)
+    if held:
+        yield _batch([(*now, packed())], _RANGES)
+    trim()
+
+
+def _near(small: DataFrame, *columns: str) -> DataFrame:
+    """The table as a broadcast side if its measured size is bounded."""
+    size = sum((F.length(c) for c in columns), F.lit(64))
+    n = small.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(small) if n <= BROADCAST_BYTES else small
 
-        def packed() -> bytes:
-            r = np.frombuffer(b"".join(held), dtype="<u4").astype(np.int64).reshape(-1, 2)
-            r = r[np.argsort(r[:, 0], kind="stable")]
-            end = np.maximum.accumulate(r[:, 0] + r[:, 1])
-            new = np.concatenate([[True], r[1:, 0] > end[:-1]])
-            first = np.flatnonzero(new)
-            return _u4(np.column_stack([r[first, 0], np.append(end[first[1:] - 1], end[-1]) - r[first, 0]]).ravel())
 
-        for b in batches:
-            ids, ranges = [], []
-            for i, r in zip(b["doc_id"].to_pylist(), b["ranges"].to_pylist(), strict=True):
-                if i != now:
-                    if held:
-                        ids.append(now)
-                        ranges.append(packed())
-                    now, held = i, []
-                held.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ranges, pa.binary())], names=["doc_id", "ranges"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([packed()], pa.binary())], names=["doc_id", "ranges"])
+def repeats(docs: DataFrame) -> DataFrame:
+    """k1, k2 and least (doc) of the texts of 50 bytes or more that stand in several rows."""
+    rows = keyed(docs).filter(F.octet_length("text") >= LENGTH)
+    return rows.groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
 
-    sent = near.mapInArrow(send, "shard long, run binary, doc_id long, at binary, ranges binary")
-    solved = sent.repartition(4 * parts, "shard").sortWithinPartitions("run", "doc_id").mapInArrow(solve, "doc_id long, ranges binary")
-    return solved.repartition(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(merge, "doc_id long, ranges binary")
+
+def covered_ranges(docs: DataFrame, several: DataFrame) -> DataFrame:
+    """k1, k2 and ranges of the texts that lose bytes: starts, each of which covers the 50 bytes from it, as little-endian uint32 pairs (first, number).
+
+    ``several``: repeats() of the same rows.  What a text loses only because a lesser document has all of it isn't listed.
+    """
+    spark = docs.sparkSession
+    parts = n_parts(spark)
+    firsts = keyed(docs).filter(F.octet_length("text") >= LENGTH).join(_near(several), ["k1", "k2"], "left")
+    firsts = firsts.filter(F.col("least").isNull() | (F.col("doc") == F.col("least"))).drop("least")
+    classes = spark.sparkContext.broadcast(gram_classes(firsts))
+    flags = written(run_flags(firsts, classes).dropDuplicates(["k1", "k2"]))
+    near = firsts.join(_near(flags, "low", "high"), ["k1", "k2"])
+    sent = near.mapInArrow(_send(classes), _ddl(_SENT))
+    solved = sent.repartition(2 * parts, "shard").sortWithinPartitions("shard", "run", "doc").mapInArrow(_solve(BLOCK_BYTES, HELD), _ddl(_RANGES))
+    return solved.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_merge, _ddl(_RANGES))
+
+
+def _cut(raw: bytes, ranges: bytes | None, all_of_it: bool) -> tuple[int, int, bytes]:
+    """(bytes removed, maximal removed runs, what stays)"""
+    if all_of_it:
+        return len(raw), 1, b""
+    if not ranges:
+        return 0, 0, raw
+    gone = n = at = 0
+    out = []
+    for first, count in np.frombuffer(ranges, dtype="<u4").astype(np.int64).reshape(-1, 2).tolist():
+        end = first + count + LENGTH - 1
+        if n and first <= at:
+            gone += end - at
+        else:
+            out.append(raw[at:first])
+            gone += end - first
+            n += 1
+        at = end
+    out.append(raw[at:])
+    return gone, n, b"".join(out)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) and left (their whole characters) of every row.
+    """Every row's columns (but for text), renamed column_0, column_1 ..., and text, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) and left (their whole characters).
 
-    Texts that are null or shorter than 50 bytes lose nothing.  Repeated rows of
-    a doc_id are one document, so they don't cover each other.
+    Texts that are null or shorter than 50 bytes lose nothing.  Rows of one
+    doc_id, whether repeated or with different texts, are one document and don't
+    cover each other; rows without doc_id are one document behind all others.
     """
-    spark = docs.sparkSession
-    ranges = written(covered_ranges(docs))
-    both = ids_and_text(docs).join(_near(spark, ranges, "ranges"), "doc_id", "left")
+    several = written(repeats(docs))
+    ranges = written(covered_ranges(docs, several))
+    names = {c: f"column_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(*[_named(c).alias(n) for c, n in names.items()], "text", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"))
+    both = rows.join(_near(several), ["k1", "k2"], "left").join(_near(ranges, "ranges"), ["k1", "k2"], "left")
+    both = both.select(*names.values(), "text", "ranges", F.coalesce(F.col("doc") > F.col("least"), F.lit(False)).alias("all"))
+    kept = [f for f in both.schema.fields if f.name not in ("ranges", "all")]
+    out = StructType([*kept, *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType()), StructField("left", StringType())])
+    arrow = to_arrow_schema(out)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, removed, spans, kept = [], [], [], []
-            for text, r in zip(b["text"].to_pylist(), b["ranges"].to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                gone = n = 0
-                out, at = [], 0
-                if r:
-                    for first, count in np.frombuffer(r, dtype="<u4").astype(np.int64).reshape(-1, 2).tolist():
-                        end = first + count + LENGTH - 1
-                        if n and first <= at:
-                            gone += end - at
-                        else:
-                            out.append(raw[at:first])
-                            gone += end - first
-                            n += 1
-                        at = end
-                out.append(raw[at:])
-                sizes.append(len(raw))
-                removed.append(gone)
-                spans.append(n)
-                kept.append(b"".join(out))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "left"])
-
-    return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, left string")
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in b["text"].to_pylist()]
+            found = [_cut(*x) for x in zip(raw, b["ranges"].to_pylist(), b["all"].to_pylist(), strict=True)]
+            new = [[len(r) for r in raw], [f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [f[2].decode("utf-8", "ignore") for f in found]]
+            columns = [b[f.name].cast(arrow.field(f.name).type) for f in kept]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, f.type) for x, f in zip(new, list(arrow)[len(kept) :], strict=True))], schema=arrow)
+        trim()
+
+    return both.mapInArrow(cut, out)
+
+
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def QUERY(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return deduplicated(docs).select(F.col("column_0").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated bytes; n_chars follows.  What is left blank by the removal goes.
+    """Documents without their repeated bytes; n_chars follows, where there is one.  What is left blank by the removal goes.
 
-    A character whose bytes were removed in part goes as a whole.  Rows keep
-    their other columns; if doc_ids repeat, one row of each comes out.
+    A character whose bytes were removed in part goes as a whole.  All other
+    columns stay as they are, whatever their names.
     """
-    cut = deduplicated(docs).filter("n_removed > 0").select("doc_id", F.col("left").alias("left__")).dropDuplicates(["doc_id"])
-    whole = docs.dropDuplicates(["doc_id"]) if _repeats(docs) else docs
-    both = whole.join(cut, "doc_id", "left")
-    text = F.when(F.col("left__").isNull(), F.col("text")).otherwise(F.col("left__"))
-    out = both.withColumn("text", text).filter(F.col("left__").isNull() | (F.length(F.trim("text")) > 0))
-    return out.withColumn("n_chars", F.when(F.col("left__").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    out = deduplicated(docs)
+    cut = F.col("n_removed") > 0
+    out = out.filter(~cut | (F.length(F.trim("left")) > 0))
+    columns = []
+    for i, c in enumerate(docs.columns):
+        if c == "text":
+            columns.append(F.when(cut, F.col("left")).otherwise(F.col("text")).alias(c))
+        elif c == "n_chars":
+            columns.append(F.when(cut, F.char_length("left")).otherwise(F.col(f"column_{i}")).cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col(f"column_{i}").alias(c))
+    return out.select(*columns)

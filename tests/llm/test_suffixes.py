@@ -21,7 +21,7 @@ def test_order_and_common_prefixes(symbols, limit, held):
     s, k = (np.concatenate([g[i] for g in got]).tolist() for i in (0, 1))
     assert sorted(s) == list(range(len(t)))
     for x, y, c in zip(s, s[1:], k[1:], strict=False):
-        assert t[x : x + 2 * limit] >= t[y : y + 2 * limit]
+        assert t[x : x + limit] >= t[y : y + limit]
         n = 0
         while n < limit and x + n < len(t) and y + n < len(t) and t[x + n] == t[y + n]:
             n += 1
@@ -29,7 +29,7 @@ def test_order_and_common_prefixes(symbols, limit, held):
 
 
 def brute(rows):
-    raw = [(i, (t or "").encode()) for i, t in rows]
+    raw = [(S.LAST if i is None else i, (t or "").encode()) for i, t in rows]
     first = {}
     for i, r in raw:
         for p in range(len(r) - 49):
@@ -43,12 +43,12 @@ def brute(rows):
                 gone[p : p + 50] = True
         spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0]) if len(r) else 0
         kept = bytes(b for b, g in zip(r, gone[:-1], strict=True) if not g)
-        out.append((i, len(r), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((i if i < S.LAST else -1, len(r), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
     return sorted(out)
 
 
 def answers(df):
-    return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in df.collect())
+    return sorted((-1 if r.column_0 is None else r.column_0, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in df.collect())
 
 
 def test_made_up_repeats(spark, monkeypatch):
@@ -66,7 +66,23 @@ def test_made_up_repeats(spark, monkeypatch):
         rows.append((i, " ".join(parts)))
     rows += [(500, "ab" * 300), (501, "b" + "ab" * 200), (502, "a" * 5000), (503, "a" * 49), (504, "a" * 50), (505, rows[3][1])]
     assert answers(S.deduplicated(odd_docs(spark, rows))) == brute(rows)
+    # by shuffles, with shards of many blocks, and with every hash of two distinct runs split
     monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(S, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(S, "HELD", 50)
+    assert answers(S.deduplicated(odd_docs(spark, rows))) == brute(rows)
+    monkeypatch.setattr(S, "SPLIT_RUNS", 1)
+    assert answers(S.deduplicated(odd_docs(spark, rows))) == brute(rows)
+
+
+def test_a_phrase_of_most_documents(spark, monkeypatch):
+    """A common phrase files only what lies within it; rows of one doc_id with different texts are one document."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9)))
+    phrase = "the same fifty bytes and some more stand in nearly every one of these documents"
+    rows = [(i, " ".join([word() for _ in range(30)] + [phrase] * (i % 3 > 0) + [word() for _ in range(30)])) for i in range(300)]
+    rows += [(7, phrase + " twice the number seven"), (None, phrase), (None, phrase + " and more without any number")]
+    monkeypatch.setattr(S, "SPLIT_RUNS", 20)
     assert answers(S.deduplicated(odd_docs(spark, rows))) == brute(rows)
 
 
@@ -86,3 +102,5 @@ def test_stage(spark):
     got = {r.doc_id: r.text for r in S.stage(spark, docs, "").collect()}
     assert got == {1: "x y " * 40, 3: "some other text that stays as it is"}
     assert S.stage(spark, docs, "").columns == docs.columns
+    few = docs.select("text", "doc_id")
+    assert {(r.doc_id, r.text) for r in S.stage(spark, few, "").collect()} == set(got.items())
