@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from gridspark.session import ship
 
@@ -92,6 +94,27 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def with_columns(docs: DataFrame, fields: list[StructField], start: Callable[[], Callable[[pa.RecordBatch], list[list]]]) -> DataFrame:
+    """All columns of docs, whatever their names, and new ones: ``start`` is called once a task and gives what makes their values from a batch.
+
+    No name of ``fields`` may be a column of docs.  In a batch, text keeps its name.
+    """
+    own = docs.toDF(*["text" if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)])
+    out = StructType([*own.schema.fields, *(StructField(f"new_{k}", f.dataType) for k, f in enumerate(fields))])
+    arrow = to_arrow_schema(out)
+    n = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = start()
+        for b in batches:
+            columns = [b.column(i).cast(arrow.field(i).type) for i in range(n)]
+            new = [pa.array(x, arrow.field(n + k).type) for k, x in enumerate(of(b))]
+            yield pa.RecordBatch.from_arrays([*columns, *new], schema=arrow)
+        trim()
+
+    return own.mapInArrow(run, out).toDF(*docs.columns, *[f.name for f in fields])
+
+
 def held_out() -> F.Column:
     """Rows that no model learns from: crc32(doc_id as text) mod 5 is 0."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -199,29 +222,34 @@ CHUNKS = 64
 TOGETHER = 256
 
 
-def array_sum(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int, kind: str = "i8") -> np.ndarray:
-    """The sum of the arrays (of one ``length``) that ``of`` makes of each task's rows.
+def array_sum(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int, real: bool = False) -> np.ndarray:
+    """The sum of the arrays (of one ``length``; whole numbers below 2**32, or ``real`` ones) that ``of`` makes of each task's rows.
 
     Arrays travel in pieces and are summed in two rounds by shuffle; the driver gets one sum.
     """
     step = -(-length // CHUNKS)
+    sent, summed = ("<f4", "<f8") if real else ("<u4", "<i8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = of(batches).astype(f"<{kind}").ravel()
+        total = of(batches).astype(sent).ravel()
         if total.any():
             pieces = [total[i * step : (i + 1) * step].tobytes() for i in range(CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([TaskContext.get().partitionId() // TOGETHER] * CHUNKS, pa.int32()), pa.array(pieces, pa.binary())], names=["chunk", "some", "x"])
+            some = [TaskContext.get().partitionId() // TOGETHER] * CHUNKS
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(some, pa.int32()), pa.array(pieces, pa.binary())], names=["chunk", "some", "x"])
         trim()
 
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(rows["x"].iloc[0]) // np.dtype(kind).itemsize, dtype=np.float64 if kind[0] == "f" else np.int64)
-        for r in rows["x"]:
-            total += np.frombuffer(r, dtype=f"<{kind}")
-        return pd.DataFrame({"chunk": [key[0]], "some": [key[1] if len(key) > 1 else 0], "x": [total.astype(f"<{kind}").tobytes()]})
+    def add(kind: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+        def sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(len(rows["x"].iloc[0]) // np.dtype(kind).itemsize, dtype=summed)
+            for r in rows["x"]:
+                total += np.frombuffer(r, dtype=kind)
+            return pd.DataFrame({"chunk": [key[0]], "some": [0], "x": [total.tobytes()]})
+
+        return sums
 
     schema = "chunk int, some int, x binary"
-    parts = df.mapInArrow(run, schema).groupBy("chunk", "some").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
-    out = np.zeros(length, dtype=kind)
+    parts = df.mapInArrow(run, schema).groupBy("chunk", "some").applyInPandas(add(sent), schema).groupBy("chunk").applyInPandas(add(summed), schema)
+    out = np.zeros(length, dtype=summed)
     for r in parts.collect():
-        out[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["x"], dtype=f"<{kind}")
+        out[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["x"], dtype=summed)
     return out

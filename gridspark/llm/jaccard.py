@@ -1,14 +1,18 @@
 """Exact Jaccard join of word shingles that skips what set relations already answer.
 
 Equal sets are one set.  Each set's shingles are put in one order, rare buckets
-first, and the first of them are indexed (a seventh at 90 percent, a quarter at 80): two sets that link share a known
-number of these.  Sets meet in blocks of bounded size (by their most shared indexed
-shingle and their size), and two blocks are compared only if they share so many
-indexed shingles, from positions at which the threshold can still be reached.  A block
-is first compared with itself and with the first block of its group; a block
-pair whose sets are by then all in one component is never compared: its answer
-follows from sets that are already known to be alike.  A comparison is one matrix
-product and returns a star for each group of linked sets, not all its pairs.
+first, and the first of them are indexed (a seventh at 90 percent, a quarter at 80):
+two sets that link share a known number of these.
+
+Sets that share their most common indexed shingle and are about as large are
+compared with one of them, the leader; those that link with it are its followers,
+kept as what they add to it and what they lack.  The index lists hold one block for
+each leader with its followers, with their sizes and first position: two blocks from
+whose sizes and positions the threshold can't be reached are skipped as a whole.  For
+two leaders that meet, the common shingles are counted once.  If they link, so do
+their groups.  If not, the followers' counts are derived from the leaders' count and
+the few shingles by which the followers differ; no follower is compared in full
+again.
 """
 
 from __future__ import annotations
@@ -16,13 +20,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import ids_and_text, mix, n_parts, split, table, word_hashes, written
+from gridspark.llm.common import array_sum, fresh, mix, order_classes, split, table, trim, word_hashes, written
 
 #: Words of a shingle and percent of two linked sets' union that they share: in the query, and in the pipeline's stage.
 SHINGLE = 3
@@ -31,12 +34,16 @@ STAGE_SHINGLE = 5
 STAGE_PERCENT = 80
 #: Indexed beyond the shortest prefix: one key in so many; linked sets then share as many more.
 EXTRA = 32
-BLOCK = 128
+#: Followers of a leader that are held in one row.
+UNIT = 128
+#: Times that sets which don't link with their leader are given another one.
+ROUNDS = 2
 #: Buckets of the shingle counts that give the order; any order gives the same links.
 BUCKETS_LOG2 = 20
-CHUNKS = 64
-#: Ids up to which the candidates are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids up to which a table is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Rows without doc_id come after all others.
+LAST = (1 << 63) - 1
 _WAYS = np.random.default_rng(21).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -65,37 +72,25 @@ def shingle_hashes(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
     return mix(whole[real]), np.concatenate([[0], np.cumsum(counts)])
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc (no doc_id: LAST), tk (a hash of the text) and text (null: empty) of every row."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tk"), text.alias("text"))
+
+
 def bucket_counts(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """How many shingles of all documents fall in each bucket; the table's size is fixed."""
-    width = (1 << BUCKETS_LOG2) // CHUNKS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(1 << BUCKETS_LOG2, dtype=np.int64)
         for b in batches:
             texts = b["text"].to_pylist()
             for a, z in split(texts):
                 h, _ = shingle_hashes(texts[a:z], shingle)
                 total += np.bincount((h >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64), minlength=len(total))
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([total[i * width : (i + 1) * width].astype("<i4").tobytes() for i in range(CHUNKS)], pa.binary())], names=["chunk", "counts"])
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, dtype=np.int64)
-        for r in rows["counts"]:
-            total += np.frombuffer(r, dtype="<i4")
-        return pd.DataFrame({"chunk": [key[0]], "counts": [total.astype("<i8").tobytes()]})
+        return total
 
-    parts = ids_and_text(docs).mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()
-    out = np.zeros(1 << BUCKETS_LOG2, dtype=np.int64)
-    for r in parts:
-        out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], dtype="<i8")
-    return out
-
-
-def order_classes(counts: np.ndarray) -> np.ndarray:
-    """A class from 0 to 15 for each bucket, by how far its count stands above the usual one."""
-    usual = max(1.0, float(np.median(counts)))
-    return np.clip(np.ceil(np.log2(np.maximum(counts / usual, 1.0)) * 2), 0, 15).astype(np.uint64)
+    return array_sum(rows_of(docs).select("text"), count, 1 << BUCKETS_LOG2)
 
 
 def _keys(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -113,26 +108,30 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def sets(docs: DataFrame, classes: np.ndarray, whole: bool, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (distinct shingles), sig (hash of the set) and keys: the indexed ones, or if ``whole`` all of them, six bytes each."""
-    held = docs.sparkSession.sparkContext.broadcast(classes)
+def sets(rows: DataFrame, classes: object, whole: bool, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc, tk, n (distinct shingles), node (a hash of the set) and keys: the indexed ones, or if ``whole`` all of them, six bytes each.
+
+    ``classes``: a broadcast of order_classes().
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = held.value
+        by = classes.value
         for b in batches:
-            texts, ids = b["text"].to_pylist(), b["doc_id"].to_pylist()
+            texts = b["text"].to_pylist()
             for a, z in split(texts):
                 h, at = shingle_hashes(texts[a:z], shingle)
-                n, sig, keys = [], [], []
-                for i in range(z - a):
-                    own = np.unique(h[at[i] : at[i + 1]])
+                n, node, keys = [], [], []
+                for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own = np.unique(h[s:e])
                     n.append(len(own))
-                    sig.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    node.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                     k = np.sort(_keys(own, by))
                     keys.append(_packed(k) if whole else k[: prefix_length(len(k), percent)].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:z], pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.binary() if whole else pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "keys"])
+                some = b.slice(a, z - a)
+                yield pa.RecordBatch.from_arrays([some["doc"], some["tk"], pa.array(n, pa.int64()), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.binary() if whole else pa.list_(pa.int64()))], names=["doc", "tk", "n", "node", "keys"])
+        trim()
 
-    return ids_and_text(docs).mapInArrow(run, f"doc_id long, n long, sig binary, keys {'binary' if whole else 'array<long>'}")
+    return rows.mapInArrow(run, f"doc long, tk long, n long, node long, keys {'binary' if whole else 'array<long>'}")
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -149,70 +148,85 @@ def linked(x: int, y: int, both: int, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (x + y - both)
 
 
-def _groups(mask: np.ndarray) -> list[np.ndarray]:
-    """The connected groups (two or more) of a symmetric matrix of links."""
-    out, free = [], mask.any(axis=1)
-    while free.any():
-        seen = np.zeros(len(mask), dtype=bool)
-        front = np.zeros(len(mask), dtype=bool)
-        front[int(free.argmax())] = True
-        while front.any():
-            seen |= front
-            front = mask[front].any(axis=0) & ~seen
-        out.append(np.flatnonzero(seen))
-        free &= ~seen
-    return out
-
-
-def compare(ids: list[int], raw: list[bytes], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """(doc, smallest doc of its group) for the groups that links make among these sets."""
-    keys = [_unpacked(r) for r in raw]
-    n = np.array([len(k) for k in keys])
-    names, where = np.unique(np.concatenate(keys), return_inverse=True)
-    rows = np.repeat(np.arange(len(ids)), n)
-    # keys of one set alone can't be shared
-    shared = np.bincount(where, minlength=len(names)) > 1
-    number = np.cumsum(shared) - 1
-    use = shared[where]
-    both = np.zeros((len(ids), len(ids)), dtype=np.float32)
-    columns, rows = number[where[use]], rows[use]
-    order = np.argsort(columns, kind="stable")
-    columns, rows = columns[order], rows[order]
-    width = max(1, 8_000_000 // len(ids))
-    for a in range(0, int(shared.sum()), width):
-        lo, hi = np.searchsorted(columns, [a, a + width])
-        x = np.zeros((len(ids), width), dtype=np.float32)
-        x[rows[lo:hi], columns[lo:hi] - a] = 1
-        both += x @ x.T
-    both = both.astype(np.int64)
-    mask = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-    np.fill_diagonal(mask, False)
-    out = []
-    for g in _groups(mask):
-        first = min(ids[i] for i in g)
-        out += [(ids[i], first) for i in g if ids[i] != first]
-    return out
-
-
-def _compare_blocks(pairs: DataFrame, blocks: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Links (a, b) among the sets of each block pair (b1, b2)."""
-    sides = pairs.select(F.xxhash64("b1", "b2").alias("pid"), F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
-    rows = sides.join(blocks, "block").select("pid", "doc_id", "keys").repartition(parts, "pid").sortWithinPartitions("pid")
+_COMPARED = "a long, b long, both long, na long, nb long, added binary, removed binary"
+
+
+def compared(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """For pairs of nodes (a, b): their sizes and how many shingles they have in common; of linked ones what a adds to b and what it lacks.
+
+    A b that many share is no hot task: Spark splits such a join's other side.
+    """
+    rows = pairs.join(whole.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(whole.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b").select("a", "b", "ka", "kb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, ids, keys = None, [], []
-        out: list[tuple[int, int]] = []
-        for b in batches:
-            for p, d, k in zip(b["pid"].to_pylist(), b["doc_id"].to_pylist(), b["keys"].to_pylist(), strict=True):
-                if p != pid:
-                    if len(ids) > 1:
-                        out += compare(ids, keys, percent)
-                    pid, ids, keys = p, [], []
-                ids.append(d)
-                keys.append(k)
-        if len(ids) > 1:
-            out += compare(ids, keys, percent)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+        for batch in batches:
+            both, na, nb, added, removed = [], [], [], [], []
+            for ra, rb in zip(batch["ka"], batch["kb"], strict=True):
+                x, y = _unpacked(ra.as_py()), _unpacked(rb.as_py())
+                common = _in(x, y)
+                n = int(common.sum())
+                link = linked(len(x), len(y), n, percent)
+                both.append(n)
+                na.append(len(x))
+                nb.append(len(y))
+                added.append(_packed(x[~common]) if link else None)
+                removed.append(_packed(y[~_in(y, x)]) if link else None)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array(c, pa.int64()) for c in (both, na, nb)), pa.array(added, pa.binary()), pa.array(removed, pa.binary())], names=["a", "b", "both", "na", "nb", "added", "removed"])
+        trim()
+
+    return rows.mapInArrow(run, _COMPARED)
+
+
+def _in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which keys of x stand in y; both in order."""
+    if not len(y):
+        return np.zeros(len(x), dtype=bool)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
+def _signs(added: list[bytes], removed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(follower, key, +1 or -1) of all keys by which followers differ from their leader."""
+    parts = [(i, _unpacked(r), sign) for sign, side in ((1, added), (-1, removed)) for i, r in enumerate(side)]
+    who = np.concatenate([np.full(len(k), i) for i, k, _ in parts])
+    return who, np.concatenate([k for _, k, _ in parts]), np.concatenate([np.full(len(k), s) for _, k, s in parts])
+
+
+def derived(both: int, x: np.ndarray, w: np.ndarray, one: tuple, two: tuple, n_one: int, n_two: int) -> np.ndarray:
+    """The common shingles of each follower of leader x with each of leader w, from the leaders' ``both`` and the followers' differences.
+
+    ``one`` and ``two``: _signs() of the followers.
+    """
+    counts = np.full((n_one, n_two), both, dtype=np.int64)
+    (who1, key1, sign1), (who2, key2, sign2) = one, two
+    counts += np.bincount(who1, weights=sign1 * _in(key1, w), minlength=n_one).astype(np.int64)[:, None]
+    counts += np.bincount(who2, weights=sign2 * _in(key2, x), minlength=n_two).astype(np.int64)[None, :]
+    # keys in which followers of either side differ
+    shared = np.intersect1d(key1, key2)
+    if len(shared):
+        d1, d2 = np.zeros((n_one, len(shared)), dtype=np.float32), np.zeros((n_two, len(shared)), dtype=np.float32)
+        for d, who, key, sign in ((d1, who1, key1, sign1), (d2, who2, key2, sign2)):
+            use = _in(key, shared)
+            d[who[use], np.searchsorted(shared, key[use])] = sign[use]
+        counts += np.rint(d1 @ d2.T).astype(np.int64)
+    return counts
+
+
+def _derive(rows: DataFrame, percent: int) -> DataFrame:
+    """The unit pairs (a, b) of rows with both, ka, kb and the members (sizes, added, removed) of either side in which any two link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = []
+            for i in range(batch.num_rows):
+                r = {c: batch[c][i].as_py() for c in batch.schema.names}
+                sides = [[r[f"members{k}"] or [], _signs([m["added"] for m in r[f"members{k}"]], [m["removed"] for m in r[f"members{k}"]])] for k in (1, 2)]
+                n1, n2 = (np.array([m["n"] for m in side[0]]) for side in sides)
+                counts = derived(r["both"], _unpacked(r["ka"]), _unpacked(r["kb"]), sides[0][1], sides[1][1], len(n1), len(n2))
+                if (100 * counts >= percent * (n1[:, None] + n2[None, :] - counts)).any():
+                    hit.append(i)
+            some = batch.take(pa.array(hit, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some["a"], some["b"]], names=["a", "b"])
+        trim()
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -231,64 +245,110 @@ def components(links: DataFrame) -> DataFrame:
         labels = now.select("node", "l")
 
 
-def join(docs: DataFrame, block: int = BLOCK, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+def _small(df: DataFrame) -> DataFrame:
+    """A written table as a broadcast side if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
-    Texts that are null, empty or without words have no shingles and stay alone;
-    repeated rows of a doc_id get equal answers.
-    """
-    spark = docs.sparkSession
-    parts = n_parts(spark)
-    classes = order_classes(bucket_counts(docs, shingle))
-    base = written(sets(docs, classes, False, shingle, percent))
-    reps = written(base.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    own = base.filter("n > 0").join(reps, "sig").filter("doc_id = rep").groupBy("doc_id", "n").agg(F.first("keys").alias("keys"))
-    posts = own.select("doc_id", "n", F.posexplode("keys").alias("pos", "key"))
-    # keys of one set alone lead nowhere; nor do sets that share fewer keys than a link needs
-    keys = written(own.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
-    posts = written(posts.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "key"))
+
+def _posts(nodes: DataFrame, percent: int) -> DataFrame:
+    """node, n, pos, key and c (nodes that have the key) of the index, without keys and nodes that lead nowhere."""
+    posts = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    keys = written(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
+    posts = written(posts.join(_small(keys), "key"))
     for last in (False, True):
-        posts = posts.join(posts.groupBy("doc_id").agg(F.count("*").alias("m"), F.first("n").alias("n_")).filter(F.col("m") >= needed(F.col("n_"), percent)).select("doc_id"), "doc_id", "left_semi")
+        enough = posts.groupBy("node").agg(F.count("*").alias("m"), F.first("n").alias("size")).filter(F.col("m") >= needed(F.col("size"), percent)).select("node")
+        posts = posts.join(enough, "node", "left_semi")
         posts = written(posts) if last else posts.join(posts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key")
-    # a set's home: the key that most sets share; blocks by home and size, dealt evenly
-    home = posts.groupBy("doc_id", "n").agg(F.max_by("key", F.struct(F.col("c"), -F.col("key"))).alias("home"))
-    home = written(home.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")))
-    many = home.groupBy("home", "size").agg(F.count("*").alias("c"))
-    dealt = home.join(many, ["home", "size"]).select("doc_id", "n", "home", F.xxhash64("home", "size", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / block))).alias("block"))
-    dealt = written(dealt)
-    n_ids = dealt.count()
-    small = dealt.select("doc_id", "block")
-    whole = ids_and_text(docs).join(F.broadcast(small) if n_ids <= BROADCAST_IDS else small, "doc_id")
-    keys = sets(whole.select("doc_id", "text"), classes, True, shingle, percent).select("doc_id", "keys")
-    if n_ids <= BROADCAST_IDS:
-        blocks = keys.join(F.broadcast(small), "doc_id")
-    else:
-        blocks = keys.join(small, "doc_id")
-    blocks = written(blocks.groupBy("doc_id", "block").agg(F.first("keys").alias("keys")))
-    # which blocks share an indexed key from which the threshold can be reached
-    first_of = dealt.groupBy("home").agg(F.min("block").alias("b0"))
-    star = dealt.select("home", "block").distinct().join(first_of, "home").select(F.least("block", "b0").alias("b1"), F.greatest("block", "b0").alias("b2"))
-    alone = dealt.groupBy("block").count().filter("count > 1").select(F.col("block").alias("b1"), F.col("block").alias("b2"))
-    done = written(star.filter("b1 != b2").unionByName(alone).distinct())
-    links = written(_compare_blocks(done, blocks, parts, percent))
-    known = components(links)
-    at = posts.join(dealt.select("doc_id", "block"), "doc_id").groupBy("key", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
-    x, y = at.select("key", *[F.col(c).alias(f"{c}1") for c in ("block", "lo", "hi", "pos")]), at.select("key", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "pos")])
+    return posts
+
+
+def _units(posts: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """unit (a leader), node, n, and what the node adds to its leader and lacks, for all nodes of the index."""
+    # a set's home: the key that most sets share
+    home = posts.groupBy("node", "n").agg(F.max_by("key", F.struct(F.col("c"), -F.col("key"))).alias("home"))
+    left = written(home.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")))
+    none = F.lit(b"")
+    out = None
+
+    def add(df: DataFrame) -> DataFrame:
+        return df if out is None else out.unionByName(df)
+
+    for _ in range(ROUNDS):
+        leaders = left.groupBy("home", "size").agg(F.min("node").alias("unit"))
+        dealt = written(left.join(leaders, ["home", "size"]))
+        got = written(compared(dealt.filter("node != unit").select(F.col("node").alias("a"), F.col("unit").alias("b")), whole, percent).filter("added IS NOT NULL"))
+        out = add(got.select(F.col("b").alias("unit"), F.col("a").alias("node"), F.col("na").alias("n"), "added", "removed"))
+        out = add(dealt.filter("node = unit").select("unit", "node", "n", none.alias("added"), none.alias("removed")))
+        left = dealt.filter("node != unit").drop("unit").join(got.select(F.col("a").alias("node")), "node", "left_anti")
+        left = written(left)
+        if left.isEmpty():
+            return written(out)
+    return written(add(left.select(F.col("node").alias("unit"), "node", "n", none.alias("added"), none.alias("removed"))))
+
+
+def _meetings(posts: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+    """Pairs of units (a < b) whose blocks meet in the index lists, from sizes and positions that leave the threshold in reach."""
+    at = posts.join(units.select("node", "unit"), "node").groupBy("key", "unit").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
+    x, y = (at.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("unit", "lo", "hi", "pos")]) for k in (1, 2))
     reach = F.least(F.col("hi1") - F.col("pos1"), F.col("hi2") - F.col("pos2")) * (100 + percent) >= percent * (F.col("lo1") + F.col("lo2"))
     sizes = (F.col("hi1") * 100 >= F.col("lo2") * percent) & (F.col("hi2") * 100 >= F.col("lo1") * percent)
-    # blocks all of whose sets are in one component need no further comparison with one another
-    one = dealt.join(known, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).groupBy("block").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"))
-    rest = x.join(y, "key").filter((F.col("block1") < F.col("block2")) & sizes).groupBy(F.col("block1").alias("b1"), F.col("block2").alias("b2"))
+    both = x.join(y, "key").filter((F.col("unit1") < F.col("unit2")) & sizes).groupBy(F.col("unit1").alias("a"), F.col("unit2").alias("b"))
     # at the first key that two linked sets share the threshold is in reach; further keys only count
-    rest = rest.agg(F.bool_or(reach).alias("reach"), F.count("*").alias("m"), F.min(F.least("lo1", "lo2")).alias("lo")).filter(F.col("reach") & (F.col("m") >= needed(F.col("lo"), percent))).select("b1", "b2")
-    rest = rest.join(done, ["b1", "b2"], "left_anti")
-    c1, c2 = (one.select(F.col("block").alias(f"b{k}"), F.col("c_lo").alias(f"lo{k}"), F.col("c_hi").alias(f"hi{k}")) for k in (1, 2))
-    rest = rest.join(c1, "b1").join(c2, "b2").filter("lo1 != hi1 OR lo2 != hi2 OR lo1 != lo2").select("b1", "b2")
-    more = written(_compare_blocks(rest, blocks, parts, percent))
-    all_links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a != b").unionByName(more)
-    found = known if more.isEmpty() else components(all_links)
-    named = base.select("doc_id", "n", "sig").join(reps, "sig", "left")
-    return named.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    both = both.agg(F.bool_or(reach).alias("reach"), F.count("*").alias("m"), F.min(F.least("lo1", "lo2")).alias("lo"))
+    return both.filter(F.col("reach") & (F.col("m") >= needed(F.col("lo"), percent))).select("a", "b")
+
+
+def _unit_links(posts: DataFrame, units: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs of units (a, b) of which some sets link."""
+    got = written(compared(written(_meetings(posts, units, percent)), whole, percent))
+    links = got.filter("added IS NOT NULL").select("a", "b")
+    # members of a unit in rows of bounded size, with the most that one adds and the least size
+    counted = units.groupBy("unit").agg(F.count("*").alias("members")).filter("members > 1")
+    open_pairs = got.filter("added IS NULL").select("a", "b", "both")
+    some = units.join(counted, "unit", "left").withColumn("row", F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("members", F.lit(1)) / UNIT)))
+    rows = some.groupBy("unit", "row").agg(F.collect_list(F.struct("n", "added", "removed")).alias("members"), F.min("n").alias("lo"), F.max(F.length("added") / 6).alias("most"), F.max(F.coalesce("members", F.lit(1))).alias("in_unit"))
+    rows = written(rows)
+    one, two = (rows.select(F.col("unit").alias(u), *[F.col(c).alias(f"{c}{k}") for c in ("members", "lo", "most", "in_unit")]) for u, k in (("a", 1), ("b", 2)))
+    reach = (F.col("both") + F.col("most1") + F.col("most2")) * (100 + percent) >= percent * (F.col("lo1") + F.col("lo2"))
+    pairs = open_pairs.join(one, "a").join(two, "b").filter(reach & ((F.col("in_unit1") > 1) | (F.col("in_unit2") > 1)))
+    pairs = pairs.join(whole.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(whole.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
+    more = _derive(pairs.select("a", "b", "both", "ka", "kb", "members1", "members2"), percent)
+    return links.unionByName(more.distinct())
+
+
+def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc, tk, n, node, and the component's least document as first (doc and tk; null for rows without shingles) of every row."""
+    spark = docs.sparkSession
+    classes = spark.sparkContext.broadcast(order_classes(bucket_counts(docs, shingle)))
+    base = written(sets(rows_of(docs), classes, False, shingle, percent))
+    nodes = base.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc", "tk")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = written(nodes.select("node", "rep.doc", "rep.tk", "n", "keys"))
+    posts = _posts(nodes, percent)
+    met = written(posts.select("node").distinct().join(nodes.select("node", "doc", "tk"), "node").select("doc", "tk"))
+    whole = sets(rows_of(docs).join(_small(met), ["doc", "tk"]), classes, True, shingle, percent)
+    whole = written(whole.groupBy("node").agg(F.first("keys").alias("keys")))
+    units = _units(posts, whole, percent)
+    links = written(_unit_links(posts, units, whole, percent))
+    of = units.select("node", "unit")
+    if not links.isEmpty():
+        found = components(links).select(F.col("node").alias("unit"), "component")
+        of = of.join(found, "unit", "left").select("node", F.coalesce("component", "unit").alias("unit"))
+    named = nodes.select("node", "doc", "tk").join(of, "node", "left").withColumn("unit", F.coalesce("unit", "node"))
+    least = named.groupBy("unit").agg(F.min(F.struct("doc", "tk")).alias("first"))
+    firsts = written(named.join(least, "unit").select("node", "first"))
+    return base.select("doc", "tk", "n", "node").join(firsts, "node", "left")
+
+
+def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; other columns are ignored, whatever their names.
+
+    Texts that are null, empty or without words have no shingles and stay alone.
+    Repeated rows get equal answers; rows of one doc_id with different texts are
+    different sets.  A row without doc_id has no component_id unless it is linked
+    with a numbered one.
+    """
+    doc = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return grouped(docs, shingle, percent).select(doc("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(doc("first.doc"), doc("doc")).alias("component_id"))
 
 
 def QUERY(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +356,10 @@ def QUERY(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component; repeated rows of that doc_id once."""
-    rest = join(docs, shingle=STAGE_SHINGLE, percent=STAGE_PERCENT).filter("doc_id != component_id").select("doc_id").distinct()
-    n = rest.count()
-    return docs.join(F.broadcast(rest) if n <= BROADCAST_IDS else rest, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component the document with the smallest doc_id, with all its columns; its exact repetitions are the same document."""
+    rest = grouped(docs, STAGE_SHINGLE, STAGE_PERCENT).filter("first.doc != doc OR first.tk != tk").select("doc", "tk").distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    gone = _small(written(rest).select(F.col("doc").alias(fresh("doc", docs.columns)), F.col("tk").alias(fresh("tk", docs.columns))))
+    own = gone.columns
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == gone[own[0]]) & (F.xxhash64(text) == gone[own[1]])
+    return docs.join(gone, same, "left_anti")

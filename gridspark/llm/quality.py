@@ -9,7 +9,7 @@ by a logistic curve fitted to labelled texts which neither dictionary has seen.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +17,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from gridspark.llm.common import held_out, ids_and_text, labelled_sample, logistic, table
+from gridspark.llm.common import fresh, held_out, ids_and_text, labelled_sample, logistic, table, with_columns
 
 BLOCK = 512
 LEVEL = 3
@@ -85,38 +86,34 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     return Model(good, bad, np.append(w[:-1] * 10, w[-1] + shift))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns named in ``keep`` and ``score`` (0 to 1) of every row's whole text (null: empty)."""
-    if keep is None:
-        d, keep = ids_and_text(docs), ["doc_id"]
-    else:
-        d = docs
-    fields = [f for f in d.schema.fields if f.name in keep]
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import DoubleType, StructField, StructType
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of docs and, as ``name``, the score (0 to 1) of every row's whole text (null: empty).
 
-    out = StructType([*fields, StructField("score__", DoubleType())])
-    arrow = to_arrow_schema(out)
-    names = [f.name for f in fields]
+    Equal texts get equal scores; an empty table gives an empty result.  ``name``
+    must not be a column of docs.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.RecordBatch], list[list]]:
         curve = np.zeros(4) if model.curve is None else model.curve
         sizes = None if model.curve is None else Sizes(model.good, model.bad)
-        for b in batches:
+
+        def of(b: pa.RecordBatch) -> list[list]:
             x = np.array([sizes.measures(t or "") if sizes else (0.0, 0.0, 0.0) for t in b["text"].to_pylist()]).reshape(-1, 3)
-            p = 1 / (1 + np.exp(-np.clip(x @ curve[:3] + curve[3], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[b[n].cast(arrow.field(n).type) for n in names], pa.array(p, pa.float64())], schema=arrow)
+            return [1 / (1 + np.exp(-np.clip(x @ curve[:3] + curve[3], -30, 30)))]
+
+        return of
 
-    return d.mapInArrow(run, out)
+    return with_columns(docs, [StructField(name, DoubleType())], start)
 
 
 def QUERY(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), F.col("score__").alias("score"), (F.col("score__") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(ids_and_text(docs), model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject, with their columns, whatever these are called."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, docs.columns).filter(F.col("score__") >= THRESHOLD).select(*docs.columns)
+    name = fresh("score", docs.columns)
+    return score(docs, model, name).filter(F.col(name) >= THRESHOLD).drop(name)

@@ -55,8 +55,8 @@ def test_stages_against_brute_force(spark):
     sizes = quality.Sizes(model.good, model.bad)
     score = lambda t: 1 / (1 + np.exp(-(np.dot(sizes.measures(t), model.curve[:3]) + model.curve[3])))
     assert good == {i: t for i, t in start.items() if score(t) >= 0.3}
-    groups = test_jaccard.brute(list(good.items()))
-    assert single == {i: t for i, t in good.items() if groups[i][1] == i}
+    groups = test_jaccard.brute(list(good.items()), 5, 80)
+    assert single == {d: good[d] for d, _, c in groups if c == d}
     assert cut == _cut(sorted(single.items()))
     assert all(r.n_chars == len(cut[r.doc_id]) for r in results[2].collect())
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))

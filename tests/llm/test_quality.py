@@ -35,11 +35,11 @@ def test_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1, 0), (7, 0, 0), (4, None, None)], "doc_id long, quality int, toxic int")
     docs = odd_docs(spark, TEXTS)
     model = Q.train(docs, labels)
-    got = Q.score(docs, model, docs.columns).collect()
-    assert len(got) == len(TEXTS) and {r.score__ for r in got} == {0.5}
+    got = Q.score(docs, model, "score_").collect()
+    assert len(got) == len(TEXTS) and {r.score_ for r in got} == {0.5} and Q.score(docs, model, "score_").columns[:-1] == docs.columns
     model = Q.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
-    got = Q.score(docs, model).collect()
-    assert len(got) == len(TEXTS) and all(0 <= r.score__ <= 1 for r in got)
-    assert len({r.score__ for r in got if r.doc_id in (0, 1)}) == 1
-    assert Q.score(odd_docs(spark, []), model).count() == 0
+    got = Q.score(docs, model, "score_").collect()
+    assert len(got) == len(TEXTS) and all(0 <= r.score_ <= 1 for r in got)
+    assert len({r.score_ for r in got if r.doc_id in (0, 1)}) == 1
+    assert Q.score(odd_docs(spark, []), model, "score_").count() == 0
     assert Q.train(odd_docs(spark, []), labels.limit(0)).curve is None
