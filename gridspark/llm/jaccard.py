@@ -5,14 +5,14 @@ first, and the first of them are indexed (a seventh at 90 percent, a quarter at
 two sets that link share a known number of these.
 
 Sets that share their most common indexed shingle and are about as large are
-compared with one of them, the leader; those that link with it are its followers,
-kept as what they add to it and what they lack.  The index lists hold one block for
-each leader with its followers, with their sizes and first position: two blocks from
+compared with one of them, the leader; those that are alike are its followers, kept
+as what they add to it and what they lack.  The index lists hold one block for each
+leader with its followers, with their sizes and first position: two blocks from
 whose sizes and positions the threshold can't be reached are skipped as a whole.  For
-two leaders that meet, the common shingles are counted once.  If they link, so do
-their groups.  If not, the followers' counts are derived from the leaders' count and
-the few shingles by which the followers differ; no follower is compared in full
-again.
+two leaders that meet, the common shingles are counted once.  The followers' counts,
+with one another and with other leaders' followers, are derived from the leaders'
+count and the few shingles by which the followers differ; no follower is compared in
+full again.  What is known to be in one component is never derived.
 """
 
 from __future__ import annotations
@@ -34,14 +34,15 @@ STAGE_SHINGLE = 5
 STAGE_PERCENT = 80
 #: Indexed beyond the shortest prefix: one key in so many; linked sets then share as many more.
 EXTRA = 32
-#: Followers of a leader that are held in one row.
+#: Followers of a leader that are held in one row, and how much less than ``PERCENT`` makes a follower.
 UNIT = 128
-#: Times that sets which don't link with their leader are given another one.
+LOOSER = 20
+#: Times that sets which aren't alike their leader are given another one.
 ROUNDS = 2
 #: Buckets of the shingle counts that give the order; any order gives the same links.
 BUCKETS_LOG2 = 20
 #: Ids up to which a table is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 100_000
 #: Rows without doc_id come after all others.
 LAST = (1 << 63) - 1
 _WAYS = np.random.default_rng(21).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -148,11 +149,11 @@ def linked(x: int, y: int, both: int, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (x + y - both)
 
 
-_COMPARED = "a long, b long, both long, na long, nb long, added binary, removed binary"
+_COMPARED = "a long, b long, both long, na long, nb long, link boolean, added binary, removed binary"
 
 
 def compared(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """For pairs of nodes (a, b): their sizes and how many shingles they have in common; of linked ones what a adds to b and what it lacks.
+    """For pairs of nodes (a, b): their sizes, how many shingles they have in common, and whether they link; if they are alike, what a adds to b and what it lacks.
 
     A b that many share is no hot task: Spark splits such a join's other side.
     """
@@ -160,18 +161,19 @@ def compared(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both, na, nb, added, removed = [], [], [], [], []
+            both, na, nb, link, added, removed = [], [], [], [], [], []
             for ra, rb in zip(batch["ka"], batch["kb"], strict=True):
                 x, y = _unpacked(ra.as_py()), _unpacked(rb.as_py())
                 common = _in(x, y)
                 n = int(common.sum())
-                link = linked(len(x), len(y), n, percent)
+                alike = linked(len(x), len(y), n, percent - LOOSER)
+                link.append(linked(len(x), len(y), n, percent))
                 both.append(n)
                 na.append(len(x))
                 nb.append(len(y))
-                added.append(_packed(x[~common]) if link else None)
-                removed.append(_packed(y[~_in(y, x)]) if link else None)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array(c, pa.int64()) for c in (both, na, nb)), pa.array(added, pa.binary()), pa.array(removed, pa.binary())], names=["a", "b", "both", "na", "nb", "added", "removed"])
+                added.append(_packed(x[~common]) if alike else None)
+                removed.append(_packed(y[~_in(y, x)]) if alike else None)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array(c, pa.int64()) for c in (both, na, nb)), pa.array(link, pa.bool_()), pa.array(added, pa.binary()), pa.array(removed, pa.binary())], names=["a", "b", "both", "na", "nb", "link", "added", "removed"])
         trim()
 
     return rows.mapInArrow(run, _COMPARED)
@@ -211,24 +213,53 @@ def derived(both: int, x: np.ndarray, w: np.ndarray, one: tuple, two: tuple, n_o
     return counts
 
 
-def _derive(rows: DataFrame, percent: int) -> DataFrame:
-    """The unit pairs (a, b) of rows with both, ka, kb and the members (sizes, added, removed) of either side in which any two link."""
+def _groups(mask: np.ndarray) -> list[np.ndarray]:
+    """The connected groups (two or more) of a symmetric matrix of links."""
+    out, free = [], mask.any(axis=1)
+    while free.any():
+        seen = np.zeros(len(mask), dtype=bool)
+        front = np.zeros(len(mask), dtype=bool)
+        front[int(free.argmax())] = True
+        while front.any():
+            seen |= front
+            front = mask[front].any(axis=0) & ~seen
+        out.append(np.flatnonzero(seen))
+        free &= ~seen
+    return out
+
+
+def _derive(pairs: DataFrame, rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the linked members of each pair of rows (row1, row2, both): a star for each group, not all its pairs."""
+    for k in (1, 2):
+        side = rows.select(F.col("row").alias(f"row{k}"), F.col("unit").alias(f"unit{k}"), F.col("members").alias(f"members{k}"))
+        keys = whole.select(F.col("node").alias(f"unit{k}"), F.col("keys").alias(f"keys{k}"))
+        pairs = pairs.join(side, f"row{k}").join(keys, f"unit{k}")
+    pairs = pairs.select("both", "keys1", "keys2", "members1", "members2")
+
+    def links(r: dict) -> list[tuple[int, int]]:
+        sides = [r["members1"], r["members2"]]
+        signs = [_signs([m["added"] for m in side], [m["removed"] for m in side]) for side in sides]
+        n1, n2 = (np.array([m["n"] for m in side]) for side in sides)
+        counts = derived(r["both"], _unpacked(r["keys1"]), _unpacked(r["keys2"]), *signs, len(n1), len(n2))
+        hit = 100 * counts >= percent * (n1[:, None] + n2[None, :] - counts)
+        # rows and columns with a link, as one graph
+        i, j = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+        mask = np.zeros((len(i) + len(j),) * 2, dtype=bool)
+        mask[: len(i), len(i) :] = hit[np.ix_(i, j)]
+        mask |= mask.T
+        nodes = [sides[0][x]["node"] for x in i.tolist()] + [sides[1][x]["node"] for x in j.tolist()]
+        return [(nodes[x], nodes[g[0]]) for g in _groups(mask) for x in g[1:].tolist() if nodes[x] != nodes[g[0]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = []
             for i in range(batch.num_rows):
-                r = {c: batch[c][i].as_py() for c in batch.schema.names}
-                sides = [[r[f"members{k}"] or [], _signs([m["added"] for m in r[f"members{k}"]], [m["removed"] for m in r[f"members{k}"]])] for k in (1, 2)]
-                n1, n2 = (np.array([m["n"] for m in side[0]]) for side in sides)
-                counts = derived(r["both"], _unpacked(r["ka"]), _unpacked(r["kb"]), sides[0][1], sides[1][1], len(n1), len(n2))
-                if (100 * counts >= percent * (n1[:, None] + n2[None, :] - counts)).any():
-                    hit.append(i)
-            some = batch.take(pa.array(hit, pa.int64()))
-            yield pa.RecordBatch.from_arrays([some["a"], some["b"]], names=["a", "b"])
+                found = links({c: batch[c][i].as_py() for c in batch.schema.names})
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         trim()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -263,7 +294,7 @@ def _posts(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _units(posts: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """unit (a leader), node, n, and what the node adds to its leader and lacks, for all nodes of the index."""
+    """unit (a leader), node, n, link (with the leader), and what the node adds to its leader and lacks, for all nodes of the index."""
     # a set's home: the key that most sets share
     home = posts.groupBy("node", "n").agg(F.max_by("key", F.struct(F.col("c"), -F.col("key"))).alias("home"))
     left = written(home.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")))
@@ -273,17 +304,19 @@ def _units(posts: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     def add(df: DataFrame) -> DataFrame:
         return df if out is None else out.unionByName(df)
 
+    def alone(df: DataFrame) -> DataFrame:
+        return df.select(F.col("node").alias("unit"), "node", "n", F.lit(True).alias("link"), none.alias("added"), none.alias("removed"))
+
     for _ in range(ROUNDS):
         leaders = left.groupBy("home", "size").agg(F.min("node").alias("unit"))
         dealt = written(left.join(leaders, ["home", "size"]))
         got = written(compared(dealt.filter("node != unit").select(F.col("node").alias("a"), F.col("unit").alias("b")), whole, percent).filter("added IS NOT NULL"))
-        out = add(got.select(F.col("b").alias("unit"), F.col("a").alias("node"), F.col("na").alias("n"), "added", "removed"))
-        out = add(dealt.filter("node = unit").select("unit", "node", "n", none.alias("added"), none.alias("removed")))
-        left = dealt.filter("node != unit").drop("unit").join(got.select(F.col("a").alias("node")), "node", "left_anti")
-        left = written(left)
+        out = add(got.select(F.col("b").alias("unit"), F.col("a").alias("node"), F.col("na").alias("n"), "link", "added", "removed"))
+        out = add(alone(dealt.filter("node = unit")))
+        left = written(dealt.filter("node != unit").drop("unit").join(got.select(F.col("a").alias("node")), "node", "left_anti"))
         if left.isEmpty():
             return written(out)
-    return written(add(left.select(F.col("node").alias("unit"), "node", "n", none.alias("added"), none.alias("removed"))))
+    return written(add(alone(left)))
 
 
 def _meetings(posts: DataFrame, units: DataFrame, percent: int) -> DataFrame:
@@ -298,22 +331,51 @@ def _meetings(posts: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("reach") & (F.col("m") >= needed(F.col("lo"), percent))).select("a", "b")
 
 
-def _unit_links(posts: DataFrame, units: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Pairs of units (a, b) of which some sets link."""
-    got = written(compared(written(_meetings(posts, units, percent)), whole, percent))
-    links = got.filter("added IS NOT NULL").select("a", "b")
-    # members of a unit in rows of bounded size, with the most that one adds and the least size
-    counted = units.groupBy("unit").agg(F.count("*").alias("members")).filter("members > 1")
-    open_pairs = got.filter("added IS NULL").select("a", "b", "both")
-    some = units.join(counted, "unit", "left").withColumn("row", F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("members", F.lit(1)) / UNIT)))
-    rows = some.groupBy("unit", "row").agg(F.collect_list(F.struct("n", "added", "removed")).alias("members"), F.min("n").alias("lo"), F.max(F.length("added") / 6).alias("most"), F.max(F.coalesce("members", F.lit(1))).alias("in_unit"))
-    rows = written(rows)
-    one, two = (rows.select(F.col("unit").alias(u), *[F.col(c).alias(f"{c}{k}") for c in ("members", "lo", "most", "in_unit")]) for u, k in (("a", 1), ("b", 2)))
+def _rows(units: DataFrame) -> DataFrame:
+    """Members of a unit in rows of bounded size: row (its id), unit, link, first (of its unit), members, and the least size and the most that a member adds.
+
+    Members that link with their leader stand in rows of their own: they are in one component.
+    """
+    counted = units.groupBy("unit", "link").agg(F.count("*").alias("c"))
+    dealt = units.join(counted, ["unit", "link"]).withColumn("part", F.when(F.col("node") == F.col("unit"), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / UNIT))))
+    members = F.collect_list(F.struct("node", "n", "added", "removed"))
+    rows = dealt.groupBy("unit", "link", "part").agg(members.alias("members"), F.min("n").alias("lo"), F.max(F.length("added") / 6).alias("most"), F.max(F.when(F.col("node") == F.col("unit"), F.col("n"))).alias("n_leader"))
+    return written(rows.withColumn("row", F.xxhash64("unit", "link", "part")).withColumn("first", F.col("n_leader").isNotNull()))
+
+
+def _known(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """row and its least and greatest component."""
+    nodes = rows.select("row", F.explode("members.node").alias("node"))
+    return nodes.join(of, "node", "left").withColumn("c", F.coalesce("component", "node")).groupBy("row").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+
+
+def _links(posts: DataFrame, units: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what the links of all pairs of sets connect."""
+    rows = _rows(units)
+    met = written(compared(written(_meetings(posts, units, percent)), whole, percent).drop("added", "removed"))
+    links = units.filter("link AND node != unit").select(F.col("node").alias("a"), F.col("unit").alias("b")).unionByName(met.filter("link").select("a", "b"))
+    # rows of followers that don't link with their leader: with themselves and with the leader's row
+    loose = rows.filter("NOT link").select("row", "unit")
+    heads = rows.filter("first").select("unit", F.col("row").alias("head"), F.col("n_leader").alias("both"))
+    near = loose.join(heads, "unit")
+    near = near.select(F.col("row").alias("row1"), F.explode(F.array("row", "head")).alias("row2"), "both")
+    links = written(links.unionByName(_derive(near, rows, whole, percent)))
+    if links.isEmpty():
+        known = units.select("node", F.col("node").alias("component")).limit(0)
+    else:
+        known = components(links)
+    # all other pairs of rows that the threshold leaves in reach and that aren't in one component yet
+    told = written(rows.join(_known(rows, known), "row").select("row", "unit", "link", "first", "lo", "most", "c_lo", "c_hi", F.size("members").alias("size")))
+    sides = [told.select(*[F.col(c).alias(f"{c}{k}") for c in told.columns]) for k in (1, 2)]
+    open_ = "(c_lo1 != c_hi1 OR c_lo2 != c_hi2 OR c_lo1 != c_lo2)"
+    same = sides[0].filter("NOT link1").join(sides[1].withColumnRenamed("unit2", "unit1"), "unit1").filter(f"{open_} AND row1 != row2 AND NOT first2 AND (link2 OR row1 < row2)")
+    same = same.join(heads.select(F.col("unit").alias("unit1"), "both"), "unit1").select("row1", "row2", "both")
     reach = (F.col("both") + F.col("most1") + F.col("most2")) * (100 + percent) >= percent * (F.col("lo1") + F.col("lo2"))
-    pairs = open_pairs.join(one, "a").join(two, "b").filter(reach & ((F.col("in_unit1") > 1) | (F.col("in_unit2") > 1)))
-    pairs = pairs.join(whole.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(whole.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
-    more = _derive(pairs.select("a", "b", "both", "ka", "kb", "members1", "members2"), percent)
-    return links.unionByName(more.distinct())
+    other = met.select(F.col("a").alias("unit1"), F.col("b").alias("unit2"), "both").join(sides[0], "unit1").join(sides[1], "unit2")
+    # two leaders without followers have been compared
+    other = other.filter(reach & F.expr(f"{open_} AND (size1 > 1 OR size2 > 1 OR NOT first1 OR NOT first2)")).select("row1", "row2", "both")
+    more = _derive(written(same.unionByName(other)), rows, whole, percent)
+    return written(known.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a != b").unionByName(more))
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -328,14 +390,14 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     whole = sets(rows_of(docs).join(_small(met), ["doc", "tk"]), classes, True, shingle, percent)
     whole = written(whole.groupBy("node").agg(F.first("keys").alias("keys")))
     units = _units(posts, whole, percent)
-    links = written(_unit_links(posts, units, whole, percent))
-    of = units.select("node", "unit")
-    if not links.isEmpty():
-        found = components(links).select(F.col("node").alias("unit"), "component")
-        of = of.join(found, "unit", "left").select("node", F.coalesce("component", "unit").alias("unit"))
-    named = nodes.select("node", "doc", "tk").join(of, "node", "left").withColumn("unit", F.coalesce("unit", "node"))
-    least = named.groupBy("unit").agg(F.min(F.struct("doc", "tk")).alias("first"))
-    firsts = written(named.join(least, "unit").select("node", "first"))
+    links = _links(posts, units, whole, percent)
+    named = nodes.select("node", "doc", "tk")
+    if links.isEmpty():
+        firsts = named.select("node", F.struct("doc", "tk").alias("first"))
+    else:
+        named = named.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = named.groupBy("component").agg(F.min(F.struct("doc", "tk")).alias("first"))
+        firsts = written(named.join(least, "component").select("node", "first"))
     return base.select("doc", "tk", "n", "node").join(firsts, "node", "left")
 
 
