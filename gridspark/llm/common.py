@@ -228,7 +228,8 @@ def array_sum(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray
     Arrays travel in pieces and are summed in two rounds by shuffle; the driver gets one sum.
     """
     step = -(-length // CHUNKS)
-    sent, summed = ("<f4", "<f8") if real else ("<u4", "<i8")
+    # real sums are made in double precision, but travel as they came
+    sent, summed, to = ("<f4", "<f8", "<f4") if real else ("<u4", "<i8", "<i8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = of(batches).astype(sent).ravel()
@@ -243,13 +244,14 @@ def array_sum(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray
             total = np.zeros(len(rows["x"].iloc[0]) // np.dtype(kind).itemsize, dtype=summed)
             for r in rows["x"]:
                 total += np.frombuffer(r, dtype=kind)
-            return pd.DataFrame({"chunk": [key[0]], "some": [0], "x": [total.tobytes()]})
+            return pd.DataFrame({"chunk": [key[0]], "some": [0], "x": [total.astype(to).tobytes()]})
 
         return sums
 
     schema = "chunk int, some int, x binary"
-    parts = df.mapInArrow(run, schema).groupBy("chunk", "some").applyInPandas(add(sent), schema).groupBy("chunk").applyInPandas(add(summed), schema)
-    out = np.zeros(length, dtype=summed)
-    for r in parts.collect():
-        out[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["x"], dtype=summed)
+    parts = df.mapInArrow(run, schema).groupBy("chunk", "some").applyInPandas(add(sent), schema).groupBy("chunk").applyInPandas(add(to), schema)
+    out = np.zeros(length, dtype=to)
+    for r in parts.toLocalIterator():
+        out[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["x"], dtype=to)
+    trim()
     return out
