@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,16 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import table
+from gridspark.llm.common import table, trim
 
 #: Bounds of the training sample: pages, and characters of a page.
 SAMPLE_PAGES = 400
 MAX_CHARS = 100_000
 ROUNDS, DEPTH, BINS, RATE = 40, 3, 32, 0.3
 
+#: What stands in a tag behind its name; a "<" outside quotes ends the attempt, so that broken markup costs no more than its length.
+_INSIDE = r"(?:[^<>\"']++|\"[^\"]*\"|'[^']*'){0,500}+"
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(script|style|textarea|xmp|iframe|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*>|.*)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|([^<]+|<)",
+    rf"<!--(?:.*?-->|.*)|<(script|style|textarea|xmp|iframe|noembed|noframes)\b{_INSIDE}>(?:.*?</\1\s*>|.*)"
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+)({_INSIDE})>|<[!?][^<>]*>|([^<]+|<)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -58,7 +61,13 @@ def parse(source: str) -> Page:
     """The nodes of a page in page order; broken markup never fails."""
     page = Page()
     stack = [0]
+    open_tags: Counter[str] = Counter()
     block = 0
+
+    def close_from(k: int) -> None:
+        open_tags.subtract(page.tag[n] for n in stack[k:])
+        del stack[k:]
+
     for m in _TOKEN.finditer(source):
         raw, close, tag, attrs, text = m[1], m[2], m[3], m[4], m[5]
         if text is not None:
@@ -70,21 +79,23 @@ def parse(source: str) -> Page:
         if tag in _BLOCK:
             block += 1
         if close:
-            if tag in (page.tag[n] for n in stack[1:]):
-                while page.tag[stack.pop()] != tag:
-                    pass
+            if open_tags[tag] > 0:
+                k = len(stack) - 1
+                while page.tag[stack[k]] != tag:
+                    k -= 1
+                close_from(k)
             continue
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and open_tags["p"] > 0:
             for k in range(len(stack) - 1, 0, -1):
                 if page.tag[stack[k]] == "p":
-                    del stack[k:]
+                    close_from(k)
                     break
                 if page.tag[stack[k]] in _CLOSES_P or page.tag[stack[k]] in ("td", "th", "button"):
                     break
-        if tag in _SAME:
+        if tag in _SAME and any(open_tags[t] > 0 for t in _SAME[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if page.tag[stack[k]] in _SAME[tag]:
-                    del stack[k:]
+                    close_from(k)
                     if tag != "tr":
                         break
                 elif page.tag[stack[k]] in _HOLDS:
@@ -95,6 +106,7 @@ def parse(source: str) -> Page:
         page.parent.append(stack[-1])
         if tag not in _VOID and not attrs.endswith("/"):
             stack.append(node)
+            open_tags[tag] += 1
     return page
 
 
@@ -276,7 +288,10 @@ def render(page: Page, keep: np.ndarray) -> str:
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Trees | None:
     """Trees from the pages (at most ``sample``, smallest hashes first) that mark their article; None without any."""
-    rows = pages.select("html").filter(F.char_length("html").between(1, MAX_CHARS)).orderBy(F.xxhash64("html")).limit(sample).collect()
+    short = pages.select("html", F.xxhash64("html").alias("h")).filter(F.char_length("html").between(1, MAX_CHARS))
+    # the hashes first, so that no task sends whole pages that aren't taken; copies of a page count once
+    picked = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(sample).collect()]
+    rows = short.filter(F.col("h") <= max(picked)).groupBy("h").agg(F.first("html").alias("html")).orderBy("h").collect() if picked else []
     xs, ys = [], []
     rng = np.random.default_rng(7)
     for r in rows:
@@ -301,7 +316,11 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Trees | None:
 
 
 def extract(pages: DataFrame, model: Trees | None) -> DataFrame:
-    """page_id, url, text and n_chars of every page (null or empty html: empty text)."""
+    """page_id, url, text and n_chars of every page; null or empty html gives an empty text.
+
+    Equal pages give equal texts and repeated rows stay; other columns are ignored,
+    whatever their names; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,6 +335,7 @@ def extract(pages: DataFrame, model: Trees | None) -> DataFrame:
                     texts.append(render(t, decode(t, odds[k : k + n])))
                     k += n
                 yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        trim()
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 

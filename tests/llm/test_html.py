@@ -64,3 +64,19 @@ def test_other_layouts():
     page = H.parse(source)
     text = H.render(page, H.decode(page, H.log_odds(None, H.describe(page))))
     assert "Sentence number 7" in text and not re.search("Site|Home|Buy|More|Mail|First", text)
+
+
+def test_broken_markup_costs_its_length():
+    import time
+
+    began = time.process_time()
+    for source in ("<a " * 20_000, "<script " * 20_000, "<! " * 20_000, "<div>" * 10_000 + "</p>" * 10_000, "<a \"'" * 20_000, "<span>" * 10_000 + "<div>" * 10_000):
+        H.render(page := H.parse(source), [True] * len(page.tag))
+    assert time.process_time() - began < 20
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    page = "<html><body><nav>menu</nav><article><p>The text of it &amp; more.</p></article></body></html>"
+    rows = [(1, "u", page, "x", 5), (1, "u", page, "x", 5), (None, None, None, "x", 5)]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"), None).collect()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "The text of it & more.", 22), (1, "The text of it & more.", 22)]
