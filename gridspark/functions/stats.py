@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.functions.quantiles import join_groups, medians
 from gridspark.safe import bias180, div
 
+
 # Columns are made when a statistic is asked for: at import there may be no session.
 def o() -> Column:
     return F.col("obs")
@@ -54,17 +56,17 @@ def _slope() -> tuple[Column, Column]:
     return F.regr_slope(m(), o()), F.regr_intercept(m(), o())
 
 
-STATS: dict[str, Agg] = {
+_PLAIN: dict[str, Agg] = {
     "STDO": lambda: F.stddev_pop(o()), "STDP": lambda: F.stddev_pop(m()),
     "NO": lambda: F.count(o()), "NP": lambda: F.count(m()), "NOP": lambda: F.count_if(o().isNotNull() & m().isNotNull()),
-    "MO": lambda: F.avg(o()), "MP": lambda: F.avg(m()), "MdnO": lambda: F.median(o()), "MdnP": lambda: F.median(m()),
-    "RM": lambda: F.avg(div(o(), m())), "RMdn": lambda: F.median(div(o(), m())),
-    "MB": lambda: F.avg(e()), "MdnB": lambda: F.median(e()), "WDMB": lambda: F.avg(c()), "WDMdnB": lambda: F.median(c()),
-    "NMB": lambda: _ratio(F.sum(e()), F.sum(o()), 100), "NMdnB": lambda: _ratio(F.median(e()), F.median(o()), 100),
-    "FB": lambda: F.avg(div(e(), m() + o())) * 200, "MNB": lambda: F.avg(div(e(), o())) * 100, "MdnNB": lambda: F.median(div(e(), o())) * 100,
-    "ME": lambda: F.avg(F.abs(e())), "MdnE": lambda: F.median(F.abs(e())), "WDME": lambda: F.avg(F.abs(c())), "WDMdnE": lambda: F.median(F.abs(c())),
-    "NME": lambda: _ratio(F.sum(F.abs(e())), F.sum(o()), 100), "NMdnE": lambda: _ratio(F.median(F.abs(e())), F.median(o()), 100),
-    "FE": lambda: F.avg(div(F.abs(e()), m() + o())) * 200, "MNE": lambda: F.avg(div(F.abs(e()), o())) * 100, "MdnNE": lambda: F.median(div(F.abs(e()), o())) * 100,
+    "MO": lambda: F.avg(o()), "MP": lambda: F.avg(m()),
+    "RM": lambda: F.avg(div(o(), m())),
+    "MB": lambda: F.avg(e()), "WDMB": lambda: F.avg(c()),
+    "NMB": lambda: _ratio(F.sum(e()), F.sum(o()), 100),
+    "FB": lambda: F.avg(div(e(), m() + o())) * 200, "MNB": lambda: F.avg(div(e(), o())) * 100,
+    "ME": lambda: F.avg(F.abs(e())), "WDME": lambda: F.avg(F.abs(c())),
+    "NME": lambda: _ratio(F.sum(F.abs(e())), F.sum(o()), 100),
+    "FE": lambda: F.avg(div(F.abs(e()), m() + o())) * 200, "MNE": lambda: F.avg(div(F.abs(e()), o())) * 100,
     "USUTPB": lambda: _ratio(F.max(m()) - F.max(o()), F.max(o()), 100), "USUTPE": lambda: _ratio(F.abs(F.max(m()) - F.max(o())), F.max(o()), 100),
     "R2": lambda: F.pow(F.corr(o(), m()), 2),
     "RMSE": lambda: F.sqrt(F.avg(e() * e())), "WDRMSE": lambda: F.sqrt(F.avg(c() * c())),
@@ -81,14 +83,42 @@ STATS: dict[str, Agg] = {
 TWO_PASS = {"d1", "E1", "IOA", "WDIOA", "AC", "WDAC"}
 ON_LINE = {"RMSEs", "RMSEu"}
 
+#: What medians are taken of.
+SERIES: dict[str, Agg] = {
+    "obs": o, "mod": m, "ratio": lambda: div(o(), m()), "e": e, "abs_e": lambda: F.abs(e()), "c": c, "abs_c": lambda: F.abs(c()), "e_obs": lambda: div(e(), o()), "abs_e_obs": lambda: div(F.abs(e()), o()),
+}
+#: A statistic of medians: the series above the line, the one below it (or none), and the factor.
+MEDIANS: dict[str, tuple[str, str | None, float]] = {
+    "MdnO": ("obs", None, 1), "MdnP": ("mod", None, 1), "RMdn": ("ratio", None, 1), "MdnB": ("e", None, 1), "WDMdnB": ("c", None, 1), "NMdnB": ("e", "obs", 100), "MdnNB": ("e_obs", None, 100),
+    "MdnE": ("abs_e", None, 1), "WDMdnE": ("abs_c", None, 1), "NMdnE": ("abs_e", "obs", 100), "MdnNE": ("abs_e_obs", None, 100),
+}
+#: Every statistic by name.
+STATS = {**_PLAIN, **MEDIANS}
+
 #: Statistics of peaks: of each group the largest values, then these over the groups.
 _PEAK: dict[str, Agg] = {
-    "MNPB": lambda: F.avg(div(e(), o())) * 100, "MdnNPB": lambda: F.median(div(e(), o())) * 100, "MNPE": lambda: F.avg(div(F.abs(e()), o())) * 100, "MdnNPE": lambda: F.median(div(F.abs(e()), o())) * 100,
-    "NMPB": lambda: _ratio(F.avg(e()), F.avg(o()), 100), "NMdnPB": lambda: _ratio(F.median(e()), F.median(o()), 100), "NMPE": lambda: _ratio(F.avg(F.abs(e())), F.avg(o()), 100), "NMdnPE": lambda: _ratio(F.median(F.abs(e())), F.median(o()), 100),
+    "MNPB": lambda: F.avg(div(e(), o())) * 100, "MNPE": lambda: F.avg(div(F.abs(e()), o())) * 100, "NMPB": lambda: _ratio(F.avg(e()), F.avg(o()), 100), "NMPE": lambda: _ratio(F.avg(F.abs(e())), F.avg(o()), 100),
 }
-PEAK = dict(_PEAK)
+_PEAK_MEDIANS: dict[str, tuple[str, str | None, float]] = {"MdnNPB": ("e_obs", None, 100), "MdnNPE": ("abs_e_obs", None, 100), "NMdnPB": ("e", "obs", 100), "NMdnPE": ("abs_e", "obs", 100)}
+PEAK = ["MNPB", "MdnNPB", "MNPE", "MdnNPE", "NMPB", "NMdnPB", "NMPE", "NMdnPE"]
 #: The same with the peaks taken along the first dimension, under the names of space-paired, time-unpaired peaks.
-PAIRED_PEAK = {f"PSUT{k}": f for k, f in _PEAK.items()}
+PAIRED_PEAK = [f"PSUT{k}" for k in PEAK]
+
+
+def _aggregate(df: DataFrame, pairs: DataFrame, names: list[str], by: list[str], plain: dict[str, Agg], of_medians: dict[str, tuple[str, str | None, float]]) -> DataFrame:
+    """Plain aggregates in one aggregation; medians by their own bounded ranking, joined by group."""
+    sums = [n for n in names if n in plain]
+    out = df.groupBy(*by).agg(*([plain[n]().alias(n) for n in sums] or [F.count("*").alias("n__")]))
+    asked = [n for n in names if n in of_medians]
+    if asked:
+        used = dict.fromkeys(s for n in asked for s in of_medians[n][:2] if s)
+        found = medians(pairs, {s: SERIES[s]() for s in used}, by).withColumnsRenamed({s: f"{s}__m" for s in used})
+        out = join_groups(out, found, by)
+        for n in asked:
+            above, below, k = of_medians[n]
+            top = F.col(f"{above}__m")
+            out = out.withColumn(n, (div(top, F.col(f"{below}__m")) if below else top) * k)
+    return out.select(*by, *names)
 
 
 def evaluate(pairs: DataFrame, names: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
@@ -98,19 +128,21 @@ def evaluate(pairs: DataFrame, names: list[str] | None = None, by: list[str] | N
     more gives these, and the few rows of groups are joined back.
     """
     names, by = list(names or STATS), list(by or [])
+    rows = pairs = pairs.select(*by, "obs", "mod")
     if set(names) & (TWO_PASS | ON_LINE):
         slope, start = _slope()
         first = pairs.groupBy(*by).agg(F.avg(o()).alias("obs_mean__"), slope.alias("m__"), start.alias("b__"))
-        pairs = pairs.join(first, by) if by else pairs.crossJoin(F.broadcast(first))
-        pairs = pairs.withColumn("line__", F.col("m__") * o() + F.col("b__"))
-    return pairs.groupBy(*by).agg(*[STATS[n]().alias(n) for n in names])
+        rows = join_groups(pairs, first, by).withColumn("line__", F.col("m__") * o() + F.col("b__"))
+    return _aggregate(rows, pairs, names, by, _PLAIN, MEDIANS)
 
 
 def peaks(pairs: DataFrame, inner: list[str], names: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """Statistics of the largest values of each inner group."""
-    table = PEAK | PAIRED_PEAK
-    top = pairs.groupBy(*(by or []), *inner).agg(F.max(o()).alias("obs"), F.max(m()).alias("mod"))
-    return top.groupBy(*(by or [])).agg(*[table[n]().alias(n) for n in names or PEAK])
+    by, names = list(by or []), list(names or PEAK)
+    top = pairs.groupBy(*by, *inner).agg(F.max(o()).alias("obs"), F.max(m()).alias("mod"))
+    plain = _PEAK | {f"PSUT{k}": f for k, f in _PEAK.items()}
+    of_medians = _PEAK_MEDIANS | {f"PSUT{k}": x for k, x in _PEAK_MEDIANS.items()}
+    return _aggregate(top, top, names, by, plain, of_medians)
 
 
 def table_of(one: DataFrame, names: list[str]) -> DataFrame:

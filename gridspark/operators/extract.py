@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.functions.quantiles import join_groups
+
 
 def val2idx(df: DataFrame, value: str, coord: list[float], method: str = "nearest", edges: list[float] | None = None, name: str = "i", clean: str = "mask") -> DataFrame:
     """Adds the index of a value on a small coordinate axis.
@@ -47,45 +50,78 @@ def val2idx(df: DataFrame, value: str, coord: list[float], method: str = "neares
 def nearest_points(points: DataFrame, grid: DataFrame, key: list[str], grid_index: str, xy: tuple[str, str] = ("lon", "lat")) -> DataFrame:
     """The grid cell nearest to each point in plain degrees; of equal distances the least index.
 
-    Bands of latitude keep it from comparing every pair: a point meets the cells of its
-    band and the neighbouring ones, and those whose best lies beyond are looked up among all.
+    Grid cells are filed in squares of doubling sizes.  The smallest square size at which a
+    point has a cell in its own or a neighbouring square bounds the distance by three of
+    these squares, so the squares four times as large around the point hold the nearest:
+    two joins by equality, at any density.  Points without coordinates have no cell (NULL).
     """
     x, y = xy
-    g = grid.select(F.col(grid_index).alias("g__"), F.col(x).alias("gx__"), F.col(y).alias("gy__"))
-    d2 = (F.col(x) - F.col("gx__")) ** 2 + (F.col(y) - F.col("gy__")) ** 2
-    band = lambda c: F.floor(c).cast("int")
-    near = points.withColumn("b__", F.explode(F.array(*[band(F.col(y)) + k for k in (-1, 0, 1)]))).join(g.withColumn("b__", band(F.col("gy__"))), "b__")
-    best = near.groupBy(*key).agg(F.min_by("g__", F.struct(d2, F.col("g__"))).alias(grid_index), F.min(d2).alias("d2"))
-    sure = best.filter(F.col("d2") <= 1.0)
-    rest = points.join(sure, key, "left_anti")
-    # far from every cell: compared in the order of the distance along latitude
-    far = rest.join(g, F.lit(True)).groupBy(*key).agg(F.min_by("g__", F.struct(d2, F.col("g__"))).alias(grid_index), F.min(d2).alias("d2"))
-    return sure.unionByName(far)
+    g = grid.select(F.col(grid_index).alias("g__"), F.col(x).cast("double").alias("gx__"), F.col(y).cast("double").alias("gy__")).dropna()
+    p = points.select(*key, F.col(x).cast("double").alias("px__"), F.col(y).cast("double").alias("py__")).distinct()
+    ends = lambda df, a, b: df.agg(*[f(c).alias(f"{n}_{c}") for c in (a, b) for n, f in (("lo", F.min), ("hi", F.max))], F.count(a).alias(f"n_{a}"))
+    r = ends(g, "gx__", "gy__").crossJoin(ends(p, "px__", "py__")).first()
+    if not r["n_gx__"] or not r["n_px__"]:
+        return p.select(*key, F.lit(None).cast(grid.schema[grid_index].dataType).alias(grid_index), F.lit(None).cast("double").alias("d2"))
+    wide, high = r["hi_gx__"] - r["lo_gx__"], r["hi_gy__"] - r["lo_gy__"]
+    size = math.sqrt(wide * high / r["n_gx__"]) or max(wide, high) / r["n_gx__"] or 1.0
+    known = [(min(r["lo_gx__"], r["lo_px__"]), max(r["hi_gx__"], r["hi_px__"])), (min(r["lo_gy__"], r["lo_py__"]), max(r["hi_gy__"], r["hi_py__"]))]
+    # at the last size any two squares touch
+    last = max(0, math.ceil(math.log2(max(max(b - a for a, b in known) / size, 1.0))))
+    square = lambda c: F.floor(c / (F.lit(size) * F.pow(F.lit(2.0), F.col("l__"))))
+    levels = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
+    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    near = lambda df: df.withColumn("i__", F.explode(around)).withColumn("j__", F.explode(around)).withColumns({"sx__": F.col("sx__") + F.col("i__"), "sy__": F.col("sy__") + F.col("j__")}).drop("i__", "j__")
+    filed = g.withColumn("l__", levels(last + 2)).withColumns({"sx__": square(F.col("gx__")), "sy__": square(F.col("gy__"))})
+    touched = near(filed.filter(F.col("l__") <= last).select("l__", "sx__", "sy__").distinct()).distinct()
+    own = [*key, "px__", "py__"]
+    at = p.withColumn("l__", levels(last)).withColumns({"sx__": square(F.col("px__")), "sy__": square(F.col("py__"))})
+    first = at.join(touched, ["l__", "sx__", "sy__"]).groupBy(*own).agg((F.min("l__") + 2).alias("l__"))
+    search = near(first.withColumns({"sx__": square(F.col("px__")), "sy__": square(F.col("py__"))}))
+    d2 = (F.col("px__") - F.col("gx__")) ** 2 + (F.col("py__") - F.col("gy__")) ** 2
+    best = search.join(filed, ["l__", "sx__", "sy__"]).groupBy(*key).agg(F.min(F.struct(d2.alias("d2"), F.col("g__"))).alias("best__"))
+    return p.select(*key).distinct().join(best, key, "left").select(*key, F.col("best__.g__").alias(grid_index), F.col("best__.d2").alias("d2"))
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str, tolerance_s: int) -> DataFrame:
     """Adds to each left row the right value nearest in time within a tolerance (NULL if none); the earlier of two as near.
 
-    Both sides are cut in buckets of the tolerance, so each row meets three buckets and not its whole key.
+    Time is cut in buckets of the tolerance.  A right row goes to its own bucket and both
+    neighbours, a left row to its own, where it sees the last right row up to it and the
+    first one from it on; so a busy key is spread over its buckets.  Of right rows of one
+    time the least value counts.
     """
     sec = lambda c: F.unix_micros(c.cast("timestamp"))
     width = tolerance_s * 1_000_000
-    keyed = left.withColumn("id__", F.monotonically_increasing_id()).withColumn("t__", sec(F.col(time)))
-    b = F.floor(F.col("t__") / width)
-    l3 = keyed.select("id__", *by, "t__", F.explode(F.array(b - 1, b, b + 1)).alias("b__"))
-    r = right.select(*by, sec(F.col(time)).alias("rt__"), F.col(value).alias("rv__")).withColumn("b__", F.floor(F.col("rt__") / width))
-    gap = F.abs(F.col("rt__") - F.col("t__"))
-    best = l3.join(r, [*by, "b__"]).filter(gap <= width).groupBy("id__").agg(F.min_by("rv__", F.struct(gap, F.col("rt__"))).alias("matched"), (F.min(gap) / 1e6).alias("gap_s"))
-    return keyed.join(best, "id__", "left").drop("id__", "t__")
-
-
-def asof_last(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
-    """Adds the last right value at or before each left row's time, by one pass over the sorted union."""
-    a = left.withColumn("side__", F.lit(1)).withColumn("v__", F.lit(None).cast(right.schema[value].dataType))
-    b = right.select(*by, time, F.lit(0).alias("side__"), F.col(value).alias("v__"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(time, "side__").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("matched", F.last("v__", ignorenulls=True).over(w)).filter("side__ = 1").drop("side__", "v__")
+    bucket = F.floor(F.col("t__") / width)
+    r = right.filter(F.col(value).isNotNull() & F.col(time).isNotNull()).select(*by, sec(F.col(time)).alias("t__"), F.col(value).alias("rv__")).withColumn("b__", F.explode(F.array(bucket - 1, bucket, bucket + 1))).withColumn("side__", F.lit(0))
+    both = left.withColumn("t__", sec(F.col(time))).withColumns({"b__": bucket, "side__": F.lit(1)}).unionByName(r, allowMissingColumns=True)
+    seen = F.when(F.col("side__") == 0, F.struct("t__", "rv__"))
+    own = Window.partitionBy(*by, "b__").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last(seen, ignorenulls=True).over(own.orderBy("t__", "side__", F.col("rv__").desc()))
+    after = F.last(seen, ignorenulls=True).over(own.orderBy(F.col("t__").desc(), "side__", F.col("rv__").desc()))
+    rows = both.withColumns({"p__": before, "n__": after}).filter("side__ = 1")
+    gap = lambda c: F.when(F.abs(F.col(c)["t__"] - F.col("t__")) <= width, F.abs(F.col(c)["t__"] - F.col("t__")))
+    rows = rows.withColumns({"gp__": gap("p__"), "gn__": gap("n__")})
+    earlier = F.col("gp__").isNotNull() & (F.col("gn__").isNull() | (F.col("gp__") <= F.col("gn__")))
+    matched = F.when(earlier, F.col("p__")["rv__"]).when(F.col("gn__").isNotNull(), F.col("n__")["rv__"])
+    return rows.select(*left.columns, matched.alias("matched"), (F.least("gp__", "gn__") / 1e6).alias("gap_s"))
+
+
+def asof_last(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str, block: str = "day") -> DataFrame:
+    """Adds the last right value at or before each left row's time.
+
+    One pass over the sorted union inside each key's blocks of time; what a block starts
+    with comes from one row a block, so a busy key is spread over its blocks.  Of right
+    rows of one time the greatest value counts.
+    """
+    a = left.withColumns({"side__": F.lit(1), "v__": F.lit(None).cast(right.schema[value].dataType)})
+    b = right.filter(F.col(value).isNotNull() & F.col(time).isNotNull()).select(*by, time, F.lit(0).alias("side__"), F.col(value).alias("v__"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("b__", F.date_trunc(block, time))
+    ends = both.groupBy(*by, "b__").agg(F.max(F.when(F.col("side__") == 0, F.struct(F.col(time).alias("t"), "v__"))).alias("e__"))
+    carried = ends.select(*by, "b__", F.last("e__", ignorenulls=True).over(Window.partitionBy(*by).orderBy("b__").rowsBetween(Window.unboundedPreceding, -1))["v__"].alias("c__"))
+    w = Window.partitionBy(*by, "b__").orderBy(time, "side__", "v__").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("s__", F.last("v__", ignorenulls=True).over(w)).filter("side__ = 1")
+    return join_groups(seen, carried, [*by, "b__"]).select(*left.columns, F.when(F.col(time).isNotNull(), F.coalesce("s__", "c__")).alias("matched"))
 
 
 def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:

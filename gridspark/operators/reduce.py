@@ -9,6 +9,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.functions.quantiles import join_groups, quantiles
 from gridspark.model import Dataset, Dims, idx
 from gridspark.safe import div
 
@@ -145,8 +146,13 @@ def mda8(ds: Dataset, dim: str) -> Dataset:
 
 def group_stats(df: DataFrame, by: list[str | Column], value: str, percents: tuple[float, ...] = ()) -> DataFrame:
     """min, mean, max and exact percentiles of a column; what diurnal cycles and profiles are drawn from."""
-    q = [F.percentile(value, F.lit(p)).alias(f"p{round(100 * p)}") for p in percents]
-    return df.groupBy(*by).agg(F.min(value).alias("v_min"), F.avg(value).alias("v_mean"), F.max(value).alias("v_max"), F.count(value).alias("n"), *q)
+    rows = df.select(*by, F.col(value).alias("value__"))
+    keys = [c for c in rows.columns if c != "value__"]
+    v = F.col("value__")
+    out = rows.groupBy(*keys).agg(F.min(v).alias("v_min"), F.avg(v).alias("v_mean"), F.max(v).alias("v_max"), F.count(v).alias("n"))
+    if percents:
+        out = join_groups(out, quantiles(rows, {"q__": v}, list(percents), keys), keys)
+    return out.select(*keys, "v_min", "v_mean", "v_max", "n", *[F.col("q__")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(percents)])
 
 
 def tagged_sums(df: DataFrame, keys: list[str], value: str, always: list[str]) -> DataFrame:
@@ -160,9 +166,7 @@ def tagged_sums(df: DataFrame, keys: list[str], value: str, always: list[str]) -
 
 def quantile_pairs(a: DataFrame, b: DataFrame, value: str, points: list[float]) -> DataFrame:
     """Quantiles of two samples side by side."""
-    at = F.array(*[F.lit(float(p)) for p in points])
-    one = lambda df, n: df.agg(F.percentile(value, at).alias(n))
-    both = one(a, "qa").crossJoin(one(b, "qb"))
+    both = quantiles(a, {"qa": F.col(value)}, points).crossJoin(quantiles(b, {"qb": F.col(value)}, points))
     return both.select(F.posexplode(F.arrays_zip("qa", "qb")).alias("i", "q")).select("i", "q.qa", "q.qb")
 
 
