@@ -22,6 +22,8 @@ CALLS = {
     "where": lambda c, a, b: F.when(c, a).otherwise(b), "power": OPERATORS["**"], "floor": F.floor, "ceil": F.ceil, "round": F.rint,
     "masked_less": lambda c, v: F.when(c >= v, c), "masked_greater": lambda c, v: F.when(c <= v, c), "masked_where": lambda cond, c: F.when(~cond, c), "masked_invalid": masked_invalid,
 }
+#: A side of at most this many cells, known from the lengths of its dimensions, is broadcast.
+BROADCAST_CELLS = 100_000
 CONSTANTS = {"pi": math.pi, "e": math.e, "c": 299_792_458.0, "g": 9.80665, "R": 8.314462618, "N_A": 6.02214076e23, "k": 1.380649e-23}
 
 
@@ -138,7 +140,7 @@ def evaluate(ds: Dataset, program: str, copy_all: bool = False) -> Dataset:
                 if not set(k) <= set(key):
                     raise ValueError(f"dimensions {k} and {key} don't fit")
                 side = out.frames[k].select(*[idx(d) for d in k], *[v for v in c.used if out.vars[v].dims == k])
-                df = df.join(F.broadcast(side) if len(k) < 2 else side, [idx(d) for d in k]) if k else df.crossJoin(F.broadcast(side))
+                df = df.join(F.broadcast(side) if math.prod(out.dims[d] for d in k) <= BROADCAST_CELLS else side, [idx(d) for d in k]) if k else df.crossJoin(F.broadcast(side))
         value = value if isinstance(value, Column) else F.lit(value)
         df = df.withColumn(name, value).select(*out.index(key), *dict.fromkeys([*out.names(key), name]))
         first = out.vars[c.used[0]]
@@ -147,3 +149,8 @@ def evaluate(ds: Dataset, program: str, copy_all: bool = False) -> Dataset:
     return out if copy_all else subset(out, made)
 
 
+def condition(ds: Dataset, text: str, key: tuple[str, ...]) -> Column | None:
+    """A condition over the variables of one group, or None if the group lacks one of them."""
+    c = _Compiler(set(ds.vars), ds.attrs)
+    value = c.visit(ast.parse(text.strip(), mode="eval").body)
+    return value if all(ds.vars[v].dims == key for v in c.used) else None

@@ -107,3 +107,63 @@ def standard_height(p_hpa: Column, scale_km: float = 7.6) -> Column:
 def cell_area(lat_south: Column, lat_north: Column, width_deg: Column, radius: float = RADIUS) -> Column:
     """m2 of a cell between two latitudes."""
     return (F.sin(F.radians(lat_north)) - F.sin(F.radians(lat_south))) * F.radians(width_deg) * radius**2
+
+
+# Half axes in metres of the spheroids that grids name by number, from 0.
+SPHEROIDS: list[tuple[str, float, float]] = [
+    ("Clarke 1866", 6378206.4, 6356583.8),
+    ("Clarke 1880", 6378249.145, 6356514.86955),
+    ("Bessel", 6377397.155, 6356078.96284),
+    ("New International 1967", 6378157.5, 6356772.2),
+    ("International 1909", 6378388.0, 6356911.94613),
+    ("WGS 72", 6378135.0, 6356750.519915),
+    ("Everest", 6377276.3452, 6356075.4133),
+    ("WGS 66", 6378145.0, 6356759.769356),
+    ("GRS 1980", 6378137.0, 6356752.314140),
+    ("Airy", 6377563.396, 6356256.91),
+    ("Modified Everest", 6377304.063, 6356103.039),
+    ("Modified Airy", 6377340.189, 6356034.448),
+    ("WGS 84", 6378137.0, 6356752.314245),
+    ("Southeast Asia", 6378155.0, 6356773.3205),
+    ("Australian National", 6378160.0, 6356774.719),
+    ("Krassovsky", 6378245.0, 6356863.0188),
+    ("Hough", 6378270.0, 6356794.343479),
+    ("Mercury 1960", 6378166.0, 6356784.283666),
+    ("Modified Mercury 1968", 6378150.0, 6356768.337303),
+    ("Normal Sphere", 6370997.0, 6370997.0),
+    ("MM5 Sphere", 6370000.0, 6370000.0),
+    ("WRF-NMM Sphere", 6371200.0, 6371200.0),
+]
+
+
+def half_axes(text: str | None = None) -> tuple[float, float]:
+    """From a spheroid's number, a radius, or two half axes; a sphere of 6,370 km if nothing is said."""
+    parts = [float(x) for x in (text or str(RADIUS)).split()]
+    if len(parts) > 2 or not parts:
+        raise ValueError(f"one or two numbers, not {text!r}")
+    if len(parts) == 2:
+        return parts[0], parts[1]
+    if 0 <= parts[0] < len(SPHEROIDS):
+        return SPHEROIDS[int(parts[0])][1:]
+    return parts[0], parts[0]
+
+
+def sigma_edges(attrs: dict, pressures: list[float] | None = None, layers: int = 1) -> list[float]:
+    """Sigma at layer edges: as given, from edge pressures, or numbers of layers where nothing else is known."""
+    if "VGLVLS" in attrs:
+        return [float(x) for x in attrs["VGLVLS"]]
+    if pressures:
+        return [(p - pressures[-1]) / (pressures[0] - pressures[-1]) for p in pressures]
+    return [float(k) for k in range(int(attrs.get("NLAYS", layers)))]
+
+
+def middles(edges: list[float]) -> list[float]:
+    return [a + (b - a) / 2 for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def pressure_edges(attrs: dict, pressures: list[float] | None = None, surface: float = 101_325.0, top: float | None = None) -> list[float]:
+    """Pressures at layer edges: as given, or of the sigma edges between the surface and the top."""
+    if pressures:
+        return list(pressures)
+    top = float(attrs.get("VGTOP", 10_000.0)) if top is None else top
+    return [s * (surface - top) + top for s in sigma_edges(attrs)]

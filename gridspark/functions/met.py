@@ -60,3 +60,20 @@ def rain_rate(water: Column) -> Column:
 
 def cloudy(depth: Column) -> Column:
     return (depth >= 5).cast("int")
+
+
+# Wobus' polynomial of saturation over water, from the constant term, and the value at 0 degrees in hPa.
+WOBUS = [0.99999683, -0.90826951e-02, 0.78736169e-04, -0.61117958e-06, 0.43884187e-08, -0.29883885e-10, 0.21874425e-12, -0.17892321e-14, 0.11112018e-16, -0.30994571e-19]
+WOBUS_E0 = 6.1078
+
+
+def saturation_wobus(t_c: Column) -> Column:
+    """hPa over water, for -50 to 100 degrees Celsius."""
+    return div(F.lit(WOBUS_E0), F.pow(polynomial(t_c, WOBUS), F.lit(8.0)))
+
+
+def saturation_mixing_ratio(p_hpa: Column, t_c: Column) -> Column:
+    """g water a kg of dry air at saturation, with the table's correction for pressure and temperature."""
+    x = (t_c - 12.5 + div(F.lit(7500.0), p_hpa)) * 0.02
+    e = (p_hpa * 4.5e-06 + x * x * 1.4e-03 + 1.0) * saturation_wobus(t_c)
+    return div(e * 0.62197, p_hpa - e) * 1000.0

@@ -75,3 +75,9 @@ def hours_between(a: tuple[int, float], b: tuple[int, float]) -> float:
 def hour_bin(ts: Column) -> Column:
     """The hour that ends at or after a time: bins open at their start."""
     return F.date_trunc("hour", F.timestamp_micros(F.unix_micros(ts.cast("timestamp")) - 1))
+
+
+def from_pieces(year: Column, month: Column, day: Column, hour: Column, minute: Column) -> Column:
+    """Timestamps of date pieces; years of two digits are 1969 to 2068; impossible dates are NULL."""
+    y = F.when(year < 69, year + 2000).when(year < 100, year + 1900).otherwise(year)
+    return F.try_make_timestamp(y, month, day, hour, minute, F.lit(0).cast("decimal(8,6)"))

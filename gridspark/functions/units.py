@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # The factor and offset from one unit to another, y = x * factor + offset.
 # The offset of Kelvin is 273.2 for agreement with existing results.
@@ -47,3 +48,29 @@ def convert(c: Column, given: str, wanted: str) -> Column:
         raise ValueError(f"no conversion from {given} to {wanted}")
     k, b = LINEAR[given, wanted]
     return c * k + b
+
+
+def profile_units(name: Column) -> Column:
+    """The unit of a profile's species by its name."""
+    mass = name.startswith("A") & F.right(name, F.lit(1)).isin("I", "J", "K") | name.startswith("ASEA")
+    return F.when(mass, "micrograms/m**3").when(name.startswith("NUM"), "#/m**3").when(name.startswith("SRF"), "m**2/m**3").otherwise("ppmV")
+
+
+# The unit of particles and of gases by kind of file.
+FILE_UNITS: dict[str, tuple[str, str]] = {
+    "EMISSIONS": ("g/time", "mol/time"),
+    "AVERAGE": ("micrograms/m**3", "ppm"),
+    "BOUNDARY": ("micrograms/m**3", "ppm"),
+    "INSTANT": ("micrograms/m**3", "micromoles/m**3"),
+    "IPR": ("micrograms/m**3", "micromoles/m**3"),
+    "AIRQUALITY": ("micrograms/m**3", "ppm"),
+    "DEPOSITION": ("g/ha", "mol/ha"),
+}
+
+
+def species_units(name: Column, kind: str, particles: list[str]) -> Column:
+    """By the kind of file and whether a species is one of the particles; deposition by the name's ending."""
+    mass, gas = FILE_UNITS[kind.strip()]
+    fallen, fallen_gas = FILE_UNITS["DEPOSITION"]
+    base = F.regexp_replace(name, "_(DD|WD)$", "")
+    return F.when(F.right(name, F.lit(3)) == "_DV", "m/s").when(base != name, F.when(base.isin(*particles), fallen).otherwise(fallen_gas)).otherwise(F.when(name.isin(*particles), mass).otherwise(gas))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.model import Dataset, idx
@@ -86,3 +86,17 @@ def paired(obs: Dataset, mod: Dataset, name: str):
     o = obs.frames[key].select(*obs.index(key), F.col(name).cast("double").alias("obs"))
     m = mod.frames[mod.vars[name].dims].select(*obs.index(key), F.col(name).cast("double").alias("mod"))
     return o.join(m, obs.index(key), "full")
+
+
+def master(parts: list[Dataset], layer: str = "LAY", surface: str = "SURFLAY") -> Dataset:
+    """The first of each variable; a layer dimension of length 1 gets its own name beside a longer one."""
+    from gridspark.operators.select import rename_dims
+
+    return merge([rename_dims(p, {layer: surface}) if p.dims.get(layer) == 1 else p for p in parts])
+
+
+def reaction_texts(net: DataFrame, by: list[str], species: str, value: str) -> DataFrame:
+    """A line for each net reaction: what it uses <-> what it makes, species in order of their names."""
+    side = lambda sign: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(value) * sign > 0, F.struct(F.col(species).alias("s"), F.abs(F.col(value).cast("double")).alias("v"))))), lambda x: F.format_string("%.6f %s", x["v"], x["s"])), " + ")
+    # as many entries a reaction as there are species
+    return net.groupBy(*by).agg(F.concat(side(-1), F.lit(" <-> "), side(1)).alias("reaction"))

@@ -158,3 +158,47 @@ def ll2ij(df: DataFrame, x: Column, y: Column, x0: float, y0: float, dx: float,
         return F.least(F.greatest(k, F.lit(0)), F.lit(n - 1)) if clean == "clip" else F.when((k >= 0) & (k < n), k)
 
     return df.withColumns({"i": cell(x, x0, dx, nx), "j": cell(y, y0, dy, ny)})
+
+
+def _up_to(axis: Column, v: Column) -> Column:
+    return F.filter(axis, lambda x: x <= v)
+
+
+def bilinear(points: DataFrame, grid: DataFrame, xy: tuple[str, str], axes: tuple[tuple[str, list[float]], tuple[str, list[float]]], value: str, name: str = "matched") -> DataFrame:
+    """Adds a grid's value between its four cells around each point; outside the axes NULL.
+
+    Each axis is an index column and its ascending coordinates.  A point meets its corners
+    by equality of their indexes; a masked corner with a share makes the result masked.
+    """
+    work = points.withColumn("corner__", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])))
+    share, on = F.lit(1.0), []
+    for c, (i, coord), bit in zip(xy, axes, ("a", "b"), strict=True):
+        axis, n, v = F.array(*[F.lit(float(x)) for x in coord]), len(coord), F.col(c).cast("double")
+        k = F.least(F.size(_up_to(axis, v)) - 1, F.lit(max(n - 2, 0)))
+        t = F.when((v >= float(coord[0])) & (v <= float(coord[-1])), F.coalesce(F.try_divide(v - F.get(axis, k), F.get(axis, k + 1) - F.get(axis, k)), F.lit(0.0)))
+        up = F.col(f"corner__.{bit}") == 1
+        work = work.withColumn(f"{i}__c", (k + F.col(f"corner__.{bit}")).cast("int"))
+        share = share * F.when(up, t).otherwise(1 - t)
+        on.append(i)
+    work = work.withColumn("w__", share).filter("w__ > 0 OR (w__ IS NULL AND corner__.a = 0 AND corner__.b = 0)")
+    g = grid.select(*[F.col(i).alias(f"{i}__c") for i in on], F.col(value).cast("double").alias("g__"))
+    both = work.join(g, [f"{i}__c" for i in on], "left").groupBy(*points.columns)
+    whole = F.count_if(F.col("g__").isNull() | F.col("w__").isNull()) == 0
+    return both.agg(F.when(whole, F.sum(F.col("w__") * F.col("g__"))).alias(name))
+
+
+def unique_points(df: DataFrame, index: list[str]) -> DataFrame:
+    """One row for each cell that points fall in, with their number; points in no cell go."""
+    return df.dropna(subset=index).groupBy(*index).agg(F.count("*").alias("n"))
+
+
+def described(df: DataFrame, number: str, tracers: DataFrame, diagnostics: DataFrame, group: str) -> DataFrame:
+    """Adds name, unit and factor of a tracer: its number and the offset of its group make the key.
+
+    Unknown groups have offset 0; unknown keys keep their number as a name and factor 1.
+    """
+    d = diagnostics.select(group, "offset")
+    t = tracers.select(F.col("number").alias("key__"), "name", "unit", "factor")
+    keyed = df.join(d, group, "left").withColumn("key__", F.col(number) + F.coalesce("offset", F.lit(0)))
+    out = keyed.join(t, "key__", "left")
+    return out.select(*df.columns, F.coalesce("name", F.col("key__").cast("string")).alias("name"), F.coalesce("unit", F.lit("")).alias("unit"), F.coalesce("factor", F.lit(1.0)).alias("factor"))

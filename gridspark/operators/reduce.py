@@ -177,3 +177,12 @@ def wind_rose(df: DataFrame, direction: str, speed: str, bins: int, bounds: list
     total = df.agg(F.count("*").alias("n_all"))
     counted = df.groupBy(sector).agg(*[F.count_if(F.col(speed) < b).alias(f"c{i}") for i, b in enumerate(bounds)])
     return counted.crossJoin(F.broadcast(total)).select("sector", *[(F.col(f"c{i}") * 100.0 / F.col("n_all")).alias(f"below_{i}") for i in range(len(bounds))])
+
+
+def bounds_along(ds: Dataset, dim: str, low: str, high: str, factor: int | None = None) -> Dataset:
+    """Bounds of merged cells: the least of the lower and the greatest of the upper ones, over all cells or blocks of ``factor``."""
+    key = ds.vars[low].dims
+    n = factor or ds.dims[dim]
+    block = F.floor(F.col(idx(dim)) / n).cast("int").alias(idx(dim))
+    df = ds.frames[key].groupBy(*_others(key, {dim}), block).agg(F.min(F.least(low, high)).alias(low), F.max(F.greatest(low, high)).alias(high))
+    return replace(ds, vars={v: ds.vars[v] for v in (low, high)}, frames={key: df.select(*ds.index(key), low, high)}, dims={**ds.dims, dim: -(-ds.dims[dim] // n)}, coords=ds.coords & {low, high})

@@ -91,3 +91,71 @@ def layer_mean(df: DataFrame, by: list[str], level: str, value: str, weight: str
     cond = (F.col(level) <= F.col("hi__")) & (F.col(level) > F.col("lo__"))
     inside = df.join(F.broadcast(layers), cond).groupBy(*by, "layer").agg(div(F.sum(value), F.sum(weight)).alias("mean"))
     return groups.select(*by, "layer").join(inside, [*by, "layer"], "left")
+
+
+def interpolate_points(ds: Dataset, name: str, coords: dict[str, list[float]], points: dict[str, list[float]], new_dim: str = "POINTS") -> Dataset:
+    """A variable of a rectangular table at points inside it, by a line along each named dimension.
+
+    Points come from the caller's program; their weights (two a dimension and point) are broadcast.
+    """
+    key, dims = ds.vars[name].dims, list(coords)
+    n = len(next(iter(points.values())))
+    table = []
+    for p in range(n):
+        rows = [((), 1.0)]
+        for d in dims:
+            rows = [((*at, i), w * x) for at, w in rows for i, _, x in linear_weights(coords[d], [points[d][p]])]
+        table += [(p, *at, w) for at, w in rows]
+    weights = F.broadcast(ds.spark.createDataFrame(table, ", ".join([f"{idx(new_dim)} int", *(f"{idx(d)} int" for d in dims), "w__ double"])))
+    rest = [idx(d) for d in key if d not in dims]
+    df = ds.frames[key].join(weights, [idx(d) for d in dims]).groupBy(*rest, idx(new_dim)).agg(F.sum(F.col(name) * F.col("w__")).alias(name))
+    to = (*[d for d in key if d not in dims], new_dim)
+    left = {d: c for d, c in ds.dims.items() if d in to}
+    return replace(ds, dims={**left, new_dim: n}, vars={name: replace(ds.vars[name], dims=to)}, frames={to: df}, coords=frozenset())
+
+
+def interpolate_sigma(ds: Dataset, dim: str, levels: list[float], new: list[float], top: float = 10_000.0, new_top: float | None = None, kind: str = "linear", surface: float = 101_325.0) -> Dataset:
+    """Layers between sigma edges to other layers: a line between middles, or shares of thickness (conserve).
+
+    Another top makes the old edges sigmas of that top first.
+    """
+    if kind not in ("linear", "conserve"):
+        raise ValueError(f"no such kind: {kind}")
+    if new_top is not None and new_top != top:
+        levels = [(s * (surface - top) + top - new_top) / (surface - new_top) for s in levels]
+    middle = lambda e: [(a + b) / 2 for a, b in zip(e, e[1:], strict=False)]
+    weights = linear_weights(middle(levels), middle(new)) if kind == "linear" else overlap_weights(levels, new)
+    return apply_weights(ds, dim, weights, len(new) - 1).set_attrs(VGLVLS=list(new), VGTOP=top if new_top is None else new_top, NLAYS=len(new) - 1)
+
+
+def eta_to_sigma(edges_hpa: list[float]) -> list[float]:
+    """Sigma edges of layers given by their pressures."""
+    return [(p - edges_hpa[-1]) / (edges_hpa[0] - edges_hpa[-1]) for p in edges_hpa]
+
+
+def to_grid(ds: Dataset, nrows: int, ncols: int, nsteps: int = 1, layer: str = "LAY") -> Dataset:
+    """A profile at each step and cell."""
+    from gridspark.operators.select import insert_dim
+
+    out = insert_dim(ds, before=layer, TSTEP=nsteps)
+    return insert_dim(insert_dim(out, after=layer, ROW=nrows), after="ROW", COL=ncols)
+
+
+def to_perimeter(ds: Dataset, nrows: int, ncols: int, layer: str = "LAY") -> Dataset:
+    """A profile at each cell around a grid: one of four sides (south, east, north, west) for each cell.
+
+    A variable with a SIDE dimension gives each side its own; others are repeated.
+    """
+    from gridspark.operators.select import insert_dim
+
+    n = 2 * (nrows + ncols) + 4
+    if "SIDE" not in ds.dims:
+        return insert_dim(ds, after=layer, PERIM=n)
+    bounds = [0, ncols + 1, ncols + nrows + 2, 2 * ncols + nrows + 3, n]
+    cells = F.broadcast(ds.spark.createDataFrame([(s, c) for s in range(4) for c in range(bounds[s], bounds[s + 1])], f"{idx('SIDE')} int, {idx('PERIM')} int"))
+    frames, kept = {}, {}
+    for key, df in ds.frames.items():
+        to = tuple("PERIM" if d == "SIDE" else d for d in key)
+        frames[to] = df.join(cells, idx("SIDE")).select(*[idx(d) for d in to], *ds.names(key)) if "SIDE" in key else df
+        kept |= {v: replace(ds.vars[v], dims=to) for v in ds.names(key)}
+    return replace(ds, dims={**{d: c for d, c in ds.dims.items() if d != "SIDE"}, "PERIM": n}, vars={v: kept[v] for v in ds.vars}, frames=frames)

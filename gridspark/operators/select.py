@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.model import Dataset, Dims, Var, idx
@@ -222,3 +223,52 @@ def new_var(ds: Dataset, name: str, value: Column, like: str, **attrs: object) -
     """A variable computed from those of one group."""
     key = ds.vars[like].dims
     return replace(ds.with_frame(key, ds.frames[key].withColumn(name, value)), vars={**ds.vars, name: Var(key, {**ds.vars[like].attrs, **attrs})})
+
+
+_MASKS = {"less": "less", "less_equal": "less_equal", "greater": "greater", "greater_equal": "greater_equal", "values": "values", "equal": "equal"}
+
+
+def mask_text(ds: Dataset, text: str) -> Dataset:
+    """``type,number``: less, less_equal, greater, greater_equal, equal, not_equal, values, invalid; ``inside,a,b`` and
+    ``outside,a,b`` with their ends inside; or ``where,expression`` over the variables of a group.
+
+    Coordinates stay as they are.  An expression masks the groups that have all of its variables.
+    """
+    kind, _, rest = text.partition(",")
+    if kind == "where":
+        from gridspark.functions.expr import condition
+
+        frames = {}
+        for key, df in ds.frames.items():
+            c = condition(ds, rest, key)
+            frames[key] = df if c is None else mask(replace(ds, frames={key: df}), where=c).frames[key]
+        return replace(ds, frames=frames)
+    if kind == "invalid":
+        return mask(ds, invalid=True)
+    if kind in _MASKS:
+        return mask(ds, **{_MASKS[kind]: float(rest)})
+    tests = {"not_equal": lambda c, a: c != a, "inside": lambda c, a, b: c.between(min(a, b), max(a, b)), "outside": lambda c, a, b: ~c.between(min(a, b), max(a, b))}
+    if kind not in tests:
+        raise ValueError(f"no such mask: {kind}")
+    at = [float(x) for x in rest.split(",")]
+    return ds.map_frames(lambda key, df: df.select(*ds.index(key), *[(F.col(v) if v in ds.coords else F.when(tests[kind](F.col(v), *at), F.lit(None)).otherwise(F.col(v))).alias(v) for v in ds.names(key)]))
+
+
+def window_from(ds: Dataset, other: dict, x: str = "COL", y: str = "ROW") -> Dataset:
+    """The cells that another grid's box covers; both grids give XORIG, YORIG, XCELL and YCELL, the other NCOLS and NROWS.
+
+    Cells of the box's edge that stand only partly in it are left out.
+    """
+    out = ds
+    for d, start, cell, n in ((x, "XORIG", "XCELL", "NCOLS"), (y, "YORIG", "YCELL", "NROWS")):
+        own, step = float(ds.attrs[start]), float(ds.attrs[cell])
+        lo = math.ceil(round((float(other[start]) - own) / step, 9))
+        hi = math.floor(round((float(other[start]) + float(other[cell]) * int(other[n]) - own) / step, 9))
+        lo, hi = max(lo, 0), min(max(hi, 0), ds.dims[d])
+        out = slice_dims(out, **{d: slice(lo, max(lo, hi))}).set_attrs(**{start: own + lo * step, n: max(hi - lo, 0)})
+    return out
+
+
+def flagged(df: DataFrame, flag: str, good: Sequence[str]) -> DataFrame:
+    """Rows whose quality flag is one of the good ones; rows without a flag go."""
+    return df.filter(F.col(flag).isin(*good))

@@ -118,3 +118,18 @@ def destagger(ds: Dataset, dim: str, name: str) -> Dataset:
 
 def head(ds: Dataset, dim: str, n: int) -> Dataset:
     return slice_dims(ds, **{dim: slice(0, n)})
+
+
+def time_edges(ds: Dataset, coord: str) -> Dataset:
+    """Bounds of times: half the mean step before and after each."""
+    key = ds.vars[coord].dims
+    df = ds.frames[key]
+    # the mean of all steps is the way from the first to the last over their number
+    n = ds.dims[key[0]]
+    ends = df.agg(F.min_by(coord, idx(key[0])).alias("first__"), F.max_by(coord, idx(key[0])).alias("last__"))
+    half = (F.col("last__") - F.col("first__")) / (2.0 * max(n - 1, 1))
+    df = df.crossJoin(F.broadcast(ends)).withColumns({f"{coord}_bounds_lo": F.col(coord) - half, f"{coord}_bounds_hi": F.col(coord) + half}).drop("first__", "last__")
+    out = ds
+    for v in (f"{coord}_bounds_lo", f"{coord}_bounds_hi"):
+        out = out.with_var(v, key, df, ds.vars[coord].attrs)
+    return out

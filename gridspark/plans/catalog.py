@@ -17,10 +17,14 @@ _SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
+    from gridspark.plans import further  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from gridspark.plans import further  # noqa: F401
+
     return dict(_SQL)
 
 

@@ -69,7 +69,8 @@ def write_grid_csv(ds: Dataset, path: str) -> list[str]:
         df = ds.to_frame(key)
         for d in key:
             if d in ds.coords:
-                df = df.join(F.broadcast(ds.frames[(d,)].select(idx(d), d)), idx(d))
+                axis = ds.frames[(d,)].select(idx(d), d)
+                df = df.join(F.broadcast(axis) if ds.dims[d] <= 100_000 else axis, idx(d))
         df = df.orderBy(*ds.index(key)).select(*[d if d in ds.coords else idx(d) for d in key], *[v for v in ds.names(key) if v not in ds.coords])
         to = f"{path}/{'_'.join(key) or 'scalar'}"
         df.write.mode("overwrite").csv(to, header=True)
