@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import decontaminate, html, jaccard, packing, quality, rules, shards, suffixes, tokens, toxic
+from gridspark.llm import centroids, codes, decontaminate, html, jaccard, licenses, packing, quality, rules, shards, suffixes, tokens, toxic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,17 @@ def queries() -> dict[str, Query]:
         "op8_toxic_spans": toxic.QUERY,
         "op9_best_fit_packing": packing.QUERY,
         "op10_latent_decontamination": decontaminate.QUERY,
+        "op11_slice_codes": codes.QUERY,
+        "op12_subvector_centroids": centroids.QUERY,
+        "op13_license_diagonals": licenses.QUERY,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_permutation_sharding": shards.sql(), "op5_rule_ledger": rules.SQL}
+    return {
+        "op3_permutation_sharding": shards.sql(),
+        "op5_rule_ledger": rules.SQL,
+        "op11_slice_codes": codes.sql(),
+        "op12_subvector_centroids": centroids.sql(),
+        "op13_license_diagonals": licenses.sql(),
+    }
