@@ -91,7 +91,7 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str
     time the least value counts.
     """
     sec = lambda c: F.unix_micros(c.cast("timestamp"))
-    width = tolerance_s * 1_000_000
+    width = max(1, tolerance_s * 1_000_000)  # equal times alone still need a bucket
     bucket = F.floor(F.col("t__") / width)
     r = right.filter(F.col(value).isNotNull() & F.col(time).isNotNull()).select(*by, sec(F.col(time)).alias("t__"), F.col(value).alias("rv__")).withColumn("b__", F.explode(F.array(bucket - 1, bucket, bucket + 1))).withColumn("side__", F.lit(0))
     both = left.withColumn("t__", sec(F.col(time))).withColumns({"b__": bucket, "side__": F.lit(1)}).unionByName(r, allowMissingColumns=True)
@@ -137,17 +137,23 @@ def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Colu
 def in_any_box(points: DataFrame, boxes: DataFrame, x: str, y: str) -> DataFrame:
     """Points that lie in one of the boxes (x0, x1, y0, y1), edges included.
 
-    Both sides are filed in square cells about as large as a box, so that a point
-    meets the boxes of its cell and not all of them.
+    A box is filed in cells of its own size, rounded up to a power of two in each
+    direction, so it takes four cells at most, and a point meets the boxes of its
+    cells and not all of them.  Points look in each pair of sizes that occurs.
     """
-    r = boxes.agg(F.avg(F.col("x1") - F.col("x0")).alias("w"), F.avg(F.col("y1") - F.col("y0")).alias("h")).first()
-    w, h = (float(v) if v and v > 0 else 1.0 for v in (r["w"], r["h"]))
-    cell = lambda c, size: F.floor(c / F.lit(size))
-    covered = lambda lo, hi, size: F.explode(F.sequence(cell(F.col(lo), size), cell(F.col(hi), size)))
-    filed = boxes.filter("x0 <= x1 AND y0 <= y1").select("x0", "x1", "y0", "y1", covered("x0", "x1", w).alias("cx")).select("*", covered("y0", "y1", h).alias("cy"))
-    px, py = points[x], points[y]
-    inside = (px >= filed["x0"]) & (px <= filed["x1"]) & (py >= filed["y0"]) & (py <= filed["y1"])
-    return points.join(filed, (cell(px, w) == filed["cx"]) & (cell(py, h) == filed["cy"]) & inside, "left_semi")
+    level = lambda lo, hi: F.greatest(F.lit(-60), F.least(F.lit(1000), F.ceil(F.log2(F.greatest(F.col(hi) - F.col(lo), F.lit(2.0**-60)))))).cast("int")
+    cell = lambda c, size: F.floor(c / F.pow(F.lit(2.0), size))
+    covered = lambda lo, hi, size: F.explode(F.sequence(cell(F.col(lo), F.col(size)), cell(F.col(hi), F.col(size))))
+    sized = boxes.filter("x0 <= x1 AND y0 <= y1").select("x0", "x1", "y0", "y1", level("x0", "x1").alias("lx__"), level("y0", "y1").alias("ly__"))
+    filed = sized.select("*", covered("x0", "x1", "lx__").alias("cx__")).select("*", covered("y0", "y1", "ly__").alias("cy__"))
+    # sizes are powers of two between the least and the largest double, so pairs of them are few
+    sizes = F.broadcast(sized.select("lx__", "ly__").distinct())
+    px, py = F.col("px__"), F.col("py__")
+    at = points.select(F.col(x).alias("px__"), F.col(y).alias("py__")).filter(px.isNotNull() & py.isNotNull()).distinct()
+    looked = at.crossJoin(sizes).withColumns({"cx__": cell(px, F.col("lx__")), "cy__": cell(py, F.col("ly__"))})
+    inside = (px >= F.col("x0")) & (px <= F.col("x1")) & (py >= F.col("y0")) & (py <= F.col("y1"))
+    hits = looked.join(filed, ["lx__", "ly__", "cx__", "cy__"]).filter(inside).select("px__", "py__").distinct()
+    return points.join(hits, (points[x] == hits["px__"]) & (points[y] == hits["py__"]), "left_semi")
 
 
 def ll2ij(df: DataFrame, x: Column, y: Column, x0: float, y0: float, dx: float, dy: float, nx: int, ny: int, clean: str = "mask") -> DataFrame:

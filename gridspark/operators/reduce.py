@@ -128,13 +128,16 @@ def day_blocks(ds: Dataset, dim: str, name: str, hours: int = 24) -> Dataset:
 
 def running_mean(ds: Dataset, dim: str, width: int, least: int) -> Dataset:
     """The mean of each cell and the width - 1 after it; masked with fewer than ``least`` valid ones.  Needs a dense group."""
+    from gridspark.operators.window import in_blocks
+
 
     def one(key: Dims, df: DataFrame) -> DataFrame:
         if dim not in key:
             return df
-        w = Window.partitionBy(*_others(key, {dim})).orderBy(idx(dim)).rowsBetween(0, width - 1)
+        rows, w, own = in_blocks(df, _others(key, {dim}), dim, ds.dims[dim], ahead=width - 1)
+        w = w.rowsBetween(0, width - 1)
         cols = [F.when(F.count(v).over(w) >= least, F.avg(v).over(w)).alias(v) for v in ds.names(key)]
-        return df.select(*ds.index(key), *cols).filter(F.col(idx(dim)) <= ds.dims[dim] - width)
+        return rows.select(*ds.index(key), own.alias("own__"), *cols).filter(F.col("own__") & (F.col(idx(dim)) <= ds.dims[dim] - width)).drop("own__")
 
     return replace(ds.map_frames(one), dims={**ds.dims, dim: ds.dims[dim] - width + 1})
 

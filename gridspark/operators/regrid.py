@@ -86,10 +86,12 @@ def interpolate_columns(df: DataFrame, by: list[str], coord: str, values: list[s
 
 def layer_mean(df: DataFrame, by: list[str], level: str, value: str, weight: str, edges: list[float]) -> DataFrame:
     """sum(value)/sum(weight) of the rows in each layer (from an edge down to the next, which belongs to it); empty layers are masked."""
-    layers = df.sparkSession.createDataFrame([(k, max(edges[k : k + 2]), min(edges[k : k + 2])) for k in range(len(edges) - 1)], "layer int, hi__ double, lo__ double")
-    groups = df.select(*by).distinct().crossJoin(F.broadcast(layers)) if by else layers
-    cond = (F.col(level) <= F.col("hi__")) & (F.col(level) > F.col("lo__"))
-    inside = df.join(F.broadcast(layers), cond).groupBy(*by, "layer").agg(div(F.sum(value), F.sum(weight)).alias("mean"))
+    layers = F.array(*[F.struct(F.lit(k).alias("layer"), F.lit(float(max(e))).alias("hi"), F.lit(float(min(e))).alias("lo")) for k, e in enumerate(zip(edges, edges[1:], strict=False))])
+    all_layers = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    groups = all_layers.withColumn("layer", F.explode(F.transform(layers, lambda x: x["layer"])))
+    level_ = F.col(level)
+    held = F.explode(F.transform(F.filter(layers, lambda x: (level_ <= x["hi"]) & (level_ > x["lo"])), lambda x: x["layer"]))
+    inside = df.withColumn("layer", held).groupBy(*by, "layer").agg(div(F.sum(value), F.sum(weight)).alias("mean"))
     return groups.select(*by, "layer").join(inside, [*by, "layer"], "left")
 
 

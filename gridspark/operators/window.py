@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridspark.model import Dataset, Dims, idx
@@ -12,16 +12,31 @@ from gridspark.operators.reduce import _others
 from gridspark.operators.select import slice_dims
 
 
-def _along(key: Dims, dim: str):
-    return Window.partitionBy(*_others(key, {dim})).orderBy(idx(dim))
+#: Cells of a block: a longer dimension is cut, so that no task ever holds all of it.
+BLOCK = 1 << 16
 
 
-def _each(ds: Dataset, dim: str, f, length: int, keep: Column | None = None, shift: int = 0) -> Dataset:
+def in_blocks(df: DataFrame, others: list[str], dim: str, n: int, back: int = 0, ahead: int = 0) -> tuple[DataFrame, WindowSpec, Column]:
+    """Rows, a window along a dimension of ``n`` cells, and which rows are the block's own.
+
+    A long dimension is cut in blocks of BLOCK cells.  What looks ``back`` and ``ahead``
+    so many cells finds copies of them at the edges of its block; only own rows
+    have right values.
+    """
+    if n <= BLOCK:
+        return df, Window.partitionBy(*others).orderBy(idx(dim)), F.lit(True)
+    i = F.col(idx(dim))
+    block = lambda c: F.greatest(F.lit(0), F.least(F.lit((n - 1) // BLOCK), F.floor(c / BLOCK).cast("int")))
+    copied = df.withColumn("block__", F.explode(F.sequence(block(i - ahead), block(i + back))))
+    return copied, Window.partitionBy(*others, "block__").orderBy(idx(dim)), F.col("block__") == block(i)
+
+
+def _each(ds: Dataset, dim: str, f, length: int, keep: Column | None = None, shift: int = 0, back: int = 0, ahead: int = 0) -> Dataset:
     def one(key: Dims, df: DataFrame) -> DataFrame:
         if dim not in key:
             return df
-        w = _along(key, dim)
-        out = df.select(*ds.index(key), *[f(F.col(v), w).alias(v) for v in ds.names(key)])
+        rows, w, own = in_blocks(df, _others(key, {dim}), dim, ds.dims[dim], back, ahead)
+        out = rows.select(*ds.index(key), own.alias("own__"), *[f(F.col(v), w).alias(v) for v in ds.names(key)]).filter("own__").drop("own__")
         if keep is not None:
             out = out.filter(keep)
         return out.withColumn(idx(dim), F.col(idx(dim)) - shift) if shift else out
@@ -34,22 +49,22 @@ def convolve(ds: Dataset, dim: str, weights: list[float], mode: str = "valid") -
     k, n = len(weights), ds.dims[dim]
     if mode == "valid":
         f = lambda c, w: sum((F.lead(c, k - 1 - i).over(w) * x for i, x in enumerate(weights)), F.lit(0.0))
-        return _each(ds, dim, f, n - k + 1, F.col(idx(dim)) <= n - k)
+        return _each(ds, dim, f, n - k + 1, F.col(idx(dim)) <= n - k, ahead=k - 1)
     if mode == "same":
         back = (k - 1) // 2
         at = lambda c, w, j: F.coalesce((F.lead(c, j) if j >= 0 else F.lag(c, -j)).over(w), F.lit(0.0))
-        return _each(ds, dim, lambda c, w: sum((at(c, w, back - i) * x for i, x in enumerate(weights)), F.lit(0.0)), n)
+        return _each(ds, dim, lambda c, w: sum((at(c, w, back - i) * x for i, x in enumerate(weights)), F.lit(0.0)), n, back=k - 1 - back, ahead=back)
     if mode != "full":
         raise ValueError(f"no such mode: {mode}")
     # pad by k - 1 cells of zero behind, then look back
-    padded = ds
+    padded = replace(ds, dims={**ds.dims, dim: n + k - 1})
     for key, df in ds.frames.items():
         if dim in key:
             others = df.select(*_others(key, {dim})).distinct()
             pad = others.crossJoin(ds.spark.range(n, n + k - 1).select(F.col("id").cast("int").alias(idx(dim))))
             padded = padded.with_frame(key, df.unionByName(pad.select(*ds.index(key), *[F.lit(0).cast(dict(df.dtypes)[v]).alias(v) for v in ds.names(key)])))
     f = lambda c, w: sum((F.coalesce(F.lag(c, i).over(w), F.lit(0.0)) * x for i, x in enumerate(weights)), F.lit(0.0))
-    return _each(padded, dim, f, n + k - 1)
+    return _each(padded, dim, f, n + k - 1, back=k - 1)
 
 
 def center(ds: Dataset, *dims: str, func: str = "mean") -> Dataset:
@@ -58,13 +73,13 @@ def center(ds: Dataset, *dims: str, func: str = "mean") -> Dataset:
     for d in dims:
         half = 2.0 if func == "mean" else 1.0
         n = out.dims[d]
-        out = _each(out, d, lambda c, w, half=half: (c + F.lead(c, 1).over(w)) / half, n - 1, F.col(idx(d)) < n - 1)
+        out = _each(out, d, lambda c, w, half=half: (c + F.lead(c, 1).over(w)) / half, n - 1, F.col(idx(d)) < n - 1, ahead=1)
     return out
 
 
 def difference(ds: Dataset, dim: str) -> Dataset:
     """Each cell less the one before; the first stays."""
-    return _each(ds, dim, lambda c, w: c - F.lag(c, 1, 0).over(w), ds.dims[dim])
+    return _each(ds, dim, lambda c, w: c - F.lag(c, 1, 0).over(w), ds.dims[dim], back=1)
 
 
 def depth(ds: Dataset, dim: str) -> Dataset:
@@ -75,11 +90,28 @@ def depth(ds: Dataset, dim: str) -> Dataset:
 def steps(ds: Dataset, dim: str) -> Dataset:
     """Each interval's change: the next cell less this one."""
     n = ds.dims[dim]
-    return _each(ds, dim, lambda c, w: F.lead(c, 1).over(w) - c, n - 1, F.col(idx(dim)) < n - 1)
+    return _each(ds, dim, lambda c, w: F.lead(c, 1).over(w) - c, n - 1, F.col(idx(dim)) < n - 1, ahead=1)
+
+
+def _scan(df: DataFrame, others: list[str], index: str, names: list[str], n: int) -> DataFrame:
+    """Running sums along an index of ``n`` places; masked before the first value."""
+    if n <= BLOCK:
+        w = Window.partitionBy(*others).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({v: F.sum(v).over(w) for v in names})
+    # sums of blocks are running sums themselves: each block starts with what those before it hold
+    block = f"{index}_block__"
+    rows = df.withColumn(block, F.floor(F.col(index) / BLOCK).cast("int")).repartition(*others, block)
+    sums = rows.groupBy(*others, block).agg(*[F.sum(v).alias(v) for v in names])
+    carried = _scan(sums, others, block, names, -(-n // BLOCK)).select(*others, (F.col(block) + 1).alias(block), *[F.col(v).alias(f"{v}__c") for v in names])
+    w = Window.partitionBy(*others, block).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.withColumns({v: F.sum(v).over(w) for v in names}).join(carried, [*others, block], "left")
+    both = lambda v: F.coalesce(F.col(v) + F.col(f"{v}__c"), F.col(v), F.col(f"{v}__c"))
+    return within.select(*[c for c in df.columns if c not in names], *[both(v).alias(v) for v in names])
 
 
 def running_total(ds: Dataset, dim: str) -> Dataset:
-    return _each(ds, dim, lambda c, w: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)), ds.dims[dim])
+    """Sums of each cell and all before it; a long dimension is summed by blocks, whose sums are carried on."""
+    return ds.map_frames(lambda key, df: _scan(df, _others(key, {dim}), idx(dim), ds.names(key), ds.dims[dim]).select(*ds.index(key), *ds.names(key)) if dim in key else df)
 
 
 def unpack_2d(ds: Dataset, rows: str, cols: str, name: str, first: float, scale: float) -> Dataset:
@@ -96,13 +128,13 @@ def unpack_2d(ds: Dataset, rows: str, cols: str, name: str, first: float, scale:
 def edges(ds: Dataset, coord: str, name: str | None = None) -> Dataset:
     """Bounds (lo, hi) of a one-dimensional coordinate: midpoints, the ends extended."""
     key = ds.vars[coord].dims
-    w = Window.orderBy(idx(key[0]))  # a coordinate: its length is known to be small
+    rows, w, own = in_blocks(ds.frames[key], [], key[0], ds.dims[key[0]], 1, 1)
     c = F.col(coord)
     before, after = F.lag(c).over(w), F.lead(c).over(w)
     lo = F.coalesce((c + before) / 2, c - (after - c) / 2)
     hi = F.coalesce((c + after) / 2, c + (c - before) / 2)
     base = name or f"{coord}_bounds"
-    df = ds.frames[key].withColumns({f"{base}_lo": lo, f"{base}_hi": hi})
+    df = rows.withColumns({f"{base}_lo": lo, f"{base}_hi": hi, "own__": own}).filter("own__").select(*ds.frames[key].columns, f"{base}_lo", f"{base}_hi")
     out = ds
     for v in (f"{base}_lo", f"{base}_hi"):
         out = out.with_var(v, key, df, ds.vars[coord].attrs)
@@ -113,7 +145,9 @@ def destagger(ds: Dataset, dim: str, name: str) -> Dataset:
     """Winds at cell edges to cell centres; the last cell keeps its own value."""
     key = ds.vars[name].dims
     c = F.col(name)
-    return ds.with_frame(key, ds.frames[key].withColumn(name, F.coalesce((c + F.lead(c).over(_along(key, dim))) / 2, c)))
+    rows, w, own = in_blocks(ds.frames[key], _others(key, {dim}), dim, ds.dims[dim], ahead=1)
+    out = rows.withColumns({name: F.coalesce((c + F.lead(c).over(w)) / 2, c), "own__": own}).filter("own__")
+    return ds.with_frame(key, out.select(*ds.index(key), *ds.names(key)))
 
 
 def head(ds: Dataset, dim: str, n: int) -> Dataset:

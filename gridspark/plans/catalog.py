@@ -17,13 +17,13 @@ _SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
-    from gridspark.plans import further  # noqa: F401  registers its queries here
+    from gridspark.plans import further, gridded  # noqa: F401  they register their queries here
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from gridspark.plans import further  # noqa: F401
+    from gridspark.plans import further, gridded  # noqa: F401
 
     return dict(_SQL)
 
@@ -50,33 +50,40 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 
 # ---------------------------------------------------------------- datasets
 
-HOURS = 720
-
-
 def event_cube(spark: SparkSession, sf_dir: str, dense: bool = True) -> Dataset:
-    """(hour, etype): mean value and count of events; cells without events are masked."""
-    e = load(spark, sf_dir, "events")
-    hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 3_600_000_000).cast("int")
+    """(hour, etype): mean value and count of events; cells without events are masked.
+
+    The first hour is that of the first event's day, the last that of the last
+    event's day, and every kind of event has its place: one aggregate tells them.
+    """
+    e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).filter(F.col("ts").isNotNull() & F.col("event_type").isNotNull())
+    first, last, kinds_n = e.agg(F.unix_micros(F.date_trunc("day", F.min("ts"))), F.unix_micros(F.date_trunc("day", F.max("ts"))), F.count_distinct("event_type")).first()
+    first, hours = first or 0, (last - first) // 3_600_000_000 + 24 if kinds_n else 0
+    hour = F.floor((F.unix_micros("ts") - F.lit(first)) / 3_600_000_000).cast("int")
     kinds = e.select("event_type").distinct().withColumn(idx("etype"), (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int"))
     cells = e.groupBy(hour.alias(idx("hour")), "event_type").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
-    rows = cells.join(F.broadcast(kinds), "event_type").filter(F.col(idx("hour")).between(0, HOURS - 1))
-    return Dataset.from_frame(rows, {"hour": HOURS, "etype": 5}, ["v", "n"], {"title": "events"}, {"v": {"units": "ppb"}, "n": {"units": "1"}}, dense=not dense)
-
-
-_CUBE = f"""
-WITH kinds AS (SELECT event_type, (row_number() OVER (ORDER BY event_type) - 1)::INT AS etype__i FROM (SELECT DISTINCT event_type FROM events)),
-cells AS (SELECT (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS h, event_type, avg(value) AS v, count(*) AS n FROM events GROUP BY ALL),
-sparse AS (SELECT h::INT AS hour__i, etype__i, v, n FROM cells JOIN kinds USING (event_type) WHERE h BETWEEN 0 AND {HOURS - 1}),
-grid AS (SELECT a.range::INT AS hour__i, b.range::INT AS etype__i FROM range({HOURS}) a, range(5) b),
+    rows = cells.join(F.broadcast(kinds), "event_type")
+    return Dataset.from_frame(rows, {"hour": hours, "etype": kinds_n}, ["v", "n"], {"title": "events"}, {"v": {"units": "ppb"}, "n": {"units": "1"}}, dense=not dense)
+
+
+# h hours and k kinds of event
+_CUBE = """
+WITH ev AS (SELECT * FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL),
+axis AS (SELECT epoch_us(date_trunc('day', min(ts))) AS origin, (epoch_us(date_trunc('day', max(ts))) - epoch_us(date_trunc('day', min(ts)))) // 3600000000 + 24 AS h, count(DISTINCT event_type) AS k FROM ev),
+kinds AS (SELECT event_type, (row_number() OVER (ORDER BY event_type) - 1)::INT AS etype__i FROM (SELECT DISTINCT event_type FROM ev)),
+cells AS (SELECT (epoch_us(ts) - origin) // 3600000000 AS hh, event_type, avg(value) AS v, count(*) AS n FROM ev, axis GROUP BY ALL),
+sparse AS (SELECT hh::INT AS hour__i, etype__i, v, n FROM cells JOIN kinds USING (event_type)),
+grid AS (SELECT hour__i, unnest(range(k))::INT AS etype__i FROM (SELECT unnest(range(h))::INT AS hour__i, k FROM axis)),
 cube AS (SELECT hour__i, etype__i, v, n FROM grid LEFT JOIN sparse USING (hour__i, etype__i))
 """
+_H, _K = "(SELECT h FROM axis)", "(SELECT k FROM axis)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> Dataset:
     """(vec, k): the cells of all embeddings."""
     e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias(idx("vec")), F.posexplode("embedding").alias(idx("k"), "v")).withColumn("v", F.col("v").cast("double"))
-    n = load(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1
-    return Dataset.from_frame(e, {"vec": n, "k": 64}, ["v"])
+    n, k = load(spark, sf_dir, "embeddings").agg(F.max("vec_id"), F.max(F.size("embedding"))).first()
+    return Dataset.from_frame(e, {"vec": n + 1, "k": k}, ["v"])
 
 
 _VEC = "WITH vec AS (SELECT vec_id::INT AS vec__i, (unnest(range(len(embedding))))::INT AS k__i, unnest(embedding)::DOUBLE AS v FROM embeddings)\n"
@@ -181,7 +188,7 @@ _RUN8 = """run AS (SELECT hour__i, etype__i, CASE WHEN count(v) OVER w >= 6 THEN
   WINDOW w AS (PARTITION BY etype__i ORDER BY hour__i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING))"""
 
 
-@query(_CUBE + f", {_RUN8} SELECT (hour__i // 24)::INT AS hour__i, etype__i, round(max(m), 6) AS v FROM run WHERE hour__i < {(HOURS - 7) // 24 * 24} GROUP BY ALL")
+@query(_CUBE + f", {_RUN8} SELECT (hour__i // 24)::INT AS hour__i, etype__i, round(max(m), 6) AS v FROM run WHERE hour__i < ({_H} - 7) // 24 * 24 GROUP BY ALL")
 def q_mda8(spark, sf_dir):
     return r6(reduce.mda8(select.subset(event_cube(spark, sf_dir), ["v"]), "hour").to_frame(), "v")
 
@@ -245,7 +252,7 @@ def _n_cube(spark, sf_dir):
 _NCUBE = _CUBE + ", z AS (SELECT hour__i, etype__i, coalesce(n, 0)::DOUBLE AS n FROM cube)\n"
 
 
-@query(_NCUBE + f"SELECT * FROM (SELECT hour__i, etype__i, 0.25 * lead(n, 2) OVER w + 0.5 * lead(n, 1) OVER w + 1.0 * n AS n FROM z {_W}) WHERE hour__i < {HOURS - 2}")
+@query(_NCUBE + f"SELECT * FROM (SELECT hour__i, etype__i, 0.25 * lead(n, 2) OVER w + 0.5 * lead(n, 1) OVER w + 1.0 * n AS n FROM z {_W}) WHERE hour__i < {_H} - 2")
 def q_convolve_valid(spark, sf_dir):
     return window.convolve(_n_cube(spark, sf_dir), "hour", [0.25, 0.5, 1.0]).to_frame()
 
@@ -255,12 +262,12 @@ def q_convolve_same(spark, sf_dir):
     return window.convolve(_n_cube(spark, sf_dir), "hour", [0.25, 0.5, 1.0], "same").to_frame()
 
 
-@query(_NCUBE + f", p AS (SELECT g.range::INT AS hour__i, e.range::INT AS etype__i, coalesce(n, 0) AS n FROM range({HOURS + 2}) g CROSS JOIN range(5) e LEFT JOIN z ON z.hour__i = g.range AND z.etype__i = e.range) SELECT hour__i, etype__i, 0.25 * n + 0.5 * coalesce(lag(n, 1) OVER w, 0) + 1.0 * coalesce(lag(n, 2) OVER w, 0) AS n FROM p {_W}")
+@query(_NCUBE + f", p AS (SELECT g.hour__i, g.etype__i, coalesce(n, 0) AS n FROM (SELECT hour__i, unnest(range(k))::INT AS etype__i FROM (SELECT unnest(range(h + 2))::INT AS hour__i, k FROM axis)) g LEFT JOIN z USING (hour__i, etype__i)) SELECT hour__i, etype__i, 0.25 * n + 0.5 * coalesce(lag(n, 1) OVER w, 0) + 1.0 * coalesce(lag(n, 2) OVER w, 0) AS n FROM p {_W}")
 def q_convolve_full(spark, sf_dir):
     return window.convolve(_n_cube(spark, sf_dir), "hour", [0.25, 0.5, 1.0], "full").to_frame()
 
 
-@query(_CUBE + f"SELECT * FROM (SELECT hour__i, etype__i, round((v + lead(v) OVER w) / 2, 6) AS v FROM cube {_W}) WHERE hour__i < {HOURS - 1}")
+@query(_CUBE + f"SELECT * FROM (SELECT hour__i, etype__i, round((v + lead(v) OVER w) / 2, 6) AS v FROM cube {_W}) WHERE hour__i < {_H} - 1")
 def q_center_time(spark, sf_dir):
     return r6(window.center(select.subset(event_cube(spark, sf_dir), ["v"]), "hour").to_frame(), "v")
 
@@ -282,17 +289,19 @@ for _op, _key in (("+", "add"), ("-", "sub"), ("*", "mul"), ("/", "div")):
 
     def _binary(spark, sf_dir, op=_op):
         ds = select.subset(event_cube(spark, sf_dir), ["v"])
-        a, b = (select.slice_dims(ds, hour=slice(k, k + HOURS // 2)) for k in (0, HOURS // 2))
+        half = ds.dims["hour"] // 2
+        a, b = (select.slice_dims(ds, hour=slice(k, k + half)) for k in (0, half))
         return r6(combine.binary(op, a, b).to_frame(), "v")
 
     _QUERIES[f"binary_op_{_key}"] = _binary
-    _SQL[f"binary_op_{_key}"] = _CUBE + f"SELECT a.hour__i, a.etype__i, round({_expr}, 6) AS v FROM cube a JOIN cube b ON b.hour__i = a.hour__i + 360 AND b.etype__i = a.etype__i WHERE a.hour__i < 360"
+    _SQL[f"binary_op_{_key}"] = _CUBE + f"SELECT a.hour__i, a.etype__i, round({_expr}, 6) AS v FROM cube a CROSS JOIN axis JOIN cube b ON b.hour__i = a.hour__i + h // 2 AND b.etype__i = a.etype__i WHERE a.hour__i < h // 2"
 
 
-@query(_CUBE + "SELECT a.hour__i, a.etype__i, round((a.v + b.v) * c.v, 4) AS v FROM cube a JOIN cube b ON b.hour__i = a.hour__i + 240 AND b.etype__i = a.etype__i JOIN cube c ON c.hour__i = a.hour__i + 480 AND c.etype__i = a.etype__i WHERE a.hour__i < 240")
+@query(_CUBE + "SELECT a.hour__i, a.etype__i, round((a.v + b.v) * c.v, 4) AS v FROM cube a CROSS JOIN axis JOIN cube b ON b.hour__i = a.hour__i + h // 3 AND b.etype__i = a.etype__i JOIN cube c ON c.hour__i = a.hour__i + h // 3 * 2 AND c.etype__i = a.etype__i WHERE a.hour__i < h // 3")
 def q_seq_binary_op(spark, sf_dir):
     ds = select.subset(event_cube(spark, sf_dir), ["v"])
-    out = combine.sequence(["+", "*"], [select.slice_dims(ds, hour=slice(k, k + 240)) for k in (0, 240, 480)]).to_frame()
+    third = ds.dims["hour"] // 3
+    out = combine.sequence(["+", "*"], [select.slice_dims(ds, hour=slice(k * third, (k + 1) * third)) for k in range(3)]).to_frame()
     return out.withColumn("v", F.round("v", 4))
 
 
@@ -313,7 +322,7 @@ def q_expr_eval(spark, sf_dir):
 @query(_CUBE + "SELECT hour__i, etype__i, round(v, 6) AS v FROM cube")
 def q_stack(spark, sf_dir):
     ds = select.subset(event_cube(spark, sf_dir), ["v"])
-    return r6(combine.stack([select.slice_dims(ds, hour=slice(0, 300)), select.slice_dims(ds, hour=slice(300, HOURS))], "hour").to_frame(), "v")
+    return r6(combine.stack([select.slice_dims(ds, hour=slice(0, 300)), select.slice_dims(ds, hour=slice(300, ds.dims["hour"]))], "hour").to_frame(), "v")
 
 
 @query(_CUBE + "SELECT hour__i, etype__i, round(v, 6) AS v, n, round(v * 1000, 6) AS w FROM cube")

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import geo, met, stats, times, units
 from gridspark.model import Dataset, Var, idx
 from gridspark.operators import combine, extract, reduce, regrid, select, window
-from gridspark.plans.catalog import _CUBE, _NCUBE, _PAIRS, _PT, _QUERIES, _SQL, _VEC, _W, HOURS, _n_cube, _spots, _weights_sql, event_cube, load, order_pairs, query, r6, vectors
-
-HALF = HOURS // 2
+from gridspark.plans.catalog import _CUBE, _H, _K, _NCUBE, _PAIRS, _PT, _QUERIES, _SQL, _VEC, _W, _n_cube, _spots, _weights_sql, event_cube, load, order_pairs, query, r6, vectors
 
 
 def _v(spark, sf_dir) -> Dataset:
@@ -42,13 +40,14 @@ for _key, (_op, _expr) in _OTHER.items():
         ds = select.subset(event_cube(spark, sf_dir), [column])
         if op == "**":
             ds = combine.apply_function(lambda c: c % 5, ds)
-        a, b = (select.slice_dims(ds, hour=slice(k, k + HALF)) for k in (0, HALF))
+        half = ds.dims["hour"] // 2
+        a, b = (select.slice_dims(ds, hour=slice(k, k + half)) for k in (0, half))
         out = combine.binary(op, a, b).to_frame().withColumnRenamed(column, "out")
         return r6(out, "out") if column == "v" and op in ("//", "%") or op == "**" else out.withColumn("out", F.col("out").cast("int"))
 
     _QUERIES[f"binary_op_{_key}"] = _binary
     _round = f"round({_expr}, 6)" if _op in ("//", "%", "**") else f"({_expr})::INT"
-    _SQL[f"binary_op_{_key}"] = _CUBE + f"SELECT a.hour__i, a.etype__i, {_round} AS out FROM cube a JOIN cube b ON b.hour__i = a.hour__i + {HALF} AND b.etype__i = a.etype__i WHERE a.hour__i < {HALF}"
+    _SQL[f"binary_op_{_key}"] = _CUBE + f"SELECT a.hour__i, a.etype__i, {_round} AS out FROM cube a CROSS JOIN axis JOIN cube b ON b.hour__i = a.hour__i + h // 2 AND b.etype__i = a.etype__i WHERE a.hour__i < h // 2"
 
 
 # ---------------------------------------------------------------- structure
@@ -109,7 +108,8 @@ def q_reduce_weighted_sum(spark, sf_dir):
 def q_apply_fibres(spark, sf_dir):
     import numpy as np
 
-    return reduce.apply_fibres(_n_cube(spark, sf_dir), "hour", np.cumsum, HOURS).to_frame()
+    ds = _n_cube(spark, sf_dir)
+    return reduce.apply_fibres(ds, "hour", np.cumsum, ds.dims["hour"]).to_frame()
 
 
 @query(_CUBE + f"SELECT hour__i, etype__i, round(coalesce((v + lead(v) OVER w) / 2, v), 6) AS v FROM cube {_W}")
@@ -164,9 +164,10 @@ def q_interp_sigma_conserve(spark, sf_dir):
 _LOG_AT = [0.0, 10.25, 100.5, 700.0]
 
 
-@query(_CUBE + f"SELECT j AS hour__i, etype__i, round(exp(sum(ln(v) * w)), 6) AS v FROM cube JOIN (VALUES {_weights_sql(regrid.linear_weights(list(range(HOURS)), _LOG_AT))}) AS t(i, j, w) ON hour__i = i GROUP BY ALL")
+@query(_CUBE + f"SELECT j AS hour__i, etype__i, round(exp(sum(ln(v) * w)), 6) AS v FROM cube JOIN (VALUES {_weights_sql(regrid.linear_weights(list(range(702)), _LOG_AT))}) AS t(i, j, w) ON hour__i = i GROUP BY ALL")
 def q_interp_log(spark, sf_dir):
-    return r6(regrid.interpolate(_v(spark, sf_dir), "hour", [float(x) for x in range(HOURS)], _LOG_AT, log=True).to_frame(), "v")
+    ds = _v(spark, sf_dir)
+    return r6(regrid.interpolate(ds, "hour", [float(x) for x in range(ds.dims["hour"])], _LOG_AT, log=True).to_frame(), "v")
 
 
 _AT = {"a": [0.5, 1.25, 3.0], "b": [2.75, 0.0, 1.5], "c": [1.0, 2.5, 2.9]}
@@ -208,14 +209,15 @@ def q_profile_to_perimeter(spark, sf_dir):
 _XY = "SELECT c_custkey, ((c_custkey * 7919) % 7250)::DOUBLE / 10 AS x, ((c_custkey * 104729) % 43)::DOUBLE / 10 AS y FROM customer"
 
 
-@query(_NCUBE + f""", p AS ({_XY}), c AS (SELECT *, least(floor(x), {HOURS - 2})::INT AS i, least(floor(y), 3)::INT AS j FROM p), t AS (SELECT *, x - i AS s, y - j AS u FROM c)
-SELECT c_custkey, CASE WHEN x <= {HOURS - 1} AND y <= 4 THEN round(a.n * (1 - s) * (1 - u) + b.n * s * (1 - u) + d.n * (1 - s) * u + e.n * s * u, 6) END AS matched FROM t
+@query(_NCUBE + f""", p AS ({_XY}), c AS (SELECT *, least(floor(x), {_H} - 2)::INT AS i, least(floor(y), {_K} - 2)::INT AS j FROM p), t AS (SELECT *, x - i AS s, y - j AS u FROM c)
+SELECT c_custkey, CASE WHEN x <= {_H} - 1 AND y <= {_K} - 1 THEN round(a.n * (1 - s) * (1 - u) + b.n * s * (1 - u) + d.n * (1 - s) * u + e.n * s * u, 6) END AS matched FROM t
 JOIN z a ON a.hour__i = i AND a.etype__i = j JOIN z b ON b.hour__i = i + 1 AND b.etype__i = j JOIN z d ON d.hour__i = i AND d.etype__i = j + 1 JOIN z e ON e.hour__i = i + 1 AND e.etype__i = j + 1""")
 def q_extract_bilinear(spark, sf_dir):
     k = F.col("c_custkey")
     p = load(spark, sf_dir, "customer").select(k, (F.pmod(k * 7919, F.lit(7250)).cast("double") / 10).alias("x"), (F.pmod(k * 104729, F.lit(43)).cast("double") / 10).alias("y"))
-    axes = ((idx("hour"), [float(i) for i in range(HOURS)]), (idx("etype"), [0.0, 1.0, 2.0, 3.0, 4.0]))
-    return r6(extract.bilinear(p, _n_cube(spark, sf_dir).to_frame(), ("x", "y"), axes, "n"), "matched").select("c_custkey", "matched")
+    ds = _n_cube(spark, sf_dir)
+    axes = tuple((idx(d), [float(i) for i in range(ds.dims[d])]) for d in ("hour", "etype"))
+    return r6(extract.bilinear(p, ds.to_frame(), ("x", "y"), axes, "n"), "matched").select("c_custkey", "matched")
 
 
 @query(f"SELECT floor((lon + 180) / 5)::INT AS i, floor((lat + 70) / 4)::INT AS j, count(*) AS n FROM ({_PT}) GROUP BY ALL")
