@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,13 +29,17 @@ SAMPLE_PAGES = 400
 MAX_CHARS = 100_000
 ROUNDS, DEPTH, BINS, RATE = 40, 3, 32, 0.3
 
-#: What stands in a tag behind its name; a "<" outside quotes ends the attempt, so that broken markup costs no more than its length.
+#: What stands in a tag behind its name; a "<" outside quotes ends the attempt.  The count keeps broken markup cheap:
+#: what it stops is read again by _ends, once for the whole page, so no number of attributes changes a result.
 _INSIDE = r"(?:[^<>\"']++|\"[^\"]*\"|'[^']*'){0,500}+"
 _TOKEN = re.compile(
     rf"<!--(?:.*?-->|.*)|<(script|style|textarea|xmp|iframe|noembed|noframes)\b{_INSIDE}>(?:.*?</\1\s*>|.*)"
     rf"|<(/?)([a-zA-Z][^\s/<>]*+)({_INSIDE})>|<[!?][^<>]*>|([^<]+|<)",
     re.S | re.I,
 )
+#: The start of a tag, for one that has more inside than _INSIDE counts.
+_OPENS = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)")
+_RAW = frozenset("script style textarea xmp iframe noembed noframes".split())
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body br button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -57,6 +62,21 @@ class Page:
     texts: list[tuple[int, int, str]] = field(default_factory=list)  # node, block, raw text
 
 
+def _ends(source: str) -> tuple[list[int], list[int]]:
+    """All quotes and angle brackets, and for each where a tag ends that is read from there outside quotes (-1: it never does)."""
+    marks = [m.start() for m in re.finditer("[<>\"']", source)]
+    ends = [-1] * (len(marks) + 1)
+    after = {'"': len(marks), "'": len(marks)}
+    for i in range(len(marks) - 1, -1, -1):
+        c = source[marks[i]]
+        if c == ">":
+            ends[i] = marks[i]
+        elif c != "<":
+            ends[i] = ends[after[c] + 1] if after[c] < len(marks) else -1
+            after[c] = i
+    return marks, ends
+
+
 def parse(source: str) -> Page:
     """The nodes of a page in page order; broken markup never fails."""
     page = Page()
@@ -68,8 +88,20 @@ def parse(source: str) -> Page:
         open_tags.subtract(page.tag[n] for n in stack[k:])
         del stack[k:]
 
-    for m in _TOKEN.finditer(source):
+    at, ends = 0, None
+    while at < len(source):
+        m = _TOKEN.match(source, at)
         raw, close, tag, attrs, text = m[1], m[2], m[3], m[4], m[5]
+        start, at = at, m.end()
+        if text == "<" and (m := _OPENS.match(source, start)):
+            ends = ends or _ends(source)
+            end = ends[1][bisect_left(ends[0], m.end())]
+            if end >= 0:  # a tag of very many attributes
+                close, tag, attrs, text, at = m[1], m[2], source[m.end() : end], None, end + 1
+                if tag.lower() in _RAW and not close:
+                    over = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                    at = over.end() if over else len(source)
+                    continue
         if text is not None:
             page.texts.append((stack[-1], block, text))
             continue

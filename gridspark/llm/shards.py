@@ -14,6 +14,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from gridspark.llm.common import table
 
@@ -73,7 +74,17 @@ def place(docs: DataFrame, shards: dict[str, int] | list[str], key: str = "doc_i
 def write_shards(docs: DataFrame, path: str, shards: dict[str, int] | list[str], salt: int = 8, **kw: object) -> None:
     """Writes one folder a shard; ``salt`` tasks share each, dealt by slot, so a shard never waits for one task."""
     placed = place(docs, shards, **kw)
-    placed.repartition(F.col("shard"), F.pmod(F.xxhash64(*[c for c, t in placed.dtypes if not t.startswith("map")]), F.lit(salt))).write.partitionBy("shard").parquet(path)
+    # places are told by number: names may hold dots or quotes
+    known = placed.toDF(*[f"column_{i}" for i in range(len(placed.columns))])
+    dealt = F.pmod(F.xxhash64(*[f.name for f in known.schema if _hashable(f.dataType)]), F.lit(salt))
+    known.repartition(F.col(f"column_{placed.columns.index('shard')}"), dealt).toDF(*placed.columns).write.partitionBy("shard").parquet(path)
+
+
+def _hashable(kind: DataType) -> bool:
+    """Spark hashes all types but those that hold a map or a variant."""
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return _hashable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
 
 
 def _names() -> list[str]:

@@ -80,3 +80,18 @@ def test_clashing_columns_and_repeated_rows(spark):
     rows = [(1, "u", page, "x", 5), (1, "u", page, "x", 5), (None, None, None, "x", 5)]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"), None).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "The text of it & more.", 22), (1, "The text of it & more.", 22)]
+
+
+def test_very_many_attributes():
+    """No number of attributes turns a tag into text, and broken tags stay linear."""
+    import time
+
+    for n in (249, 251, 5000):
+        many = " ".join(f'd{i}="v{i} > <"' for i in range(n))
+        page = H.parse(f"<body><div {many}>in<script {many}>var a = 1;</script></div {many}>out</body>")
+        assert [t for _, _, t in page.texts] == ["in", "out"], n
+        assert page.tag == ["#", "body", "div"]
+    began = time.perf_counter()
+    for broken in ('<a "' * 60_000, "<a '\"" * 60_000, '<a x="1" ' * 60_000, "<" * 100_000, '<script a="' * 30_000):
+        H.parse(broken)
+    assert time.perf_counter() - began < 20
