@@ -156,6 +156,30 @@ def in_any_box(points: DataFrame, boxes: DataFrame, x: str, y: str) -> DataFrame
     return points.join(hits, (points[x] == hits["px__"]) & (points[y] == hits["py__"]), "left_semi")
 
 
+def in_layers(points: DataFrame, layers: DataFrame, by: list[str], height: str, lower: str, upper: str) -> DataFrame:
+    """Pairs each point with the layer of its own column (``by``: time step and cell) that holds its height; lower edges included.
+
+    Edges may move with time and place.  A layer is filed in steps of its own thickness,
+    rounded up to a power of two, two at most; a point looks up its step at each
+    thickness that occurs, and one test follows.  Points in no layer stay, with nulls;
+    columns of layers besides ``by`` are added.
+    """
+    low, high = F.least(lower, upper).cast("double"), F.greatest(lower, upper).cast("double")
+    added = [c for c in layers.columns if c not in by]
+    sized = layers.select(*by, F.struct(*added).alias("layer__"), low.alias("low__"), high.alias("high__")).filter("low__ < high__")
+    sized = sized.withColumn("l__", F.ceil(F.log2(F.col("high__") - F.col("low__"))).cast("int"))
+    step = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("l__")))
+    filed = sized.withColumn("s__", F.explode(F.sequence(step(F.col("low__")), step(F.col("high__")))))
+    # powers of two between the least and the largest double: few, whatever the data
+    sizes = F.broadcast(sized.select("l__").distinct().agg(F.collect_list("l__").alias("ls__")))
+    at = points.select(*by, F.col(height).cast("double").alias("z__")).filter("z__ IS NOT NULL").distinct()
+    looked = at.crossJoin(sizes).withColumn("l__", F.explode("ls__")).drop("ls__").withColumn("s__", step(F.col("z__")))
+    hits = looked.join(filed, [*by, "l__", "s__"]).filter("z__ >= low__ AND z__ < high__").groupBy(*by, "z__").agg(F.min("layer__").alias("layer__"))
+    clash = {c: f"{c}_layer" for c in added if c in points.columns}
+    out = points.withColumn("z__", F.col(height).cast("double")).join(hits, [*by, "z__"], "left")
+    return out.select(*points.columns, *[F.col(f"layer__.`{c}`").alias(clash.get(c, c)) for c in added])
+
+
 def ll2ij(df: DataFrame, x: Column, y: Column, x0: float, y0: float, dx: float, dy: float, nx: int, ny: int, clean: str = "mask") -> DataFrame:
     """Adds i and j of the grid cell of projected coordinates; outside NULL, or the nearest cell with ``clean='clip'``."""
 

@@ -95,6 +95,49 @@ def layer_mean(df: DataFrame, by: list[str], level: str, value: str, weight: str
     return groups.select(*by, "layer").join(inside, [*by, "layer"], "left")
 
 
+def column_overlaps(old: DataFrame, new: DataFrame, by: list[str], layer: str = "layer", lower: str = "lower", upper: str = "upper") -> DataFrame:
+    """By how much each old layer of a column overlaps each new one: by, old__, new__, thick__.
+
+    Each column (``by``) has edges of its own on both sides, up or down, perhaps with
+    gaps; layers of one side don't overlap.  One sweep over the merged edges of a
+    column tells which layers are open between two of them, so an edge is sorted once
+    and no layer is compared with another.
+    """
+
+    def ends(df: DataFrame, side: int) -> DataFrame:
+        low, high = F.least(lower, upper).cast("double"), F.greatest(lower, upper).cast("double")
+        at = F.explode(F.array(F.struct(low.alias("edge__"), F.col(layer).cast("int").alias("open__")), F.struct(high.alias("edge__"), F.lit(-1).alias("open__"))))
+        return df.filter(low < high).select(*by, at.alias("e__")).select(*by, F.lit(side).alias("side__"), "e__.*")
+
+    # what ends at an edge comes before what begins there
+    order = Window.partitionBy(*by).orderBy("edge__", "open__")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    now = lambda side: F.last(F.when(F.col("side__") == side, F.col("open__")), ignorenulls=True).over(so_far)
+    swept = ends(old, 0).unionByName(ends(new, 1)).select(*by, now(0).alias("old__"), now(1).alias("new__"), (F.lead("edge__").over(order) - F.col("edge__")).alias("thick__"))
+    return swept.filter("old__ >= 0 AND new__ >= 0 AND thick__ > 0").groupBy(*by, "old__", "new__").agg(F.sum("thick__").alias("thick__"))
+
+
+def remap_columns(old: DataFrame, new: DataFrame, by: list[str], values: list[str], layer: str = "layer", lower: str = "lower", upper: str = "upper") -> DataFrame:
+    """Means of the old layers in each new one by thickness, where every column has its own edges; masked cells count nothing.
+
+    Returns by, layer and values, a row for each new layer; one that no old layer reaches is masked.
+    """
+    shares = column_overlaps(old, new, by, layer, lower, upper)
+    held = old.select(*by, F.col(layer).cast("int").alias("old__"), *values)
+    sums = [div(F.sum(F.col(v) * F.col("thick__")), F.sum(F.when(F.col(v).isNotNull(), F.col("thick__")))).alias(v) for v in values]
+    means = shares.join(held, [*by, "old__"]).groupBy(*by, F.col("new__").alias(layer)).agg(*sums)
+    return new.select(*by, F.col(layer).cast("int").alias(layer)).join(means, [*by, layer], "left")
+
+
+def hybrid_edges(columns: DataFrame, a: list[float], b: list[float], pressure: str, layer: str = "layer", lower: str = "lower", upper: str = "upper") -> DataFrame:
+    """Layers of each column between edges a + b * pressure (its surface's): a row a column and layer."""
+    if len(a) != len(b):
+        raise ValueError("as many a as b")
+    p = F.col(pressure)
+    edges = F.array(*[F.lit(float(x)) + F.lit(float(y)) * p for x, y in zip(a, b, strict=True)])
+    return columns.withColumn("e__", edges).withColumn(layer, F.explode(F.sequence(F.lit(0), F.lit(len(a) - 2)))).withColumns({lower: F.get("e__", F.col(layer)), upper: F.get("e__", F.col(layer) + 1)}).drop("e__")
+
+
 def interpolate_points(ds: Dataset, name: str, coords: dict[str, list[float]], points: dict[str, list[float]], new_dim: str = "POINTS") -> Dataset:
     """A variable of a rectangular table at points inside it, by a line along each named dimension.
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from gridspark.conventions import Ioapi
 from gridspark.model import idx
-from gridspark.operators import select
-from gridspark.plans.catalog import _VEC, query, r6, vectors
+from gridspark.operators import extract, regrid, select
+from gridspark.plans.catalog import _VEC, load, query, r6, vectors
+from gridspark.session import scratch
+from gridspark.sources import records
 
 _GRID = {
     "SDATE": 2024001, "STIME": 0, "TSTEP": 10000, "GDTYP": 2, "P_ALP": 33.0, "P_BET": 45.0, "P_GAM": -97.0, "XORIG": -2736000.0, "YORIG": -2088000.0, "XCELL": 36000.0, "YCELL": 36000.0,
@@ -67,3 +69,52 @@ def q_ioapi_stack(spark, sf_dir):
 def q_ioapi_sigma(spark, sf_dir):
     """Layers taken together in twos, by thickness."""
     return r6(model_file(spark, sf_dir).interpolate_sigma([1.0, 0.995, 0.99], kind="conserve").located(), "v", "lower", "upper")
+
+
+# ---------------------------------------------------------------- layers that move
+
+_A = [0.25 * k * (64 - k) / 16 for k in range(65)]
+_B = [(1 - k / 64) ** 2 for k in range(65)]
+_PS = "900 + vec__i * 37 % 150"
+
+
+@query(_VEC + f""", old AS (SELECT vec__i, k__i AS o, v, a + b * ps AS hi, a2 + b2 * ps AS lo, ps FROM (SELECT *, ({_PS})::DOUBLE AS ps FROM vec) JOIN (VALUES {", ".join(f"({k}, {_A[k]!r}::DOUBLE, {_B[k]!r}::DOUBLE, {_A[k + 1]!r}::DOUBLE, {_B[k + 1]!r}::DOUBLE)" for k in range(64))}) AS e(k, a, b, a2, b2) ON k = k__i),
+new AS (SELECT DISTINCT vec__i, j.range::INT AS layer, 50 + (ps - 50) * (1 - j.range / 10) AS hi, 50 + (ps - 50) * (1 - (j.range + 1) / 10) AS lo FROM old, range(10) j),
+w AS (SELECT vec__i, layer, v, least(old.hi, new.hi) - greatest(old.lo, new.lo) AS w FROM old JOIN new USING (vec__i) WHERE least(old.hi, new.hi) > greatest(old.lo, new.lo))
+SELECT vec__i, layer, round(m, 6) AS v FROM new LEFT JOIN (SELECT vec__i, layer, sum(v * w) / sum(w) AS m FROM w GROUP BY ALL) USING (vec__i, layer)""")
+def q_remap_columns(spark, sf_dir):
+    """Each column's hybrid layers, whose pressures follow its own surface, to ten sigma layers of that surface."""
+    cells = vectors(spark, sf_dir).to_frame().withColumnRenamed("k__i", "layer")
+    ps = F.expr(f"cast({_PS} as double)").alias("ps")
+    columns = cells.select("vec__i").distinct().select("vec__i", ps)
+    old = regrid.hybrid_edges(columns, _A, _B, "ps").join(cells, ["vec__i", "layer"])
+    new = regrid.hybrid_edges(columns, [50 * j / 10 for j in range(11)], [1 - j / 10 for j in range(11)], "ps")
+    return r6(regrid.remap_columns(old, new, ["vec__i"], ["v"]), "v")
+
+
+@query(_VEC + """, n AS (SELECT max(vec__i) + 1 AS n FROM vec),
+e AS (SELECT event_id, event_type, value, ((epoch_us(ts) // 3600000000) % n)::INT AS t FROM events, n)
+SELECT event_id, k__i AS layer, round(v, 6) AS v FROM e LEFT JOIN vec ON vec__i = t AND value >= k__i * (0.5 + t % 7 * 0.25) AND value < (k__i + 1) * (0.5 + t % 7 * 0.25)""")
+def q_pair_layers(spark, sf_dir):
+    """Events paired with the hourly layer that holds their value; layers are thicker in some hours than in others."""
+    ds = vectors(spark, sf_dir)
+    thick = 0.5 + F.col("t") % 7 * 0.25
+    layers = ds.to_frame().select(F.col("vec__i").alias("t"), F.col("k__i").alias("layer"), "v").withColumns({"lower": F.col("layer") * thick, "upper": (F.col("layer") + 1) * thick})
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    points = load(spark, sf_dir, "events").select("event_id", "value", F.pmod(hour, F.lit(ds.dims["vec"])).cast("int").alias("t"))
+    return r6(extract.in_layers(points, layers, ["t"], "value", "lower", "upper"), "v").select("event_id", "layer", "v")
+
+
+# ---------------------------------------------------------------- files of records
+
+
+@query(_FILE + """SELECT (t // 24)::INT AS file, t % 24 AS step, strftime(tm, '%Y%j')::INT AS date, extract('hour' FROM tm)::DOUBLE AS hour, l::INT AS LAY__i, r::INT AS ROW__i, c::INT AS COL__i, round(v, 6) AS value
+ FROM (SELECT *, TIMESTAMP '2024-01-01' + to_hours(t) AS tm FROM f) WHERE l >= 1 AND r = 2 AND c < 3 AND t % 24 >= 6""")
+def q_record_files(spark, sf_dir):
+    """All vectors written by tasks as daily files of records; layers, rows and steps are chosen before reading."""
+    f = model_file(spark, sf_dir)
+    rows = f.located().select(F.col(idx("TSTEP")).alias("step"), "date", (F.col("time") / 10000).alias("hour"), F.lit("V").alias("name"), *[idx(d) for d in ("LAY", "ROW", "COL")], F.col("v").alias("value"))
+    path = scratch(spark)
+    records.write_average(rows, path, ["V"], 4, 4, 4, note="vectors")
+    got = records.read_records(spark, path).filter("LAY__i >= 1 AND ROW__i = 2 AND COL__i < 3 AND step >= 6")
+    return r6(got.select(F.right("file", F.lit(6)).cast("int").alias("file"), "step", "date", F.col("hour").cast("double").alias("hour"), *[idx(d) for d in ("LAY", "ROW", "COL")], "value"), "value")
