@@ -1,7 +1,7 @@
 """Binary formats: records of gridded models and classic netCDF.
 
-Files are read whole, one row a file, by Spark's binaryFile source, and decoded where
-they are read: a directory of daily files is as many tasks, on any store.
+What is here encodes, and decodes what fits a task; ``records`` and ``netcdf`` read
+files by slabs.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,19 +86,9 @@ def encode_average(a: Average) -> bytes:
 
 def read_average(spark: SparkSession, path: str) -> DataFrame:
     """date, hour, species, LAY__i, ROW__i, COL__i and value of all files under a path."""
+    from gridspark.sources.records import read_records
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in it:
-            for raw in files["content"]:
-                a = decode_average(raw)
-                _, _, nz, ny, nx = a.values.shape
-                lay, row, col = (x.ravel() for x in np.indices((nz, ny, nx)))
-                for t, (date, hour, _, _) in enumerate(a.times):
-                    for s, name in enumerate(a.species):
-                        yield pd.DataFrame({"date": date, "hour": hour, "species": name, "LAY__i": lay, "ROW__i": row, "COL__i": col, "value": a.values[t, s].ravel()})
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "date int, hour float, species string, LAY__i int, ROW__i int, COL__i int, value float")
+    return read_records(spark, path).select("date", "hour", F.col("name").alias("species"), "LAY__i", "ROW__i", "COL__i", "value")
 
 
 def decode_layers(raw: bytes, ny: int, nx: int) -> list[tuple[float, int, np.ndarray]]:
@@ -117,22 +106,10 @@ def read_layers(spark: SparkSession, path: str, ny: int, nx: int, names: list[st
     ``names`` alternate in each layer (height and pressure; one name for a single
     variable); ``first`` is a plane of its own before the layers (surface temperature).
     """
+    from gridspark.sources.records import read_records
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row, col = (x.ravel() for x in np.indices((ny, nx)))
-        for files in it:
-            for raw in files["content"]:
-                now, k = None, 0
-                for hour, date, plane in decode_layers(raw, ny, nx):
-                    if (hour, date) != now:
-                        now, k = (hour, date), 0
-                    j = k - (first is not None)
-                    name, lay = (first, 0) if j < 0 else (names[j % len(names)], j // len(names))
-                    yield pd.DataFrame({"date": date, "hour": hour, "name": name, "LAY__i": lay, "ROW__i": row, "COL__i": col, "value": plane.ravel().astype("f4")})
-                    k += 1
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "date int, hour float, name string, LAY__i int, ROW__i int, COL__i int, value float")
+    more = {"surface": first} if first else {}
+    return read_records(spark, path, "layers", rows=ny, cols=nx, names=",".join(names), **more).select("date", "hour", "name", "LAY__i", "ROW__i", "COL__i", "value")
 
 
 def unpack_bytes(raw: bytes, ny: int, nx: int, exponent: int, first: float) -> np.ndarray:
@@ -268,22 +245,8 @@ def encode_netcdf(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ..
     return out + b"".join(body)
 
 
-def read_netcdf(spark: SparkSession, path: str, name: str, fill: float | None = None) -> DataFrame:
+def read_netcdf(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A variable of every file under a path: file, an index column for each dimension, and the value; fill values are masked."""
-    first = spark.read.format("binaryFile").load(path).orderBy("path").select("content").first()
-    own, at, _ = decode_netcdf(bytes(first["content"]))[1][name]
-    missing = fill if fill is not None else at.get("_FillValue", at.get("missing_value"))
-    cols = [f"{d}__i" for d in own]
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in it:
-            for p, raw in zip(files["path"], files["content"], strict=True):
-                a = decode_netcdf(raw)[1][name][2]
-                grid = np.indices(a.shape).reshape(a.ndim, -1)
-                values = pd.array(a.ravel().astype("f8"), dtype="Float64")
-                if missing is not None:
-                    values[a.ravel() == a.dtype.type(missing)] = pd.NA
-                yield pd.DataFrame({"file": p} | dict(zip(cols, grid, strict=True)) | {name: values})
-
-    schema = ", ".join(["file string", *(f"{c} int" for c in cols), f"`{name}` double"])
-    return spark.read.format("binaryFile").load(path).select(F.col("path"), "content").mapInPandas(run, schema)
+    from gridspark.sources.netcdf import read_variable
+
+    return read_variable(spark, path, name)

@@ -149,6 +149,11 @@ def one3d(f: File, rows: int, cols: int, name: str = "UNKNOWN", **_: object) ->
     return _timed(f, rows, cols, [name])
 
 
+def layers(f: File, rows: int, cols: int, names: str = "UNKNOWN", surface: str | None = None, **_: object) -> Layout:
+    """Any meteorology whose records have their time: ``names`` alternate in each layer, ``surface`` is a plane before them."""
+    return _timed(f, rows, cols, names.split(","), surface)
+
+
 def wind(f: File, rows: int, cols: int, **_: object) -> Layout:
     """A step is its time, two planes a layer, and a short record."""
     head = f.length(0) + 8
@@ -189,7 +194,7 @@ def landuse(f: File, rows: int, cols: int, **_: object) -> Layout:
 
 FORMATS: dict[str, Callable[..., Layout]] = {
     "average": average, "lateral_boundary": lateral_boundary, "wind": wind, "temperature": temperature, "height_pressure": height_pressure,
-    "one3d": one3d, "humidity": lambda f, **o: one3d(f, **{**o, "name": "HUM"}), "vertical_diffusivity": lambda f, **o: one3d(f, **{**o, "name": "KV"}), "cloud_rain": cloud_rain, "landuse": landuse,
+    "one3d": one3d, "humidity": lambda f, **o: one3d(f, **{**o, "name": "HUM"}), "vertical_diffusivity": lambda f, **o: one3d(f, **{**o, "name": "KV"}), "cloud_rain": cloud_rain, "landuse": landuse, "layers": layers,
 }
 
 
@@ -200,15 +205,16 @@ class Wanted:
     names: set[str] | None = None
     low: dict[str, int] = field(default_factory=dict)
     high: dict[str, int] = field(default_factory=dict)
+    indexes: tuple[str, ...] = ("step", *_INDEX)
 
     def take(self, f: Filter) -> bool:
         """Whether the filter is met by what will be read, so that Spark needn't test it again."""
         column = f.attribute[0] if len(f.attribute) == 1 else None
-        if column == "name" and isinstance(f, (EqualTo, In)):
+        if column == "name" and "step" in self.indexes and isinstance(f, (EqualTo, In)):
             given = set(f.value) if isinstance(f, In) else {f.value}
             self.names = given if self.names is None else self.names & given
             return True
-        if column not in ("step", *_INDEX) or not isinstance(f.value if hasattr(f, "value") else None, int):
+        if column not in self.indexes or not isinstance(f.value if hasattr(f, "value") else None, int):
             return False
         lows = {EqualTo: 0, GreaterThanOrEqual: 0, GreaterThan: 1}
         highs = {EqualTo: 0, LessThanOrEqual: 0, LessThan: -1}
@@ -323,7 +329,7 @@ def _layout(f: File, options: dict) -> Layout:
     if kind not in FORMATS:
         raise ValueError(f"no such records: {kind}; there are {sorted(FORMATS)}")
     numbers = {k: int(options[k]) for k in ("rows", "cols") if k in options}
-    return FORMATS[kind](f, **numbers, **({"name": options["name"]} if "name" in options else {}))
+    return FORMATS[kind](f, **numbers, **{k: options[k] for k in ("name", "names", "surface") if k in options})
 
 
 # ---------------------------------------------------------------- writing
@@ -458,3 +464,92 @@ def write_average(df: DataFrame, path: str, species: list[str], nz: int, ny: int
     order = ["number", "step", "place", "LAY__i", "ROW__i", "COL__i"]
     sent = rows.repartition("number").sortWithinPartitions(*order).select("number", F.col("date").cast("int"), F.col("hour").cast("float"), F.col("value").cast("float"))
     sent.write.format("gridrecords").options(path=path, about=json.dumps(about)).mode(mode).save()
+
+
+# ---------------------------------------------------------------- which format a file has
+
+#: What the first record of a gridded file calls itself.
+KINDS = {"AVERAGE": "average", "EMISSIONS": "average", "AIRQUALITY": "average", "INSTANT": "average", "BOUNDARY": "lateral_boundary"}
+
+
+def _plausible(date: int) -> bool:
+    return 1 <= date % 1000 <= 366 and (date // 1000 < 100 or 1900 <= date // 1000 < 2200)
+
+
+def detect(f: File) -> str | None:
+    """The format that a file's first bytes and record lengths speak for; None if none.
+
+    Meteorology whose records all look alike can't tell its variables: ``timed``.
+    """
+    head = f.read(0, min(f.size, 512))
+    if head[:3] == b"CDF" and head[3:4] in (b"\1", b"\2"):
+        return "netcdf"
+    if head[1:4] == b"HDF":
+        return "hdf5"
+    if head[:4] == b"PAR1":
+        return "parquet"
+    text = head.split(b"\n")[0]
+    if text and all(32 <= c < 127 or c in (9, 13) for c in text):
+        words = [w.strip() for w in text.decode().split(",")]
+        if len(words) == 2 and words[0].isdigit() and words[1] == "1001":
+            return "ffi1001"
+        return "csv" if len(words) > 1 else "text"
+    if f.size < 12:
+        return None
+    n = f.length(0)
+    if not 0 < n <= f.size - 8 or f.length(4 + n) != n:
+        return None
+    if n == 304 and (kind := KINDS.get(_text(head[4:44]).upper())):
+        return kind
+    if n == 8 and head[4:9] == b"LUCAT":
+        return "landuse"
+    if n in (8, 12) and _plausible(struct.unpack(">i", head[8:12])[0]):
+        return "wind"
+    behind = 8 + n
+    if n >= 12 and behind + 16 <= f.size and f.length(behind) == 8 and min(struct.unpack(">iii", f.read(4 + n - 12, 12))) > 0:
+        return "cloud_rain"
+    if n > 12 and n % 4 == 0 and f.size % (n + 8) == 0 and _plausible(struct.unpack(">i", head[8:12])[0]):
+        return "timed"
+    return None
+
+
+def detect_all(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, format) of the files of a folder; tasks look into them."""
+    from gridspark.session import ship
+
+    files = ship(spark).createDataFrame(_files(path), "path string, size long")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([detect(File(p)) for p in b.column(0).to_pylist()], pa.string())], names=["path", "size", "format"])
+
+    return files.repartition("path").mapInArrow(look, "path string, size long, format string")
+
+
+def open_records(spark: SparkSession, path: str, records: str = "average", **options: object):
+    """Files of records as a dataset: a column a variable, the files' steps one after another in the order of their names.
+
+    Headers alone are read for it; a variable's dimensions are TSTEP, LAY, ROW, COL, or those of them that it has.
+    """
+    from gridspark.model import Dataset, Var
+
+    starts, at, names, dims = [], 0, {}, {}
+    for p, _ in _files(path):
+        f = File(p)
+        layout = _layout(f, {"records": records, **options})
+        starts.append((p, at))
+        at += layout.steps if layout.steps is not None else (f.size - layout.first) // layout.step
+        for plane in layout.planes:
+            own = dict(plane.dims) | ({"LAY": plane.lay + 1} if plane.lay is not None else {})
+            for d, n in own.items():
+                dims[d] = max(dims.get(d, 0), n)
+            names[plane.name] = tuple(d for d in ("LAY", "ROW", "COL") if d in own)
+    df = read_records(spark, path, records, **options).join(F.broadcast(spark.createDataFrame(starts, "file string, first__ int")), "file")
+    df = df.withColumn("TSTEP__i", F.col("step") + F.col("first__"))
+    frames, vars_ = {}, {}
+    for key in dict.fromkeys(names.values()):
+        own = [v for v, k in names.items() if k == key]
+        cols = [f"{d}__i" for d in ("TSTEP", *key)]
+        frames[("TSTEP", *key)] = df.filter(F.col("name").isin(own)).groupBy(*cols).agg(*[F.max(F.when(F.col("name") == v, F.col("value"))).alias(v) for v in own])
+        vars_ |= {v: Var(("TSTEP", *key)) for v in own}
+    return Dataset({"TSTEP": at, **{d: dims[d] for d in ("LAY", "ROW", "COL") if d in dims}}, vars_, frames)
