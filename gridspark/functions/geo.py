@@ -1,4 +1,4 @@
-"""Map projections on a sphere, grid coordinates and vertical levels, as column expressions."""
+"""Map projections on spheres and ellipsoids, grid coordinates and vertical levels, as column expressions."""
 
 from __future__ import annotations
 
@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 RADIUS = 6_370_000.0
 
 
+#: Steps from an isometric latitude back to a latitude; each gains a factor of about 150, so these leave nothing that a double shows.
+STEPS = 8
+
+
 @dataclass(frozen=True)
 class Projection:
-    """kind: lcc, stere, merc or eqc; angles in degrees, lengths in metres."""
+    """kind: lcc, stere, merc or eqc; angles in degrees, lengths in metres.
+
+    ``minor`` makes an ellipsoid of half axes ``radius`` and ``minor``; eqc always is of a
+    sphere of ``radius``.
+    """
 
     kind: str
     lat_1: float = 0.0
@@ -23,18 +31,81 @@ class Projection:
     x_0: float = 0.0
     y_0: float = 0.0
     radius: float = RADIUS
+    minor: float | None = None
+
+    @property
+    def eccentricity(self) -> float:
+        return 0.0 if self.minor is None else math.sqrt(max(0.0, 1 - (self.minor / self.radius) ** 2))
+
+    def _m(self, p: float) -> float:
+        """How large the circle of a latitude is against the radius."""
+        return math.cos(p) / math.sqrt(1 - (self.eccentricity * math.sin(p)) ** 2)
+
+    def _t(self, p: float) -> float:
+        """exp(-isometric latitude); 1 / tan(pi/4 + p/2) on a sphere."""
+        e = self.eccentricity
+        return math.exp(e * math.atanh(e * math.sin(p))) * math.tan(math.pi / 4 - p / 2)
 
     def _cone(self) -> tuple[float, float, float]:
         """n, F and rho0 of the cone through both parallels."""
         p1, p2, p0 = (math.radians(a) for a in (self.lat_1, self.lat_2, self.lat_0))
+        if self.eccentricity:
+            n = math.sin(p1) if abs(p1 - p2) < 1e-12 else math.log(self._m(p1) / self._m(p2)) / math.log(self._t(p1) / self._t(p2))
+            f = self._m(p1) / (n * self._t(p1) ** n)
+            return n, f, self.radius * f * self._t(p0) ** n
         t = lambda p: math.tan(math.pi / 4 + p / 2)
         n = math.sin(p1) if abs(p1 - p2) < 1e-12 else math.log(math.cos(p1) / math.cos(p2)) / math.log(t(p2) / t(p1))
         f = math.cos(p1) * t(p1) ** n / n
         return n, f, self.radius * f / t(p0) ** n
 
+    def _polar(self) -> float:
+        """Metres for each unit of t around a pole."""
+        p, e = math.radians(abs(self.lat_1)), self.eccentricity
+        if math.cos(p) < 1e-12:
+            return 2 * self.radius / math.sqrt((1 + e) ** (1 + e) * (1 - e) ** (1 - e))
+        return self.radius * self._m(p) / self._t(p)
+
+    def _flat(self, p: Column) -> Column:
+        """t of a column of latitudes, in radians."""
+        e = self.eccentricity
+        return F.exp(F.atanh(F.sin(p) * e) * e) * F.tan(math.pi / 4 - p / 2)
+
+    def _round(self, t: Column) -> Column:
+        """Latitudes in radians of t: a fixed point, written out step by step."""
+        e, p = self.eccentricity, math.pi / 2 - 2 * F.atan(t)
+        for _ in range(STEPS):
+            p = math.pi / 2 - 2 * F.atan(t * F.exp(F.atanh(F.sin(p) * e) * -e))
+        return p
+
+    def _ellipsoid_forward(self, d: Column, p: Column) -> tuple[Column, Column]:
+        if self.kind == "lcc":
+            n, f, r0 = self._cone()
+            r = F.pow(self._flat(p), F.lit(n)) * (self.radius * f)
+            return r * F.sin(d * n) + self.x_0, r0 - r * F.cos(d * n) + self.y_0
+        if self.kind == "stere":
+            s = 1.0 if self.lat_0 >= 0 else -1.0
+            r = self._flat(p * s) * self._polar()
+            return r * F.sin(d) + self.x_0, r * F.cos(d) * -s + self.y_0
+        k = self.radius * self._m(math.radians(self.lat_1))
+        return d * k + self.x_0, F.log(self._flat(p)) * -k + self.y_0
+
+    def _ellipsoid_inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+        if self.kind == "lcc":
+            n, f, r0 = self._cone()
+            s = math.copysign(1.0, n)
+            r = F.sqrt(x * x + (r0 - y) * (r0 - y)) * s
+            return F.degrees(F.atan2(x * s, (r0 - y) * s) / n) + self.lon_0, F.degrees(self._round(F.pow(r / (self.radius * f), F.lit(1 / n))))
+        if self.kind == "stere":
+            s = 1.0 if self.lat_0 >= 0 else -1.0
+            return F.degrees(F.atan2(x, y * -s)) + self.lon_0, F.degrees(self._round(F.sqrt(x * x + y * y) / self._polar())) * s
+        k = self.radius * self._m(math.radians(self.lat_1))
+        return F.degrees(x / k) + self.lon_0, F.degrees(self._round(F.exp(y / -k)))
+
     def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
         d = F.radians(F.pmod(lon - self.lon_0 + 180, F.lit(360.0)) - 180)
         p = F.radians(lat)
+        if self.eccentricity and self.kind in ("lcc", "stere", "merc"):
+            return self._ellipsoid_forward(d, p)
         if self.kind == "lcc":
             n, f, r0 = self._cone()
             r = self.radius * f / F.pow(F.tan(math.pi / 4 + p / 2), F.lit(n))
@@ -53,6 +124,9 @@ class Projection:
 
     def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
         x, y = x - self.x_0, y - self.y_0
+        if self.eccentricity and self.kind in ("lcc", "stere", "merc"):
+            lon, lat = self._ellipsoid_inverse(x, y)
+            return F.pmod(lon + 180, F.lit(360.0)) - 180, lat
         if self.kind == "lcc":
             n, f, r0 = self._cone()
             s = math.copysign(1.0, n)
@@ -74,15 +148,62 @@ class Projection:
         return F.pmod(lon + 180, F.lit(360.0)) - 180, lat
 
 
-def grid_projection(attrs: dict, radius: float = RADIUS) -> Projection:
+def grid_projection(attrs: dict, radius: float = RADIUS, minor: float | None = None) -> Projection:
     """From grid attributes GDTYP, P_ALP, P_BET, P_GAM, XCENT and YCENT."""
     kind = {1: "eqc", 2: "lcc", 6: "stere", 7: "merc"}.get(int(attrs["GDTYP"]))
     if kind is None:
         raise NotImplementedError(f"GDTYP {attrs['GDTYP']}")
     a, b = float(attrs.get("P_ALP", 0)), float(attrs.get("P_BET", 0))
     if kind == "stere":
-        return Projection(kind, lat_1=b, lat_0=90.0 * math.copysign(1, a), lon_0=float(attrs.get("P_GAM", attrs.get("XCENT", 0))), radius=radius)
-    return Projection(kind, a, b, float(attrs.get("YCENT", 0)), float(attrs.get("P_GAM", attrs.get("XCENT", 0))), radius=radius)
+        return Projection(kind, lat_1=b, lat_0=90.0 * math.copysign(1, a), lon_0=float(attrs.get("P_GAM", attrs.get("XCENT", 0))), radius=radius, minor=minor)
+    return Projection(kind, a, b, float(attrs.get("YCENT", 0)), float(attrs.get("P_GAM", attrs.get("XCENT", 0))), radius=radius, minor=minor)
+
+
+#: Names of grid mappings in the climate and forecast convention.
+MAPPINGS = {"latitude_longitude": "eqc", "lambert_conformal_conic": "lcc", "polar_stereographic": "stere", "mercator": "merc"}
+
+
+def grid_mapping(attrs: dict, spheroid: str | None = None) -> dict:
+    """The grid's mapping variable in the climate and forecast convention; origins are those of the first cell's corner."""
+    major, minor = half_axes(spheroid)
+    p = grid_projection(attrs, major, minor)
+    name = {v: k for k, v in MAPPINGS.items()}[p.kind]
+    out: dict[str, object] = {"grid_mapping_name": name, "semi_major_axis": major, "semi_minor_axis": minor}
+    if p.kind == "eqc":
+        return out
+    out |= {"false_easting": -float(attrs["XORIG"]), "false_northing": -float(attrs["YORIG"])}
+    if p.kind == "lcc":
+        return out | {"standard_parallel": [p.lat_1, p.lat_2], "longitude_of_central_meridian": p.lon_0, "latitude_of_projection_origin": p.lat_0}
+    if p.kind == "stere":
+        return out | {"standard_parallel": p.lat_1, "straight_vertical_longitude_from_pole": p.lon_0, "latitude_of_projection_origin": p.lat_0}
+    return out | {"standard_parallel": p.lat_1, "longitude_of_projection_origin": p.lon_0}
+
+
+def mapped_projection(mapping: dict) -> Projection:
+    """The projection of a mapping variable's attributes."""
+    kind = MAPPINGS.get(str(mapping.get("grid_mapping_name")))
+    if kind is None:
+        raise NotImplementedError(str(mapping.get("grid_mapping_name")))
+    major = float(mapping.get("semi_major_axis", mapping.get("earth_radius", RADIUS)))
+    minor = float(mapping.get("semi_minor_axis", major))
+    if "inverse_flattening" in mapping and "semi_minor_axis" not in mapping and float(mapping["inverse_flattening"]):
+        minor = major * (1 - 1 / float(mapping["inverse_flattening"]))
+    both = mapping.get("standard_parallel", 0.0)
+    parallels = [float(x) for x in both] if isinstance(both, (list, tuple)) else [float(both)]
+    lon = next((float(mapping[k]) for k in ("longitude_of_central_meridian", "straight_vertical_longitude_from_pole", "longitude_of_projection_origin") if k in mapping), 0.0)
+    east, north = float(mapping.get("false_easting", 0.0)), float(mapping.get("false_northing", 0.0))
+    return Projection(kind, parallels[0], parallels[-1], float(mapping.get("latitude_of_projection_origin", 0.0)), lon, east, north, major, None if minor == major else minor)
+
+
+def proj_text(mapping: dict) -> str:
+    """The mapping as the parameter text that other tools read."""
+    p = mapped_projection(mapping)
+    kind = {"eqc": "lonlat", "lcc": "lcc", "stere": "stere", "merc": "merc"}[p.kind]
+    parts = {"lonlat": {}, "lcc": {"lon_0": p.lon_0, "lat_1": p.lat_1, "lat_2": p.lat_2, "lat_0": p.lat_0}, "stere": {"lat_0": p.lat_0, "lat_ts": p.lat_1, "lon_0": p.lon_0}, "merc": {"lat_ts": p.lat_1, "lon_0": p.lon_0}}[kind]
+    if kind != "lonlat":
+        parts |= {"x_0": p.x_0, "y_0": p.y_0}
+    parts |= {"a": p.radius, "b": p.minor or p.radius}
+    return " ".join([f"+proj={kind}", *(f"+{k}={v:.12g}" for k, v in parts.items()), "+no_defs"])
 
 
 def cell_xy(i: Column, j: Column, attrs: dict) -> tuple[Column, Column]:

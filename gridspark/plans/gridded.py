@@ -6,12 +6,15 @@ import warnings
 
 from pyspark.sql import functions as F
 
+from gridspark.functions import geo
+
 from gridspark.conventions import Ioapi
 from gridspark.model import idx
 from gridspark.operators import extract, regrid, select
-from gridspark.plans.catalog import _VEC, load, query, r6, vectors
+from gridspark.plans.catalog import _PT, _VEC, _spots, load, query, r6, vectors
 from gridspark.session import scratch
 from gridspark.sources import records
+from gridspark.streaming import events
 
 _GRID = {
     "SDATE": 2024001, "STIME": 0, "TSTEP": 10000, "GDTYP": 2, "P_ALP": 33.0, "P_BET": 45.0, "P_GAM": -97.0, "XORIG": -2736000.0, "YORIG": -2088000.0, "XCELL": 36000.0, "YCELL": 36000.0,
@@ -118,3 +121,41 @@ def q_record_files(spark, sf_dir):
     records.write_average(rows, path, ["V"], 4, 4, 4, note="vectors")
     got = records.read_records(spark, path).filter("LAY__i >= 1 AND ROW__i = 2 AND COL__i < 3 AND step >= 6")
     return r6(got.select(F.right("file", F.lit(6)).cast("int").alias("file"), "step", "date", F.col("hour").cast("double").alias("hour"), *[idx(d) for d in ("LAY", "ROW", "COL")], "value"), "value")
+
+
+# ---------------------------------------------------------------- ellipsoids and streams
+
+_WGS = geo.half_axes("12")
+_ELLIPSOIDS = {
+    "lcc": geo.Projection("lcc", 33, 45, 40, -97, radius=_WGS[0], minor=_WGS[1]),
+    "stere": geo.Projection("stere", lat_1=60, lat_0=90, lon_0=-45, radius=_WGS[0], minor=_WGS[1]),
+    "merc": geo.Projection("merc", lat_1=20, lon_0=10, radius=_WGS[0], minor=_WGS[1]),
+}
+_LN, _LF, _LR = _ELLIPSOIDS["lcc"]._cone()
+_E = repr(_ELLIPSOIDS["lcc"].eccentricity)
+_D = "radians((((lon - ({0})) + 180) % 360 + 360) % 360 - 180)"
+
+
+@query(f"""WITH p AS (SELECT c_custkey, {_D.format(-97)} AS d1, {_D.format(-45)} AS d2, {_D.format(10)} AS d3, exp({_E} * atanh({_E} * sin(radians(lat)))) * tan(pi() / 4 - radians(lat) / 2) AS t FROM ({_PT}))
+SELECT c_custkey, round({_WGS[0] * _LF!r}::DOUBLE * pow(t, {_LN!r}::DOUBLE) * sin(d1 * {_LN!r}::DOUBLE), 3) AS lcc_x, round({_LR!r}::DOUBLE - {_WGS[0] * _LF!r}::DOUBLE * pow(t, {_LN!r}::DOUBLE) * cos(d1 * {_LN!r}::DOUBLE), 3) AS lcc_y,
+ round({_ELLIPSOIDS["stere"]._polar()!r}::DOUBLE * t * sin(d2), 3) AS stere_x, round(-{_ELLIPSOIDS["stere"]._polar()!r}::DOUBLE * t * cos(d2), 3) AS stere_y,
+ round({_WGS[0] * _ELLIPSOIDS["merc"]._m(0.3490658503988659)!r}::DOUBLE * d3, 3) AS merc_x, round(-{_WGS[0] * _ELLIPSOIDS["merc"]._m(0.3490658503988659)!r}::DOUBLE * ln(t), 3) AS merc_y, true AS back FROM p""")
+def q_projection_ellipsoid(spark, sf_dir):
+    """Customers' places on an ellipsoid in three projections, and whether all inverses lead back."""
+    p = _spots(load(spark, sf_dir, "customer"), "c_custkey", 7919, 104729)
+    lon, lat, out, back = F.col("lon"), F.col("lat"), {}, F.lit(True)
+    for name, proj in _ELLIPSOIDS.items():
+        x, y = proj.forward(lon, lat)
+        a, b = proj.inverse(x, y)
+        back = back & (F.abs(F.pmod(a - lon + 180, F.lit(360.0)) - 180) < 1e-7) & (F.abs(b - lat) < 1e-7)
+        out |= {f"{name}_x": F.round(x, 3), f"{name}_y": F.round(y, 3)}
+    return p.select("c_custkey", *[c.alias(n) for n, c in out.items()], back.alias("back"))
+
+
+@query("""WITH h AS (SELECT event_type, epoch_us(ts) // 3600000000 AS h, avg(value) AS v FROM events GROUP BY ALL),
+m AS (SELECT event_type, h - o.range AS s, avg(v) AS m FROM h, range(8) o GROUP BY ALL HAVING count(*) >= 6)
+SELECT (DATE '1970-01-01' + (s // 24)::INT)::DATE::VARCHAR AS day, event_type, round(max(m), 6) AS maximum FROM m GROUP BY ALL""")
+def q_stream_daily_maximum(spark, sf_dir):
+    """Every day's largest eight-hour mean by the chained windows that also run on streams."""
+    e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return r6(events.daily_maximum_of_means(e, "ts", "value", ["event_type"]), "maximum").withColumn("day", F.col("day").cast("string"))
