@@ -41,6 +41,9 @@ GRAM = 16
 WINDOW = LENGTH - GRAM + 1
 RUN = 64  # most starts of one run
 BATCH_CHARS = 1_000_000
+#: Bytes of text whose runs share a bucket (some 30 MB of hashes), and bytes of text for a task of the shuffles.
+BUCKET_BYTES = 64 << 20
+PART_BYTES = 64 << 20
 #: Bytes of distinct runs that are sorted together, and distinct runs of one hash beyond which it is split.
 BLOCK_BYTES = 2_000_000
 SPLIT_RUNS = 10_000
@@ -538,13 +541,19 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def run_flags(firsts: DataFrame, classes: object) -> DataFrame:
+def parts_of(spark: SparkSession, size: int) -> int:
+    """Tasks of a shuffle for so many bytes of text, at least those of the session."""
+    return max(n_parts(spark), size // PART_BYTES)
+
+
+def run_flags(firsts: DataFrame, classes: object, size: int) -> DataFrame:
     """k1, k2, low and high: two bits for each run of a text that has any: 1 held by a lesser document, 2 to be sorted, 3 to be split and sorted.
 
     Hashes travel packed, a row for each batch of documents and bucket; a batch's texts travel with one of them.
+    ``size``: bytes of all texts, which the number of buckets follows, as a bucket is compared in memory.
     """
-    parts = n_parts(firsts.sparkSession)
-    filed = firsts.mapInArrow(_file(classes, max(256, 4 * parts)), _ddl(_FILED))
+    parts = parts_of(firsts.sparkSession, size)
+    filed = firsts.mapInArrow(_file(classes, max(256, 4 * n_parts(firsts.sparkSession), size // BUCKET_BYTES)), _ddl(_FILED))
     compared = filed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(SPLIT_RUNS), _ddl(_TOLD))
     return compared.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_gather, _ddl(_FLAGS))
 
@@ -685,11 +694,12 @@ def covered_ranges(docs: DataFrame, several: DataFrame) -> DataFrame:
     ``several``: repeats() of the same rows.  What a text loses only because a lesser document has all of it isn't listed.
     """
     spark = docs.sparkSession
-    parts = n_parts(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = parts_of(spark, size)
     firsts = keyed(docs).filter(F.octet_length("text") >= LENGTH).join(_near(several), ["k1", "k2"], "left")
     firsts = firsts.filter(F.col("least").isNull() | (F.col("doc") == F.col("least"))).drop("least")
     classes = spark.sparkContext.broadcast(gram_classes(firsts))
-    flags = written(run_flags(firsts, classes).dropDuplicates(["k1", "k2"]))
+    flags = written(run_flags(firsts, classes, size).dropDuplicates(["k1", "k2"]))
     near = firsts.join(_near(flags, "low", "high"), ["k1", "k2"])
     sent = near.mapInArrow(_send(classes), _ddl(_SENT))
     solved = sent.repartition(2 * parts, "shard").sortWithinPartitions("shard", "run", "doc").mapInArrow(_solve(BLOCK_BYTES, HELD), _ddl(_RANGES))
