@@ -358,3 +358,30 @@ def to_ioapi(spark: SparkSession, ds: Dataset, **attrs: object) -> Ioapi:
         frames[to] = frames[to].join(df, ds.index(to), "full") if to in frames else df
         vars_ |= {v: Var(to, ds.vars[v].attrs) for v in ds.names(key)}
     return Ioapi.of(Dataset(dims, {v: vars_[v] for v in ds.vars}, frames, ds.attrs, ds.coords, ds.groups), **attrs)
+
+
+def write_ioapi(f: Ioapi, path: str, steps: int = 24, prefix: str = "ioapi.", mode: str = "append") -> None:
+    """Classic netCDF files of ``steps`` time steps each, with TFLAG and the attributes that are true of each file; tasks write whole files.
+
+    Cells must be dense; masked ones become NaN.
+    """
+    from gridspark.sources.records import _write
+
+    names, a = f.variables(), {k: v for k, v in f.attrs.items() if k != "STEP_SECONDS" and v is not None}
+    key = ("TSTEP", "LAY", "ROW", "COL")
+    if not names or any(f.ds.vars[v].dims != key for v in names):
+        raise ValueError(f"variables on {key} only; there are {names}")
+    times = f.times().select(idx("TSTEP"), yyyyjjj(F.col("time")).alias("date"), (F.unix_timestamp("time") - F.unix_timestamp(F.date_trunc("day", "time"))).alias("s__"))
+    cells = f.ds.to_frame(key).join(times, idx("TSTEP"))
+    long = cells.select(F.col(idx("TSTEP")).alias("step"), "date", (F.col("s__") / 3600).alias("hour"), idx("LAY"), idx("ROW"), idx("COL"), F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.coalesce(F.col(v).cast("float"), F.lit(float("nan"))).alias("value")) for v in names])).alias("x"))
+    about = {"format": "ioapi", "nz": f.ds.dims["LAY"], "ny": f.ds.dims["ROW"], "nx": f.ds.dims["COL"], "steps": steps, "attrs": a, "about": {v: f.ds.vars[v].attrs for v in names}}
+    _write(long.select("step", "date", "hour", "x.name", idx("LAY"), idx("ROW"), idx("COL"), "x.value"), path, about, names, prefix, mode)
+
+
+def read_ioapi(spark: SparkSession, path: str, names: list[str] | None = None) -> Ioapi:
+    """A file, or a folder of files that follow each other in time; attributes are those of the first, counts those of all."""
+    from gridspark.sources.netcdf import open_netcdf
+
+    f = drop_tflag(open_netcdf(spark, path, names))
+    nan = {v: F.nanvl(F.col(v), F.lit(None).cast("double")) for v in f.variables()}
+    return Ioapi(f.ds.map_frames(lambda key, df: df.withColumns({v: c for v, c in nan.items() if v in df.columns})))

@@ -17,13 +17,13 @@ _SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
-    from gridspark.plans import further, gridded  # noqa: F401  they register their queries here
+    from gridspark.plans import further, gridded, stored  # noqa: F401  they register their queries here
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from gridspark.plans import further, gridded  # noqa: F401
+    from gridspark.plans import further, gridded, stored  # noqa: F401
 
     return dict(_SQL)
 

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
 from gridspark.model import Dataset, Var, idx
@@ -77,6 +78,37 @@ def parse(raw: bytes) -> Header:
     return Header({d: m or records for d, m in dims}, fields, attrs)
 
 
+def encode_header(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], str, dict]], attrs: dict, records: int) -> bytes:
+    """The header of a 64-bit-offset file of ``records`` records; a dimension of length 0 is that of the records, the first of every variable.
+
+    ``variables``: dimensions, big-endian type and attributes by name.  Their parts of a record follow each other in this order.
+    """
+    i4 = lambda *x: struct.pack(f">{len(x)}i", *x)
+    pad = lambda b: b + b"\0" * (-len(b) % 4)
+    name = lambda t: i4(len(t.encode())) + pad(t.encode())
+
+    def value(v: object) -> bytes:
+        if isinstance(v, str):
+            return i4(2, len(v.encode())) + pad(v.encode())
+        a = np.atleast_1d(np.asarray(v))
+        whole = a.dtype.kind in "iub"
+        return i4(4 if whole else 6, len(a)) + a.astype(">i4" if whole else ">f8").tobytes()
+
+    listed = lambda d: i4(12, len(d)) + b"".join(name(k) + value(v) for k, v in d.items()) if d else i4(0, 0)
+    ids = {d: k for k, d in enumerate(dims)}
+    code = {v: k for k, v in _TYPES.items()}
+    head = b"CDF\2" + i4(records) + i4(10, len(dims)) + b"".join(name(d) + i4(n) for d, n in dims.items()) + listed(attrs) + i4(11, len(variables))
+    entries, sizes = [], []
+    for v, (own, kind, about) in variables.items():
+        sizes.append(math.prod(dims[d] for d in own[1:]) * np.dtype(kind).itemsize)
+        entries.append(name(v) + i4(len(own), *[ids[d] for d in own]) + listed(about) + i4(code[kind], sizes[-1]))
+    at = len(head) + sum(len(e) + 8 for e in entries)
+    for e, size in zip(entries, sizes, strict=True):
+        head += e + struct.pack(">q", at)
+        at += size
+    return head
+
+
 def header(f: File, first: int = 1 << 16) -> Header:
     n = min(first, f.size)
     while True:
@@ -170,15 +202,30 @@ def read_variable(spark: SparkSession, path: str, name: str, **options: object)
 
 
 def open_netcdf(spark: SparkSession, path: str, names: list[str] | None = None, **options: object) -> Dataset:
-    """A file as a dataset; only headers are read until a variable is used.  Variables of the same dimensions are joined on them."""
-    h = header(File(path))
+    """A file as a dataset, or a folder of files alike whose records follow each other in the order of the files' names.
+
+    Only headers are read until a variable is used.  Variables of the same dimensions are joined on them.
+    """
+    heads = [(p, header(File(p))) for p, _ in _files(path)]
+    h = heads[0][1]
+    growing = next((d for d in h.dims if any(x.dims[d] != h.dims[d] for _, x in heads)), None) or next((f.dims[0] for f in h.fields.values() if f.dims and f.stride != f.row), next(iter(h.dims), None))
+    starts, at = [], 0
+    for p, x in heads:
+        starts.append((p, at))
+        at += x.dims.get(growing, 0)
     frames, vars_ = {}, {}
     for f in h.fields.values():
         if names is not None and f.name not in names:
             continue
-        df = read_variable(spark, path, f.name, **options).drop("file")
+        df = read_variable(spark, path, f.name, **options)
+        if len(heads) > 1 and growing in f.dims:
+            first = spark.createDataFrame(starts, "file string, first__ int")
+            df = df.join(F.broadcast(first) if len(starts) <= 100_000 else first, "file").withColumn(idx(growing), F.col(idx(growing)) + F.col("first__")).drop("first__")
+        elif len(heads) > 1:
+            df = df.filter(F.col("file") == heads[0][0])
+        df = df.drop("file")
         frames[f.dims] = (frames[f.dims].join(df, [idx(d) for d in f.dims]) if f.dims else frames[f.dims].crossJoin(df)) if f.dims in frames else df
         vars_[f.name] = Var(f.dims, {k: v for k, v in f.attrs.items() if k not in ("_FillValue", "missing_value")})
     used = {d for v in vars_.values() for d in v.dims}
     coords = frozenset(v for v, x in vars_.items() if x.dims == (v,))
-    return Dataset({d: n for d, n in h.dims.items() if d in used}, vars_, frames, h.attrs, coords)
+    return Dataset({d: at if d == growing and len(heads) > 1 else n for d, n in h.dims.items() if d in used}, vars_, frames, h.attrs, coords)

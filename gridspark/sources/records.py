@@ -355,6 +355,7 @@ class _Writer(DataSourceArrowWriter):
         shape = (len(a["species"]), a["nz"], a["ny"], a["nx"])
         whole, attempt = math.prod(shape), TaskContext.get().taskAttemptId()
         done, out, now, held, n = [], None, None, [], 0
+        head, step = (_ioapi_header, _ioapi_step) if a.get("format") == "ioapi" else (_header, _step)
         for b in iterator:
             if not b.num_rows:
                 continue
@@ -374,8 +375,8 @@ class _Writer(DataSourceArrowWriter):
                         hidden, final = f"{at}/.{now:06d}-{attempt}", f"{at}/{a['prefix']}{now:06d}"
                         done.append((hidden, final))
                         out = store.open_output_stream(hidden)
-                        out.write(_header(a, begins[1], begins[2], min(a["steps"], a["total"] - now * a["steps"])))
-                    out.write(_step(a, begins[1], begins[2], np.concatenate(held).reshape(shape)))
+                        out.write(head(a, begins[1], begins[2], min(a["steps"], a["total"] - now * a["steps"])))
+                    out.write(step(a, begins[1], begins[2], np.concatenate(held).reshape(shape)))
                     held, n = [], 0
         if n:
             raise ValueError("a step lacks cells; write dense data")
@@ -421,6 +422,25 @@ def _step(a: dict, date: int, hour: float, x: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def _hms(hour: float) -> int:
+    s = round(hour * 3600)
+    return s // 3600 * 10000 + s // 60 % 60 * 100 + s % 60
+
+
+def _ioapi_header(a: dict, date: int, hour: float, steps: int) -> bytes:
+    from gridspark.sources.netcdf import encode_header
+
+    n = len(a["species"])
+    dims = {"TSTEP": 0, "DATE-TIME": 2, "LAY": a["nz"], "VAR": n, "ROW": a["ny"], "COL": a["nx"]}
+    flag = {"units": "<YYYYDDD,HHMMSS>", "long_name": "TFLAG".ljust(16), "var_desc": "Timestep-valid flags:  (1) YYYYDDD or (2) HHMMSS".ljust(80)}
+    variables = {"TFLAG": (("TSTEP", "VAR", "DATE-TIME"), ">i4", flag)} | {s: (("TSTEP", "LAY", "ROW", "COL"), ">f4", a["about"].get(s, {})) for s in a["species"]}
+    return encode_header(dims, variables, a["attrs"] | {"SDATE": date, "STIME": _hms(hour)}, steps)
+
+
+def _ioapi_step(a: dict, date: int, hour: float, x: np.ndarray) -> bytes:
+    return struct.pack(">ii", date, _hms(hour)) * len(a["species"]) + x.astype(">f4").tobytes()
+
+
 class GridRecords(DataSource):
     """Options: ``path``, ``records`` (a name in FORMATS), ``rows`` and ``cols`` where a format doesn't tell them, ``name``, ``slab``."""
 
@@ -456,11 +476,15 @@ def write_average(df: DataFrame, path: str, species: list[str], nz: int, ny: int
 
     Rows are dealt and sorted by file, so a task holds one step at a time.  Steps count from 0.
     """
+    about = {"nz": nz, "ny": ny, "nx": nx, "steps": steps, "hours": hours, "origin": list(origin), "kind": kind, "note": note}
+    _write(df, path, about, species, prefix, mode)
+
+
+def _write(df: DataFrame, path: str, about: dict, species: list[str], prefix: str, mode: str) -> None:
     register(df.sparkSession)
-    total = (df.agg(F.max("step")).first()[0] or 0) + 1
-    about = {"total": total, "species": species, "nz": nz, "ny": ny, "nx": nx, "steps": steps, "hours": hours, "origin": list(origin), "kind": kind, "note": note, "prefix": prefix}
+    about = {**about, "species": species, "prefix": prefix, "total": (df.agg(F.max("step")).first()[0] or 0) + 1}
     place = F.array_position(F.array(*[F.lit(s) for s in species]), F.col("name"))
-    rows = df.withColumn("number", F.floor(F.col("step") / steps).cast("int")).withColumn("place", place).filter("place > 0")
+    rows = df.withColumn("number", F.floor(F.col("step") / about["steps"]).cast("int")).withColumn("place", place).filter("place > 0")
     order = ["number", "step", "place", "LAY__i", "ROW__i", "COL__i"]
     sent = rows.repartition("number").sortWithinPartitions(*order).select("number", F.col("date").cast("int"), F.col("hour").cast("float"), F.col("value").cast("float"))
     sent.write.format("gridrecords").options(path=path, about=json.dumps(about)).mode(mode).save()

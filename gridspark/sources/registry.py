@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
+from gridspark import conventions
 from gridspark.model import Dataset
 from gridspark.operators.combine import stack
 from gridspark.sources import native, netcdf, records, text
@@ -71,7 +72,10 @@ register_reader("ffi1001", text.read_icartt)
 register_reader("icon_profile", text.read_icon_profile)
 register_reader("bcon_profile", lambda spark, path: text.read_icon_profile(spark, path, 4))
 register_reader("netcdf", netcdf.open_netcdf)
+register_reader("ioapi", lambda spark, path, **options: conventions.read_ioapi(spark, path, **options).ds)
 for _kind in records.FORMATS:
     register_reader(_kind, lambda spark, path, kind=_kind, **options: records.open_records(spark, path, kind, **options))
 register_writer("native", native.save)
 register_writer("csv", text.write_grid_csv)
+register_writer("ioapi", lambda ds, path, **options: conventions.write_ioapi(conventions.Ioapi.of(ds), path, **options))
+register_writer("ffi1001", text.write_icartt)

@@ -108,6 +108,27 @@ def read_icartt(spark: SparkSession, path: str) -> Dataset:
     return ds.set_coords(names[0])
 
 
+def write_icartt(ds: Dataset, path: str, missing: float = -9999.0) -> None:
+    """NASA Ames 1001: one text of header and points, in the order of their index; masked values become ``missing``.
+
+    The first variable (a coordinate, if there is one) stands first in each line.  The
+    format is one stream, so one task writes it, sorted as Spark sorts, not in memory.
+    """
+    names = sorted(ds.names(("POINTS",)), key=lambda v: v not in ds.coords)
+    unit = lambda v: f"{v}, {str(ds.vars[v].attrs.get('units', 'unknown')).strip()}"
+    rest, a = names[1:], ds.attrs
+    day = str(a.get("SDATE", "1970, 01, 01"))
+    own = [f"{k}: {v}" for k, v in a.items() if k not in ("PI_NAME", "ORGANIZATION_NAME", "SOURCE_DESCRIPTION", "MISSION_NAME", "SDATE", "history")]
+    head = [str(a.get(k, "unknown")) for k in ("PI_NAME", "ORGANIZATION_NAME", "SOURCE_DESCRIPTION", "MISSION_NAME")] + ["1, 1", f"{day}, {day}", "0", unit(names[0]), str(len(rest))]
+    head += [", ".join(["1"] * len(rest)), ", ".join([repr(missing)] * len(rest)), *map(unit, rest), "0", str(len(own) + 1), *own, ",".join(names)]
+    head.insert(0, f"{len(head) + 1}, 1001")
+    spark = ds.spark
+    top = spark.createDataFrame([(-len(head) + i, line) for i, line in enumerate(head)], "n long, value string")
+    line = F.concat_ws(",", F.col(names[0]).cast("string"), *[F.coalesce(F.col(v).cast("string"), F.lit(repr(missing))) for v in rest])
+    body = ds.to_frame(("POINTS",)).select(F.col(idx("POINTS")).cast("long").alias("n"), line.alias("value"))
+    top.unionByName(body).repartition(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+
+
 def read_icon_profile(spark: SparkSession, path: str, edges: int = 1) -> Dataset:
     """Species by layer (or, with four ``edges``, by side too) of an initial or boundary profile."""
     rows = [r[0] for r in spark.read.text(path).collect()]  # a profile has some dozens of lines
