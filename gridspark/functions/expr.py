@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import ast
 import math
+import re
+import warnings
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column
@@ -28,8 +31,8 @@ CONSTANTS = {"pi": math.pi, "e": math.e, "c": 299_792_458.0, "g": 9.80665, "R":
 
 
 class _Compiler(ast.NodeVisitor):
-    def __init__(self, names: set[str], attrs: dict):
-        self.names, self.attrs, self.used = names, attrs, []
+    def __init__(self, names: set[str], attrs: dict, calls: dict | None = None):
+        self.names, self.attrs, self.used, self.calls = names, attrs, [], CALLS if calls is None else calls
 
     def generic_visit(self, node: ast.AST):
         raise ValueError(f"not allowed in an expression: {type(node).__name__}")
@@ -109,29 +112,32 @@ class _Compiler(ast.NodeVisitor):
                 base = base.value
             if isinstance(base, ast.Name) and base.id in ("np", "numpy", "ma"):
                 name = f.attr
-        if name not in CALLS or node.keywords:
+        if name not in self.calls or node.keywords:
             raise ValueError(f"unknown function: {name}")
-        return CALLS[name](*[self._col(self.visit(a)) for a in node.args])
+        return self.calls[name](*[self._col(self.visit(a)) for a in node.args])
 
 
-def evaluate(ds: Dataset, program: str, copy_all: bool = False) -> Dataset:
+def evaluate(ds: Dataset, program: str, copy_all: bool = False, constants: dict[str, float] | None = None, functions: dict[str, Callable[..., Column]] | None = None) -> Dataset:
     """Assignments, one a line or after ';': each assigned name becomes a variable.
 
     It takes its dimensions and attributes from the first variable that it uses, and
-    variables with fewer dimensions are spread along the others.  Unless
-    ``copy_all``, only assigned variables and coordinates stay.
+    variables with fewer dimensions are spread along the others.  A name whose value
+    uses no variable is a constant for the lines after it.  ``constants`` and
+    ``functions`` (of columns) are known by their names too; attributes come before
+    constants.  Unless ``copy_all``, only assigned variables and coordinates stay.
     """
     from gridspark.operators.select import subset
 
-    out, made = ds, []
+    out, made, known, calls = ds, [], dict(constants or {}), {**CALLS, **(functions or {})}
     for st in ast.parse(program.strip()).body:
         if not isinstance(st, ast.Assign) or len(st.targets) != 1 or not isinstance(st.targets[0], ast.Name):
             raise ValueError("only assignments to one name")
         name = st.targets[0].id
-        c = _Compiler(set(out.vars), out.attrs)
+        c = _Compiler(set(out.vars), {**known, **out.attrs}, calls)
         value = c.visit(st.value)
         if not c.used:
-            raise ValueError(f"{name} uses no variable")
+            known[name] = value
+            continue
         keys = list(dict.fromkeys(out.vars[v].dims for v in c.used))
         key = max(keys, key=len)
         df = out.frames[key]
@@ -146,9 +152,35 @@ def evaluate(ds: Dataset, program: str, copy_all: bool = False) -> Dataset:
         first = out.vars[c.used[0]]
         out = replace(out, frames={**out.frames, key: df}, vars={**out.vars, name: Var(key, {**first.attrs, "expression": ast.unparse(st.value)})})
         made.append(name)
+    if not made:
+        raise ValueError("no line uses a variable")
     return out if copy_all else subset(out, made)
 
 
+def pick(ds: Dataset, keys: list[str]) -> Dataset:
+    """Variables by name, and what expressions among the keys make (named by the key, with _ for all but letters and digits).
+
+    Keys that are neither are left out with a warning.
+    """
+    from gridspark.operators.select import subset
+
+    out, kept = ds, []
+    for key in keys:
+        name = key
+        if key not in ds.vars:
+            name = re.sub(r"\W", "_", key.strip())
+            name = f"_{name}" if name[:1].isdigit() else name
+            try:
+                if name == key.strip():
+                    raise ValueError(f"no such variable: {key}")
+                out = evaluate(out, f"{name} = {key}", copy_all=True)
+            except (ValueError, SyntaxError) as e:
+                warnings.warn(str(e), stacklevel=2)
+                continue
+        kept.append(name)
+    return subset(out, kept)
+
+
 def condition(ds: Dataset, text: str, key: tuple[str, ...]) -> Column | None:
     """A condition over the variables of one group, or None if the group lacks one of them."""
     c = _Compiler(set(ds.vars), ds.attrs)
