@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.quantiles import join_groups, medians
-from gridspark.safe import bias180, div
+from gridspark.safe import bias180, div, masked_invalid
+from gridspark.session import stored
 
 
 # Columns are made when a statistic is asked for: at import there may be no session.
@@ -105,9 +106,17 @@ PEAK = ["MNPB", "MdnNPB", "MNPE", "MdnNPE", "NMPB", "NMdnPB", "NMPE", "NMdnPE"]
 PAIRED_PEAK = [f"PSUT{k}" for k in PEAK]
 
 
-def _aggregate(df: DataFrame, pairs: DataFrame, names: list[str], by: list[str], plain: dict[str, Agg], of_medians: dict[str, tuple[str, str | None, float]]) -> DataFrame:
-    """Plain aggregates in one aggregation; medians by their own bounded ranking, joined by group."""
+#: Of so many rows in all medians are taken by the exact aggregate, in one pass with the rest.
+SMALL = 100_000
+
+
+def _aggregate(df: DataFrame, pairs: DataFrame, names: list[str], by: list[str], plain: dict[str, Agg], of_medians: dict[str, tuple[str, str | None, float]], small: bool) -> DataFrame:
+    """Plain aggregates in one aggregation; medians of many rows by their own bounded ranking, joined by group."""
     sums = [n for n in names if n in plain]
+    if small:
+        middle = lambda s: F.median(masked_invalid(SERIES[s]().cast("double")))
+        one = {n: middle(above) * k if not below else div(middle(above), middle(below)) * k for n, (above, below, k) in of_medians.items() if n in names}
+        return df.groupBy(*by).agg(*[(plain[n]() if n in plain else one[n]).alias(n) for n in names])
     out = df.groupBy(*by).agg(*([plain[n]().alias(n) for n in sums] or [F.count("*").alias("n__")]))
     asked = [n for n in names if n in of_medians]
     if asked:
@@ -125,15 +134,20 @@ def evaluate(pairs: DataFrame, names: list[str] | None = None, by: list[str] | N
     """One row of statistics a group, from columns obs and mod.
 
     One aggregation; where a statistic needs the group's mean or regression line, one
-    more gives these, and the few rows of groups are joined back.
+    more gives these, and the few rows of groups are joined back.  Pairs that are read
+    more than once are written first, so what made them runs once.
     """
     names, by = list(names or STATS), list(by or [])
     rows = pairs = pairs.select(*by, "obs", "mod")
+    small = False
+    if set(names) & (TWO_PASS | ON_LINE | set(MEDIANS)):
+        rows = pairs = stored(pairs)
+        small = pairs.count() <= SMALL
     if set(names) & (TWO_PASS | ON_LINE):
         slope, start = _slope()
         first = pairs.groupBy(*by).agg(F.avg(o()).alias("obs_mean__"), slope.alias("m__"), start.alias("b__"))
         rows = join_groups(pairs, first, by).withColumn("line__", F.col("m__") * o() + F.col("b__"))
-    return _aggregate(rows, pairs, names, by, _PLAIN, MEDIANS)
+    return _aggregate(rows, pairs, names, by, _PLAIN, MEDIANS, small)
 
 
 def peaks(pairs: DataFrame, inner: list[str], names: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
@@ -142,7 +156,8 @@ def peaks(pairs: DataFrame, inner: list[str], names: list[str] | None = None, by
     top = pairs.groupBy(*by, *inner).agg(F.max(o()).alias("obs"), F.max(m()).alias("mod"))
     plain = _PEAK | {f"PSUT{k}": f for k, f in _PEAK.items()}
     of_medians = _PEAK_MEDIANS | {f"PSUT{k}": x for k, x in _PEAK_MEDIANS.items()}
-    return _aggregate(top, top, names, by, plain, of_medians)
+    top = stored(top)
+    return _aggregate(top, top, names, by, plain, of_medians, top.count() <= SMALL)
 
 
 def table_of(one: DataFrame, names: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce as fold
@@ -9,7 +10,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.functions.quantiles import join_groups, quantiles
+from gridspark.functions.quantiles import join_groups, medians, quantiles
 from gridspark.model import Dataset, Dims, idx
 from gridspark.safe import div
 
@@ -23,6 +24,10 @@ FUNCTIONS: dict[str, Callable[[Column], Column]] = {
 ASSOCIATIVE = {"min", "max", "sum", "prod", "any", "all"}
 
 
+#: Values of a group, known from its dimensions or counted, up to which percentiles are exact aggregates in one task.
+SMALL = 100_000
+
+
 def _others(key: Dims, gone: set[str]) -> list[str]:
     return [idx(d) for d in key if d not in gone]
 
@@ -34,6 +39,10 @@ def _aggregate(ds: Dataset, gone: list[str], name: str | Callable[[Column], Colu
         own = [d for d in gone if d in key]
         if not own:
             return df
+        if name == "median" and math.prod(ds.dims[d] for d in own) > SMALL:
+            others = _others(key, set(own))
+            found = medians(df, {v: F.col(v) for v in ds.names(key)}, others)
+            return found.withColumns({idx(d): F.lit(0) for d in own}).select(*ds.index(key), *ds.names(key))
         out = df.groupBy(*_others(key, set(own))).agg(*[f(F.col(v)).alias(v) for v in ds.names(key)])
         return out.withColumns({idx(d): F.lit(0) for d in own}).select(*ds.index(key), *ds.names(key))
 
@@ -153,7 +162,10 @@ def group_stats(df: DataFrame, by: list[str | Column], value: str, percents: tup
     keys = [c for c in rows.columns if c != "value__"]
     v = F.col("value__")
     out = rows.groupBy(*keys).agg(F.min(v).alias("v_min"), F.avg(v).alias("v_mean"), F.max(v).alias("v_max"), F.count(v).alias("n"))
-    if percents:
+    if percents and rows.count() <= SMALL:
+        exact = F.array(*[F.percentile(v, F.lit(p)) for p in percents])
+        out = rows.groupBy(*keys).agg(F.min(v).alias("v_min"), F.avg(v).alias("v_mean"), F.max(v).alias("v_max"), F.count(v).alias("n"), exact.alias("q__"))
+    elif percents:
         out = join_groups(out, quantiles(rows, {"q__": v}, list(percents), keys), keys)
     return out.select(*keys, "v_min", "v_mean", "v_max", "n", *[F.col("q__")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(percents)])
 

@@ -77,3 +77,24 @@ def test_asof_joins(spark):
     assert order(map(tuple, got)) == order((k, u, s, near(u, s)) for k, u, s in left)
     got = extract.asof_last(le, ri, ["u"], "ts", "v").select("id", "u", "s", "matched").collect()
     assert order(map(tuple, got)) == order((k, u, s, last(u, s)) for k, u, s in left)
+
+
+def test_small_and_large_agree(spark, monkeypatch):
+    """Exact aggregates of few rows and the bounded ranking give the same statistics and medians."""
+    from gridspark.functions import stats
+    from gridspark.model import Dataset
+    from gridspark.operators import reduce
+
+    rows = spark.range(400).selectExpr("id % 3 AS g", "if(id % 17 = 0, null, cast(id * 37 % 101 as double)) AS obs", "if(id % 13 = 5, null, cast(id * 53 % 97 as double)) AS mod")
+    ds = Dataset.from_frame(spark.range(60).selectExpr("cast(id div 20 as int) a__i", "cast(id % 20 as int) b__i", "if(id = 3, null, cast(id * 7 % 23 as double)) v"), {"a": 3, "b": 20}, ["v"])
+
+    def all_of():
+        one = [tuple(r) for r in stats.evaluate(rows, by=["g"]).orderBy("g").collect()] + [tuple(r) for r in stats.peaks(rows, ["g"]).collect()]
+        two = [tuple(r) for r in reduce.group_stats(rows, ["g"], "obs", (0.25, 0.5)).orderBy("g").collect()]
+        return one + two + [tuple(r) for r in reduce.apply_along(ds, b="median").to_frame(order=True).collect()]
+
+    want = all_of()
+    monkeypatch.setattr(stats, "SMALL", 0)
+    monkeypatch.setattr(reduce, "SMALL", 0)
+    for a, b in zip(all_of(), want, strict=True):
+        assert all(x == y or abs(x - y) < 1e-9 * max(1, abs(x)) for x, y in zip(a, b, strict=True)), (a, b)
