@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.quantiles import join_groups
+from gridspark.model import Dataset, idx
+from gridspark.operators.regrid import curvature_weights
 
 
 def val2idx(df: DataFrame, value: str, coord: list[float], method: str = "nearest", edges: list[float] | None = None, name: str = "i", clean: str = "mask") -> DataFrame:
@@ -200,21 +202,67 @@ def bilinear(points: DataFrame, grid: DataFrame, xy: tuple[str, str], axes: tupl
     Each axis is an index column and its ascending coordinates.  A point meets its corners
     by equality of their indexes; a masked corner with a share makes the result masked.
     """
+    own = points.select(*xy).distinct()
+    work, weights, index = _corners(own, xy, axes)
+    work = work.withColumn("w__", weights[0][0] * weights[1][0]).filter("w__ > 0 OR (w__ IS NULL AND corner__.a = 0 AND corner__.b = 0)")
+    g = grid.select(*[F.col(i).alias(f"{i}__c") for i in index], F.col(value).cast("double").alias("g__"))
+    both = work.join(g, [f"{i}__c" for i in index], "left").groupBy(*xy)
+    whole = F.count_if(F.col("g__").isNull() | F.col("w__").isNull()) == 0
+    found = both.agg(F.when(whole, F.sum(F.col("w__") * F.col("g__"))).alias(name))
+    return points.join(found, list(xy), "left").select(*points.columns, name)
+
+
+def _corners(points: DataFrame, xy: tuple[str, str], axes: tuple[tuple[str, list[float]], tuple[str, list[float]]]) -> tuple[DataFrame, list[tuple[Column, Column]], list[str]]:
+    """A row for each point and corner of its cell, and for each axis a corner's share of the value and of the curvature; outside the axes NULL."""
     work = points.withColumn("corner__", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])))
-    share, on = F.lit(1.0), []
+    weights, index = [], []
     for c, (i, coord), bit in zip(xy, axes, ("a", "b"), strict=True):
         axis, n, v = F.array(*[F.lit(float(x)) for x in coord]), len(coord), F.col(c).cast("double")
         k = F.least(F.size(_up_to(axis, v)) - 1, F.lit(max(n - 2, 0)))
-        t = F.when((v >= float(coord[0])) & (v <= float(coord[-1])), F.coalesce(F.try_divide(v - F.get(axis, k), F.get(axis, k + 1) - F.get(axis, k)), F.lit(0.0)))
+        h = F.get(axis, k + 1) - F.get(axis, k)
+        t = F.when((v >= float(coord[0])) & (v <= float(coord[-1])), F.coalesce(F.try_divide(v - F.get(axis, k), h), F.lit(0.0)))
         up = F.col(f"corner__.{bit}") == 1
         work = work.withColumn(f"{i}__c", (k + F.col(f"corner__.{bit}")).cast("int"))
-        share = share * F.when(up, t).otherwise(1 - t)
-        on.append(i)
-    work = work.withColumn("w__", share).filter("w__ > 0 OR (w__ IS NULL AND corner__.a = 0 AND corner__.b = 0)")
-    g = grid.select(*[F.col(i).alias(f"{i}__c") for i in on], F.col(value).cast("double").alias("g__"))
-    both = work.join(g, [f"{i}__c" for i in on], "left").groupBy(*points.columns)
-    whole = F.count_if(F.col("g__").isNull() | F.col("w__").isNull()) == 0
-    return both.agg(F.when(whole, F.sum(F.col("w__") * F.col("g__"))).alias(name))
+        share = F.when(up, t).otherwise(1 - t)
+        weights.append((share, (share * share * share - share) * h * h / 6))
+        index.append(i)
+    return work, weights, index
+
+
+def bicubic(points: DataFrame, ds: Dataset, value: str, xy: tuple[str, str], axes: dict[str, list[float]], name: str = "matched") -> DataFrame:
+    """Adds to points the value of a cubic spline through a variable's cells; outside the axes and near masked cells NULL.
+
+    ``axes``: the two dimensions that ``xy`` run along, with their ascending coordinates.
+    Index columns of other dimensions that the points have choose the plane.  Second
+    derivatives are weighted sums along each dimension (two aggregations for all
+    planes); then a point meets the four corners of its cell by equality.
+    """
+    key = ds.vars[value].dims
+    rest = [idx(d) for d in key if d not in axes]
+    if missing := [i for i in rest if i not in points.columns]:
+        raise ValueError(f"points need {missing}")
+    df = ds.frames[key].select(*[idx(d) for d in key], F.col(value).cast("double").alias("f__"))
+    names = ["f__"]
+    for d, coord in axes.items():
+        bent = {(i, j): w for i, j, w in curvature_weights(coord)}
+        rows = [(i, j, float(i == j), bent.get((i, j), 0.0)) for i, j in sorted({*bent, *((k, k) for k in range(len(coord)))})]
+        # some 60 rows a place of the axis, which is the caller's list
+        table = F.broadcast(ds.spark.createDataFrame(rows, f"{idx(d)} int, new__ int, same__ double, bent__ double"))
+        whole = lambda v: F.count_if(F.col(v).isNull()) == 0  # noqa: E731  a masked cell bends all that it has a weight in
+        sums = [F.when(whole(v), F.sum(F.col(v) * F.col(w))).alias(f"{v}{w[0]}") for v in names for w in ("same__", "bent__")]
+        others = [idx(x) for x in key if x != d]
+        df = df.join(table, idx(d)).groupBy(*others, "new__").agg(*sums).withColumnRenamed("new__", idx(d))
+        names = [f"{v}{w}" for v in names for w in "sb"]
+    own = points.select(*rest, *xy).distinct()
+    work, weights, index = _corners(own, xy, tuple((idx(d), c) for d, c in axes.items()))
+    work = work.withColumns({f"w{a}{b}__": weights[0]["sb".index(a)] * weights[1]["sb".index(b)] for a in "sb" for b in "sb"})
+    g = df.select(*rest, *[F.col(i).alias(f"{i}__c") for i in index], *names)
+    total = F.lit(0.0)
+    for a in "sb":
+        for b in "sb":
+            total = total + F.col(f"w{a}{b}__") * F.col(f"f__{a}{b}")
+    found = work.join(g, [*rest, *[f"{i}__c" for i in index]], "left").groupBy(*rest, *xy).agg(F.when(F.count_if(total.isNull()) == 0, F.sum(total)).alias(name))
+    return points.join(found, [*rest, *xy], "left").select(*points.columns, name)
 
 
 def unique_points(df: DataFrame, index: list[str]) -> DataFrame:

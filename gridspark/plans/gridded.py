@@ -159,3 +159,28 @@ def q_stream_daily_maximum(spark, sf_dir):
     """Every day's largest eight-hour mean by the chained windows that also run on streams."""
     e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return r6(events.daily_maximum_of_means(e, "ts", "value", ["event_type"]), "maximum").withColumn("day", F.col("day").cast("string"))
+
+
+_AXES = {"row": [0.0, 1.0, 2.5, 3.0, 4.0, 6.0, 6.5, 8.0], "col": [float(k) for k in range(8)]}
+_BENT = {d: ", ".join(f"({i}, {j}, {w!r}::DOUBLE)" for i, j, w in regrid.curvature_weights(c)) for d, c in _AXES.items()}
+_KNOTS = {d: "[" + ", ".join(f"{x!r}::DOUBLE" for x in c) + "]" for d, c in _AXES.items()}
+
+
+@query(_VEC + f""", n AS (SELECT max(vec__i) + 1 AS n FROM vec), f AS (SELECT vec__i AS t, k__i // 8 AS r, k__i % 8 AS c, v FROM vec),
+fr AS (SELECT t, j AS r, c, sum(v * w) AS v FROM f JOIN (VALUES {_BENT["row"]}) AS b(i, j, w) ON i = r GROUP BY ALL),
+fc AS (SELECT t, r, j AS c, sum(v * w) AS v FROM f JOIN (VALUES {_BENT["col"]}) AS b(i, j, w) ON i = c GROUP BY ALL),
+frc AS (SELECT t, r, j AS c, sum(v * w) AS v FROM fr JOIN (VALUES {_BENT["col"]}) AS b(i, j, w) ON i = c GROUP BY ALL),
+p AS (SELECT c_custkey, (c_custkey % n)::INT AS t, ((c_custkey * 7919) % 850)::DOUBLE / 100 AS x, ((c_custkey * 104729) % 700)::DOUBLE / 100 AS y, {_KNOTS["row"]} AS kr, {_KNOTS["col"]} AS kc FROM customer, n),
+k AS (SELECT *, least(len(list_filter(kr, lambda z: z <= x)) - 1, 6) AS i, least(len(list_filter(kc, lambda z: z <= y)) - 1, 6) AS j FROM p),
+s AS (SELECT *, kr[i + 2] - kr[i + 1] AS hr, kc[j + 2] - kc[j + 1] AS hc, (x - kr[i + 1]) / (kr[i + 2] - kr[i + 1]) AS u, (y - kc[j + 1]) / (kc[j + 2] - kc[j + 1]) AS q FROM k WHERE x <= 8),
+z AS (SELECT c_custkey, t, i + a.range AS r, j + b.range AS c, CASE a.range WHEN 1 THEN u ELSE 1 - u END AS wr, CASE b.range WHEN 1 THEN q ELSE 1 - q END AS wc, hr, hc FROM s, range(2) a, range(2) b),
+g AS (SELECT c_custkey, sum(wr * wc * f.v + (wr ** 3 - wr) * hr * hr / 6 * wc * fr.v + wr * (wc ** 3 - wc) * hc * hc / 6 * fc.v + (wr ** 3 - wr) * hr * hr / 6 * (wc ** 3 - wc) * hc * hc / 6 * frc.v) AS matched
+ FROM z JOIN f USING (t, r, c) JOIN fr USING (t, r, c) JOIN fc USING (t, r, c) JOIN frc USING (t, r, c) GROUP BY c_custkey)
+SELECT c_custkey, round(matched, 6) AS matched FROM p LEFT JOIN g USING (c_custkey)""")
+def q_extract_cubic(spark, sf_dir):
+    """A cubic spline through each vector as a plane of 8 by 8 uneven nodes, at a place for each customer; some lie outside."""
+    ds = vectors(spark, sf_dir)
+    k = F.col("c_custkey")
+    points = load(spark, sf_dir, "customer").select(k, F.pmod(k, F.lit(ds.dims["vec"])).cast("int").alias("vec__i"), (F.pmod(k * 7919, F.lit(850)).cast("double") / 100).alias("x"), (F.pmod(k * 104729, F.lit(700)).cast("double") / 100).alias("y"))
+    found = extract.bicubic(points, select.split_dim(ds, "k", {"row": 8, "col": 8}), "v", ("x", "y"), _AXES)
+    return r6(found, "matched").select("c_custkey", "matched")
