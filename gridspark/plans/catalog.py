@@ -50,20 +50,26 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 
 # ---------------------------------------------------------------- datasets
 
-def event_cube(spark: SparkSession, sf_dir: str, dense: bool = True) -> Dataset:
+def event_cube(spark: SparkSession, sf_dir: str, dense: bool = True, hours: tuple[int, int] | None = None) -> Dataset:
     """(hour, etype): mean value and count of events; cells without events are masked.
 
     The first hour is that of the first event's day, the last that of the last
     event's day, and every kind of event has its place: one aggregate tells them.
+    ``hours`` (from, to): only these hours' events are read, by bounds that reach the
+    scan; the other cells are masked.
     """
+    raw = load(spark, sf_dir, "events")
     e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).filter(F.col("ts").isNotNull() & F.col("event_type").isNotNull())
     first, last, kinds_n = e.agg(F.unix_micros(F.date_trunc("day", F.min("ts"))), F.unix_micros(F.date_trunc("day", F.max("ts"))), F.count_distinct("event_type")).first()
-    first, hours = first or 0, (last - first) // 3_600_000_000 + 24 if kinds_n else 0
+    first, n_hours = first or 0, (last - first) // 3_600_000_000 + 24 if kinds_n else 0
     hour = F.floor((F.unix_micros("ts") - F.lit(first)) / 3_600_000_000).cast("int")
     kinds = e.select("event_type").distinct().withColumn(idx("etype"), (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int"))
+    if hours:
+        low, high = (F.timestamp_micros(F.lit(first + h * 3_600_000_000)).cast(raw.schema["ts"].dataType) for h in hours)
+        e = raw.filter((F.col("ts") >= low) & (F.col("ts") < high) & F.col("event_type").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp"))
     cells = e.groupBy(hour.alias(idx("hour")), "event_type").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
     rows = cells.join(F.broadcast(kinds), "event_type")
-    return Dataset.from_frame(rows, {"hour": hours, "etype": kinds_n}, ["v", "n"], {"title": "events"}, {"v": {"units": "ppb"}, "n": {"units": "1"}}, dense=not dense)
+    return Dataset.from_frame(rows, {"hour": n_hours, "etype": kinds_n}, ["v", "n"], {"title": "events"}, {"v": {"units": "ppb"}, "n": {"units": "1"}}, dense=not dense)
 
 
 # h hours and k kinds of event
@@ -106,7 +112,7 @@ p AS (SELECT k, o_totalprice AS obs, mod, o_orderpriority, strftime(o_orderdate,
 
 @query(_CUBE + "SELECT (hour__i - 100) // 2 AS hour__i, 0 AS etype__i, round(v, 6) AS v, n FROM cube WHERE hour__i >= 100 AND hour__i < 200 AND (hour__i - 100) % 2 = 0 AND etype__i = 1")
 def q_slice_dim(spark, sf_dir):
-    ds = event_cube(spark, sf_dir)
+    ds = event_cube(spark, sf_dir, hours=(100, 200))
     return r6(select.slice_text(select.slice_dims(ds, etype=1), "hour,100,200,2").to_frame(), "v")
 
 

@@ -90,3 +90,8 @@ def test_cube_takes_all_events(spark, tmp_path):
     assert ds.dims == {"hour": 33 * 24, "etype": 3}
     rows = ds.to_frame().filter("v IS NOT NULL").collect()
     assert sorted((r["hour__i"], r["etype__i"], r["v"]) for r in rows) == [(5, 0, 1.0), (72, 1, 3.0), (33 * 24 - 1, 2, 2.0)]
+
+
+def test_hours_reach_the_scan(spark):
+    plan = catalog.queries()["slice_dim"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-05T04:00" in plan and "LessThan(ts,2024-01-09T08:00" in plan
