@@ -206,6 +206,36 @@ def own_labels(page: Page) -> np.ndarray | None:
     return (inside & ~away).astype(float) if (inside & ~away).any() else None
 
 
+def dense_labels(page: Page) -> np.ndarray | None:
+    """For pages without marks: the nodes below the one whose own text and child blocks hold the most text outside links; None without text.
+
+    Menus are links, notices and adverts short blocks of their own; an article is one
+    node with many blocks of text.
+    """
+    n = len(page.tag)
+    linked, away, near = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
+    for i in range(1, n):
+        p = page.parent[i]
+        linked[i] = linked[p] or page.tag[i] == "a"
+        away[i] = away[p] or page.tag[i] in _AWAY
+        near[i] = i if page.tag[i] in _BLOCK else near[p]
+    text = np.zeros(n)
+    for node, _, t in page.texts:
+        if not linked[node] and not away[node]:
+            text[near[node]] += len(t.strip())
+    mass = text.copy()
+    for i in range(1, n):
+        if near[i] == i and text[i]:
+            mass[near[page.parent[i]]] += text[i]
+    if not mass.any():
+        return None
+    out, best = np.zeros(n), int(mass.argmax())
+    out[best] = 1.0
+    for i in range(best + 1, n):
+        out[i] = float(out[page.parent[i]] > 0 and not away[i])
+    return out
+
+
 @dataclass
 class Trees:
     base: float
@@ -319,16 +349,21 @@ def render(page: Page, keep: np.ndarray) -> str:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Trees | None:
-    """Trees from the pages (at most ``sample``, smallest hashes first) that mark their article; None without any."""
+    """Trees from the pages (at most ``sample``, smallest hashes first) that mark their article.
+
+    Where no page does, all of them are labelled by their densest node; None without any text.
+    """
     short = pages.select("html", F.xxhash64("html").alias("h")).filter(F.char_length("html").between(1, MAX_CHARS))
     # the hashes first, so that no task sends whole pages that aren't taken; copies of a page count once
     picked = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(sample).collect()]
     rows = short.filter(F.col("h") <= max(picked)).groupBy("h").agg(F.first("html").alias("html")).orderBy("h").collect() if picked else []
     xs, ys = [], []
     rng = np.random.default_rng(7)
-    for r in rows:
-        page = parse(r["html"])
-        y = own_labels(page)
+    parsed = [parse(r["html"]) for r in rows]
+    labels = [own_labels(page) for page in parsed]
+    if all(y is None for y in labels):
+        labels = [dense_labels(page) for page in parsed]
+    for page, y in zip(parsed, labels, strict=True):
         if y is None:
             continue
         x = describe(page)

@@ -81,6 +81,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     """doc_id, piece, start, length and ids_crc32 of each piece of a whole text's ids and end_id.
 
     A document longer than the capacity is cut; its first piece is the shorter one.
+    Repeated rows give their pieces again, a null or empty text a piece of the end
+    alone, an empty table none; other columns are ignored.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -237,7 +237,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1), n_toxic and spans (character offsets) of every row's whole text (null: empty)."""
+    """doc_id, score (0 to 1), n_toxic and spans (character offsets) of every row's whole text (null: empty).
+
+    Repeated rows stay and get equal scores, an empty table gives no rows; other
+    columns are ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)

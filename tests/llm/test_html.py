@@ -95,3 +95,32 @@ def test_very_many_attributes():
     for broken in ('<a "' * 60_000, "<a '\"" * 60_000, '<a x="1" ' * 60_000, "<" * 100_000, '<script a="' * 30_000):
         H.parse(broken)
     assert time.perf_counter() - began < 20
+
+
+def _bare(source):
+    """A page without telling tags, classes, ids and roles."""
+    source = re.sub(r"<(/?)(article|nav|header|footer|aside|form|main)\b", r"<\1div", source, flags=re.I)
+    return re.sub(r"\s(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", source, flags=re.I)
+
+
+def test_pages_without_any_marks(spark):
+    """Nothing marked in the whole table: labels come from the densest node, and the trees still find nearly every article."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()
+    want = {r["page_id"]: H.render(p, H.own_labels(p) > 0) for r in rows if H.own_labels(p := H.parse(r["html"])) is not None}
+    bare = [(r["page_id"], r["url"], _bare(r["html"])) for r in rows]
+    assert all(H.own_labels(H.parse(h)) is None for _, _, h in bare) and len(want) > 200
+    pages = spark.createDataFrame(bare, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(pages, H.train(pages)).collect()}
+    right = sum(got[k] == t for k, t in want.items())
+    assert right >= 0.97 * len(want), right
+
+
+def test_other_layouts():
+    """Tables, lists and bare paragraphs as articles, beside link lists and short notices."""
+    para = "This is a sentence of the article, and it goes on for a while. " * 4
+    for open_, close in (("<div>", "</div>"), ("<table><tr><td>", "</td></tr></table>"), ("<section><div>", "</div></section>")):
+        body = "".join(f"<p>{para}{k}</p>" for k in range(5))
+        page = H.parse(f"<body><div><a href=x>Home</a> <a href=y>News</a></div><div>Buy now!</div>{open_}{body}{close}<div><p>one reader said so</p></div></body>")
+        text = H.render(page, H.dense_labels(page) > 0)
+        assert text == "\n".join(f"{para}{k}" for k in range(5))
+    assert H.dense_labels(H.parse("")) is None and H.dense_labels(H.parse("<div><a>only links</a></div>")) is None
