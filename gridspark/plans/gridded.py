@@ -37,12 +37,12 @@ def _hour(text: str) -> str:
 
 
 @query(_FILE + f"""SELECT ((t - 10) // 3)::INT AS TSTEP__i, (l - 1)::INT AS LAY__i, 0 AS ROW__i, (c - 1)::INT AS COL__i, round(v, 6) AS v, {_TIMES},
- -2736000 + (c + 0.5) * 36000 AS x, -2088000 + 2.5 * 36000 AS y, 1 - l * 0.0025 AS lower, 1 - (l + 1) * 0.0025 AS upper FROM (SELECT *, {_hour('t')} AS tm FROM f) WHERE t >= 10 AND (t - 10) % 3 = 0 AND l BETWEEN 1 AND 2 AND r = 2 AND c >= 1""")
+ (-2736000 + (c + 0.5) * 36000)::DOUBLE AS x, (-2088000 + 2.5 * 36000)::DOUBLE AS y, (1 - l * 0.0025)::DOUBLE AS lower, (1 - (l + 1) * 0.0025)::DOUBLE AS upper FROM (SELECT *, {_hour('t')} AS tm FROM f) WHERE t >= 10 AND (t - 10) % 3 = 0 AND l BETWEEN 1 AND 2 AND r = 2 AND c >= 1""")
 def q_ioapi_slice(spark, sf_dir):
     return r6(model_file(spark, sf_dir).slice(TSTEP=slice(10, None, 3), LAY=slice(1, 3), ROW=2, COL=slice(1, 4)).located(), "v", "lower", "upper")
 
 
-@query(_FILE + f"""SELECT d::INT AS TSTEP__i, 0 AS LAY__i, rr::INT AS ROW__i, 0 AS COL__i, round(avg(v), 6) AS v, {_TIMES}, -2736000 + 2 * 36000.0 AS x, -2088000 + (2 * rr + 1) * 36000.0 AS y, 0.99625 AS lower, 0.99375 AS upper
+@query(_FILE + f"""SELECT d::INT AS TSTEP__i, 0 AS LAY__i, rr::INT AS ROW__i, 0 AS COL__i, round(avg(v), 6) AS v, {_TIMES}, (-2736000 + 2 * 36000.0)::DOUBLE AS x, (-2088000 + (2 * rr + 1) * 36000.0)::DOUBLE AS y, (0.99625)::DOUBLE AS lower, (0.99375)::DOUBLE AS upper
  FROM (SELECT d, r // 2 AS rr, {_hour('d * 24')} AS tm, v FROM (SELECT t // 24 AS d, l, r, max(v) AS v FROM (SELECT t, l, r, avg(v) AS v FROM (SELECT t, r, c, l, v FROM f) GROUP BY ALL) GROUP BY ALL)) GROUP BY ALL""")
 def q_ioapi_reduce(spark, sf_dir):
     """Daily maxima of means over columns, then means of pairs of rows and all layers."""
@@ -57,7 +57,7 @@ def q_ioapi_tflag(spark, sf_dir):
     return model_file(spark, sf_dir).slice(TSTEP=slice(5, None, 2)).eval("w = v * 2", copy_all=True).with_tflag().to_frame(("TSTEP", "VAR", "DATE-TIME"))
 
 
-@query(_FILE + f"""SELECT i::INT AS TSTEP__i, l::INT AS LAY__i, r::INT AS ROW__i, c::INT AS COL__i, round(v, 6) AS v, {_TIMES}, -2736000 + (c + 0.5) * 36000 AS x, -2088000 + (r + 0.5) * 36000 AS y, 1 - l * 0.0025 AS lower, 1 - (l + 1) * 0.0025 AS upper
+@query(_FILE + f"""SELECT i::INT AS TSTEP__i, l::INT AS LAY__i, r::INT AS ROW__i, c::INT AS COL__i, round(v, 6) AS v, {_TIMES}, (-2736000 + (c + 0.5) * 36000)::DOUBLE AS x, (-2088000 + (r + 0.5) * 36000)::DOUBLE AS y, (1 - l * 0.0025)::DOUBLE AS lower, (1 - (l + 1) * 0.0025)::DOUBLE AS upper
  FROM (SELECT *, CASE WHEN t < 40 THEN t ELSE t - 20 END AS i, {_hour('t')} AS tm FROM f WHERE t < 40 OR t >= 60)""")
 def q_ioapi_stack(spark, sf_dir):
     """Two pieces with a gap between: the steps keep their own times."""
@@ -67,7 +67,7 @@ def q_ioapi_stack(spark, sf_dir):
         return r6(whole.slice(TSTEP=slice(0, 40)).stack(whole.slice(TSTEP=slice(60, None))).located(), "v", "lower", "upper")
 
 
-@query(_FILE + f"""SELECT t::INT AS TSTEP__i, h::INT AS LAY__i, r::INT AS ROW__i, c::INT AS COL__i, round(avg(v), 6) AS v, {_TIMES}, -2736000 + (c + 0.5) * 36000 AS x, -2088000 + (r + 0.5) * 36000 AS y, 1 - h * 0.005 AS lower, 1 - (h + 1) * 0.005 AS upper
+@query(_FILE + f"""SELECT t::INT AS TSTEP__i, h::INT AS LAY__i, r::INT AS ROW__i, c::INT AS COL__i, round(avg(v), 6) AS v, {_TIMES}, (-2736000 + (c + 0.5) * 36000)::DOUBLE AS x, (-2088000 + (r + 0.5) * 36000)::DOUBLE AS y, (1 - h * 0.005)::DOUBLE AS lower, (1 - (h + 1) * 0.005)::DOUBLE AS upper
  FROM (SELECT t, l // 2 AS h, r, c, v, {_hour('t')} AS tm FROM f) GROUP BY ALL""")
 def q_ioapi_sigma(spark, sf_dir):
     """Layers taken together in twos, by thickness."""

@@ -14,7 +14,7 @@ from gridspark.session import scratch
 from gridspark.sources import registry, text
 
 
-@query(_FILE + f"""SELECT (t - 30)::INT AS TSTEP__i, l::INT AS LAY__i, r::INT AS ROW__i, c::INT AS COL__i, round(v, 6) AS V, round((v * 2)::FLOAT, 6) AS W, {_TIMES}, -2736000 + (c + 0.5) * 36000 AS x, -2088000 + (r + 0.5) * 36000 AS y, 1 - l * 0.0025 AS lower, 1 - (l + 1) * 0.0025 AS upper
+@query(_FILE + f"""SELECT (t - 30)::INT AS TSTEP__i, l::INT AS LAY__i, r::INT AS ROW__i, c::INT AS COL__i, round(v, 6) AS V, round(v * 2, 6) AS W, {_TIMES}, (-2736000 + (c + 0.5) * 36000)::DOUBLE AS x, (-2088000 + (r + 0.5) * 36000)::DOUBLE AS y, (1 - l * 0.0025)::DOUBLE AS lower, (1 - (l + 1) * 0.0025)::DOUBLE AS upper
  FROM (SELECT *, {_hour('t')} AS tm FROM f) WHERE t >= 30""")
 def q_ioapi_files(spark, sf_dir):
     """All vectors and their doubles written by tasks as files of 100 hours, read as one, and the later hours placed by the attributes."""
