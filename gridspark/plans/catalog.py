@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import expr, geo, met, stats, times, units
@@ -60,16 +60,17 @@ def event_cube(spark: SparkSession, sf_dir: str, dense: bool = True, hours: tupl
     """
     raw = load(spark, sf_dir, "events")
     e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).filter(F.col("ts").isNotNull() & F.col("event_type").isNotNull())
-    first, last, kinds_n = e.agg(F.unix_micros(F.date_trunc("day", F.min("ts"))), F.unix_micros(F.date_trunc("day", F.max("ts"))), F.count_distinct("event_type")).first()
-    first, n_hours = first or 0, (last - first) // 3_600_000_000 + 24 if kinds_n else 0
+    # names of kinds are as few as the dimension is long
+    first, last, kinds = e.agg(F.unix_micros(F.date_trunc("day", F.min("ts"))), F.unix_micros(F.date_trunc("day", F.max("ts"))), F.array_sort(F.collect_set("event_type"))).first()
+    first, n_hours = first or 0, (last - first) // 3_600_000_000 + 24 if kinds else 0
     hour = F.floor((F.unix_micros("ts") - F.lit(first)) / 3_600_000_000).cast("int")
-    kinds = e.select("event_type").distinct().withColumn(idx("etype"), (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int"))
     if hours:
         low, high = (F.timestamp_micros(F.lit(first + h * 3_600_000_000)).cast(raw.schema["ts"].dataType) for h in hours)
         e = raw.filter((F.col("ts") >= low) & (F.col("ts") < high) & F.col("event_type").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp"))
     cells = e.groupBy(hour.alias(idx("hour")), "event_type").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
-    rows = cells.join(F.broadcast(kinds), "event_type")
-    return Dataset.from_frame(rows, {"hour": n_hours, "etype": kinds_n}, ["v", "n"], {"title": "events"}, {"v": {"units": "ppb"}, "n": {"units": "1"}}, dense=not dense)
+    place = F.array_position(F.array(*[F.lit(k) for k in kinds]).cast("array<string>"), F.col("event_type")) - 1
+    rows = cells.withColumn(idx("etype"), place.cast("int"))
+    return Dataset.from_frame(rows, {"hour": n_hours, "etype": len(kinds)}, ["v", "n"], {"title": "events"}, {"v": {"units": "ppb"}, "n": {"units": "1"}}, dense=not dense)
 
 
 # h hours and k kinds of event
