@@ -192,10 +192,15 @@ def template(spark: SparkSession, grid: dict, layers: int = 1, steps: int = 1, n
 
 
 def read_aqs(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Hourly station measurements: the mean of each parameter, unit, hour and site."""
+    """Hourly station measurements: the mean of each parameter, unit, hour and site.
+
+    A site is its three codes, filled up to 2, 3 and 4 characters; longer codes stay whole.
+    """
     df = spark.read.csv(path, header=True)
     t = F.to_timestamp(F.concat_ws(" ", "Date GMT", "Time GMT"), "yyyy-MM-dd HH:mm")
-    site = F.concat(F.lpad("State Code", 2, "0"), F.lpad("County Code", 3, "0"), F.lpad("Site Num", 4, "0"))
+    # lpad alone would cut a longer code, and make one site of several
+    code = lambda c, n: F.lpad(c, F.greatest(F.lit(n), F.length(c)), "0")
+    site = F.concat(code("State Code", 2), code("County Code", 3), code("Site Num", 4))
     df = df.withColumns({"time": t, "site": site})
     if start:
         df = df.filter(F.col("time") >= F.lit(start).cast("timestamp"))

@@ -70,6 +70,13 @@ def test_aqs(spark, tmp_path):
     assert len(got) == 1 and abs(got[0].value - 0.03) < 1e-12 and got[0].site == "010030010"
 
 
+def test_aqs_codes_longer_than_usual_stay_apart(spark, tmp_path):
+    head = "State Code,County Code,Site Num,Parameter Name,Units of Measure,Latitude,Longitude,Date GMT,Time GMT,Sample Measurement\n"
+    (tmp_path / "a.csv").write_text(head + "".join(f"{a},{b},{c},Ozone,ppb,1,2,2020-07-01,05:00,{v}\n" for a, b, c, v in ((1, 2, 10001, 1), (1, 2, 10002, 3), (1, 2, 1000, 5), (123, 4567, 7, 7))))
+    got = {r["site"]: r["value"] for r in text.read_aqs(spark, f"file://{tmp_path}/a.csv").collect()}
+    assert got == {"0100210001": 1, "0100210002": 3, "010021000": 5, "12345670007": 7}
+
+
 def test_average_files(spark, tmp_path):
     rng = np.random.default_rng(3)
     for k in range(2):
