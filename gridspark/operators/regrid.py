@@ -163,17 +163,24 @@ def remap_columns(old: DataFrame, new: DataFrame, by: list[str], values: list[st
     shares = column_overlaps(old, new, by, layer, lower, upper)
     held = old.select(*by, F.col(layer).cast("int").alias("old__"), *values)
     sums = [div(F.sum(F.col(v) * F.col("thick__")), F.sum(F.when(F.col(v).isNotNull(), F.col("thick__")))).alias(v) for v in values]
-    means = shares.join(held, [*by, "old__"]).groupBy(*by, F.col("new__").alias(layer)).agg(*sums)
-    return new.select(*by, F.col(layer).cast("int").alias(layer)).join(means, [*by, layer], "left")
+    # merged: planners don't see how many layers a column has, and would broadcast what the driver can't hold
+    means = shares.join(held.hint("merge"), [*by, "old__"]).groupBy(*by, F.col("new__").alias(layer)).agg(*sums)
+    return new.select(*by, F.col(layer).cast("int").alias(layer)).join(means.hint("merge"), [*by, layer], "left")
 
 
-def hybrid_edges(columns: DataFrame, a: list[float], b: list[float], pressure: str, layer: str = "layer", lower: str = "lower", upper: str = "upper") -> DataFrame:
-    """Layers of each column between edges a + b * pressure (its surface's): a row a column and layer."""
+def hybrid_at(cells: DataFrame, a: list[float], b: list[float], pressure: str, layer: str = "layer", lower: str = "lower", upper: str = "upper") -> DataFrame:
+    """Cells with the edges a + b * pressure (their surface's) of their own layer; masked where there is no such layer."""
     if len(a) != len(b):
         raise ValueError("as many a as b")
-    p = F.col(pressure)
-    edges = F.array(*[F.lit(float(x)) + F.lit(float(y)) * p for x, y in zip(a, b, strict=True)])
-    return columns.withColumn("e__", edges).withColumn(layer, F.explode(F.sequence(F.lit(0), F.lit(len(a) - 2)))).withColumns({lower: F.get("e__", F.col(layer)), upper: F.get("e__", F.col(layer) + 1)}).drop("e__")
+    of = lambda values, k: F.get(F.array(*[F.lit(float(x)) for x in values]), k)
+    edge = lambda k: of(a, k) + of(b, k) * F.col(pressure)
+    k = F.when(F.col(layer).between(0, len(a) - 2), F.col(layer))
+    return cells.withColumns({lower: edge(k), upper: edge(k + 1)})
+
+
+def hybrid_edges(columns: DataFrame, a: list[float], b: list[float], pressure: str, layer: str = "layer", lower: str = "lower", upper: str = "upper") -> DataFrame:
+    """Layers of each column between edges a + b * pressure (its surface's): a row a column and layer."""
+    return hybrid_at(columns.withColumn(layer, F.explode(F.sequence(F.lit(0), F.lit(len(a) - 2)))), a, b, pressure, layer, lower, upper)
 
 
 def interpolate_points(ds: Dataset, name: str, coords: dict[str, list[float]], points: dict[str, list[float]], new_dim: str = "POINTS") -> Dataset:

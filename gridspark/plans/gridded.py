@@ -88,9 +88,9 @@ SELECT vec__i, layer, round(m, 6) AS v FROM new LEFT JOIN (SELECT vec__i, layer,
 def q_remap_columns(spark, sf_dir):
     """Each column's hybrid layers, whose pressures follow its own surface, to ten sigma layers of that surface."""
     cells = vectors(spark, sf_dir).to_frame().withColumnRenamed("k__i", "layer")
-    ps = F.expr(f"cast({_PS} as double)").alias("ps")
-    columns = cells.select("vec__i").distinct().select("vec__i", ps)
-    old = regrid.hybrid_edges(columns, _A, _B, "ps").join(cells, ["vec__i", "layer"])
+    ps = F.expr(f"cast({_PS} as double)")
+    columns = cells.select("vec__i").distinct().withColumn("ps", ps)
+    old = regrid.hybrid_at(cells.withColumn("ps", ps), _A, _B, "ps")
     new = regrid.hybrid_edges(columns, [50 * j / 10 for j in range(11)], [1 - j / 10 for j in range(11)], "ps")
     return r6(regrid.remap_columns(old, new, ["vec__i"], ["v"]), "v")
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridspark.operators import extract, regrid
 
@@ -33,6 +34,26 @@ def test_overlaps(spark):
     assert regrid.remap_columns(o.limit(0), n, ["c"], ["v"]).filter("v IS NOT NULL").count() == 0
 
 
+def test_nothing_is_broadcast_that_grows_with_the_columns(spark):
+    """Column counts look small to a planner that doesn't know their layers."""
+    rows = spark.range(3000).selectExpr("cast(id as int) c", "900.0 + id % 90 AS ps")
+    a, b = [0.0] * 41, [1 - k / 40 for k in range(41)]
+    old = regrid.hybrid_edges(rows, a, b, "ps").withColumn("v", F.col("layer") * 1.0)
+    new = regrid.hybrid_edges(rows.distinct(), a[:11], [1 - j / 10 for j in range(11)], "ps")
+    out = regrid.remap_columns(old, new, ["c"], ["v"])
+    assert {r["layer"]: round(r["v"], 9) for r in out.groupBy("layer").agg(F.max("v").alias("v")).collect()} == {j: 4 * j + 1.5 for j in range(10)}
+    assert out.count() == 30000
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_edges_of_cells(spark):
+    cells = spark.createDataFrame([(0, -1), (0, 0), (0, 1), (0, 2), (0, None)], "c int, layer int").withColumn("ps", F.lit(100.0))
+    got = [(r["layer"], r["lower"], r["upper"]) for r in regrid.hybrid_at(cells, [0.0, 10.0, 20.0], [1.0, 0.5, 0.0], "ps").collect()]
+    assert got == [(-1, None, None), (0, 100.0, 60.0), (1, 60.0, 20.0), (2, None, None), (None, None, None)]
+
+
 def test_conserves(spark):
     """What a column holds stays, where both reach equally far."""
     rows = spark.range(50).selectExpr("cast(id as int) c", "900.0 + id AS ps")
