@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts and benchmark items become TF-IDF passages over hashed words.  A
-distributed randomised SVD of a bounded sample of passages with all items gives
+distributed randomised SVD of all passages with all items gives
 a latent space; every passage of every document is compared with every item
 there by cosine.  Also taken, whatever the cosine, is every passage around which
 half of an item's telling words stand, from an exact inverted index of these words.
@@ -26,9 +26,9 @@ BUCKETS_LOG2 = 16
 #: Directions of the latent space: an item in sixteen, within these bounds.
 RANKS = (64, 256)
 HALF = 16  # words; a passage is two halves, and passages overlap by one
-#: The space is fitted on all items and about so many documents; every passage is then searched.
-SAMPLE_DOCS = 4000
-FIT_TASKS = 4  # each sends an array over all buckets
+#: The space is fitted on all documents and items, by a task for so many words (at least one a core): each sends an array over all buckets.
+FIT_WORDS = 40_000_000
+GROUP = 8  # words of a bucket summed at once
 ITEMS = 4000  # items a pass over the documents
 #: Cosine from which a passage is near an item: COSINE, or for items far shorter than a passage SHORT times the
 #: root of their share of it.  Measured (README): each finds 0.9 or more of planted items, also with 40 % of the words changed.
@@ -42,7 +42,7 @@ ANSWER = 0.5
 class Space:
     idf: np.ndarray
     basis: np.ndarray  # buckets x rank, rows scaled by idf
-    values: np.ndarray  # singular values
+    values: np.ndarray  # of the sketch, by direction
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,77 +88,118 @@ def passages(vectors: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[
     return sums + nexts, doc
 
 
-def sample_of(docs: DataFrame) -> tuple[DataFrame, int]:
-    """About SAMPLE_DOCS documents, by a hash of their doc_id, and their number; written once for all fits."""
-    n = docs.count()
-    rows = ids_and_text(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE_DOCS))) == 0)
-    return written(rows.select("text").repartition(FIT_TASKS)), min(n, SAMPLE_DOCS)
+def run_sums(vectors: np.ndarray, rows: np.ndarray, starts: np.ndarray, group: int = HALF) -> np.ndarray:
+    """Sums of the vectors of these rows in runs (none empty) that begin at ``starts``, by groups: small pieces stay in a core's cache."""
+    while True:
+        n = np.diff(np.append(starts, len(rows)))
+        per = -(-n // group)
+        begin = np.concatenate([[0], np.cumsum(per)])
+        first = np.repeat(starts - begin[:-1] * group, per) + np.arange(begin[-1]) * group
+        end = np.repeat(starts + n, per)
+        out = np.empty((len(first), vectors.shape[1]), dtype=vectors.dtype)
+        step = max(1, 8192 // group)
+        for i in range(0, len(first), step):
+            at = first[i : i + step, None] + np.arange(group)
+            some = vectors[rows[np.minimum(at, len(rows) - 1)]]
+            some[at >= end[i : i + step, None]] = 0
+            np.add.reduce(some, axis=1, out=out[i : i + step])
+        if len(out) == len(starts):
+            return out
+        vectors, rows, starts = out, np.arange(len(out)), begin[:-1]
+
+
+def _next_to(sums: np.ndarray, doc: np.ndarray, by: int) -> np.ndarray:
+    """Each half's neighbour ``by`` (1 or -1) halves on in its text, else zeros."""
+    out = np.zeros_like(sums)
+    to, of = (slice(None, -1), slice(1, None)) if by > 0 else (slice(1, None), slice(None, -1))
+    out[to] = sums[of]
+    out[to][doc[1:] != doc[:-1]] = 0
+    return out
+
+
+def texts_of(docs: DataFrame) -> tuple[DataFrame, int]:
+    """All texts, on which the space is fitted, and their number."""
+    return ids_and_text(docs).select("text"), docs.count()
+
+
+sample_of = texts_of  # its name when a part of the texts was taken
 
 
 def rank_of(items: int) -> int:
     return min(max(RANKS[0], items // 16), RANKS[1])
 
 
-def fit(counts: np.ndarray, sample: DataFrame, n: int, items: list[str], rank: int | None = None) -> Space:
-    """The latent space of ``n`` sampled texts and the items: one power iteration from a random start, then the singular values in the found subspace.
+def fit(counts: np.ndarray, texts: DataFrame, n: int, items: list[str], rank: int | None = None) -> Space:
+    """The latent space of ``n`` texts and the items: the range that one power iteration finds from a random start, in one pass over the texts.
 
-    ``counts``: word_counts() of all documents.
+    ``counts``: word_counts() of the documents.
     """
     rank = rank or rank_of(len(items))
+    words = counts.sum()
     own = np.bincount(_bucket(_words(items)[0]), minlength=len(counts)) if items else np.zeros(len(counts))
     counts = counts + own
     idf = np.log1p(counts.sum() / np.maximum(counts, 1)).astype(np.float32)
     idf = idf - min(float(idf.min()), float(idf.max()) - 1)
-    rng = np.random.default_rng(11)
     width = 1 << BUCKETS_LOG2
-    q = rng.normal(size=(width, rank)).astype(np.float32)
+
+    def start() -> np.ndarray:
+        """The same in every task and on the driver, so that it isn't sent."""
+        q = np.random.default_rng(11).standard_normal((width, rank), dtype=np.float32)
+        q *= idf[:, None]
+        return q
 
     def back(texts: list[str], q: np.ndarray, out: np.ndarray, weight: float) -> None:
-        """out += A' (A q) for the passages A of the texts."""
+        """out += weight A' (A q) for the passages A of the texts, without the idf on the left."""
         h, at = _words(texts)
         if not len(h):
             return
         b = _bucket(h)
         starts, doc = _halves(at)
-        y, _ = passages(q[b] * idf[b][:, None], starts, doc)
+        y = run_sums(q, b, starts)
+        y += _next_to(y, doc, 1)
         # each word belongs to its half's passage and the one before
-        half = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(b)]])))
-        before = np.zeros_like(y)
-        same = doc[1:] == doc[:-1]
-        before[1:][same] = y[:-1][same]
-        rows = (y + before)[half] * (idf[b] * weight)[:, None]
-        order = np.argsort(b, kind="stable")
-        names, first = np.unique(b[order], return_index=True)
-        out[names] += np.add.reduceat(rows[order], first, axis=0)
-
-    def times(q: np.ndarray) -> np.ndarray:
-        held = sample.sparkSession.sparkContext.broadcast(q)
-
-        def of(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            out = np.zeros((width, rank), dtype=np.float32)
-            for batch in batches:
-                texts = batch["text"].to_pylist()
-                for a, z in split(texts):
-                    back(texts[a:z], held.value, out, 1.0)
-            return out
+        y += _next_to(y, doc, -1)
+        half = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(b))))
+        order = np.argsort(b.astype(np.uint16), kind="stable")
+        named = b[order]
+        first = np.flatnonzero(np.append(True, named[1:] != named[:-1]))
+        out[named[first]] += run_sums(y, half[order], first, GROUP) * np.float32(weight)
 
-        total = array_sum(sample, of, width * rank, real=True).reshape(width, rank)
-        extra = np.zeros((width, rank), dtype=np.float32)
-        # the items must be told apart: as a whole they weigh as much as the sample
-        back(items, q, extra, max(1.0, 8 * n / max(len(items), 1)))
-        held.unpersist()
-        total += extra
-        return total
+    def of(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        q, out = start(), np.zeros((width, rank), dtype=np.float32)
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for a, z in split(texts, 2_000_000):
+                back(texts[a:z], q, out, 1.0)
+        out *= idf[:, None]
+        return out
 
-    # all in single precision: the driver holds few of these arrays at a time
-    basis, _ = np.linalg.qr(times(q))
-    del q
-    gram = (basis.T @ times(basis)).astype(np.float64)
-    values, turn = np.linalg.eigh((gram + gram.T) / 2)
-    basis = basis @ turn[:, ::-1].astype(np.float32)
-    basis *= idf[:, None]
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, int(-(-words // FIT_WORDS)))
+    total = array_sum(texts.coalesce(tasks), of, width * rank, real=True).reshape(width, rank)
+    extra = np.zeros_like(total)
+    # the items must be told apart: as a whole they weigh as much as the texts
+    back(items, start(), extra, max(1.0, 8 * n / max(len(items), 1)))
+    extra *= idf[:, None]
+    total += extra
+    del extra
+    values = orthonormal(total)
+    total *= idf[:, None]
     trim()
-    return Space(idf, basis, np.sqrt(np.maximum(values[::-1], 0)))
+    return Space(idf, total, values)
+
+
+def orthonormal(y: np.ndarray) -> np.ndarray:
+    """Turns the columns, in place, into orthonormal ones of the same range (zeros beyond it), the greatest first; gives their singular values.
+
+    By blocks of rows, so that the driver holds no second array of this size.
+    """
+    blocks = [slice(i, i + 4096) for i in range(0, len(y), 4096)]
+    corner = np.linalg.qr(np.vstack([np.linalg.qr(y[b].astype(np.float64), mode="r") for b in blocks]), mode="r")
+    _, values, turn = np.linalg.svd(corner)
+    turn = turn.T / np.where(values > 1e-7 * values[0], values, np.inf)
+    for b in blocks:
+        y[b] = y[b] @ turn
+    return values
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:
@@ -217,7 +258,8 @@ class Searcher:
         if not len(h) or not len(self.ids):
             return
         starts, doc = _halves(at)
-        p, doc = passages(self.space.basis[_bucket(h)], starts, doc)
+        p = run_sums(self.space.basis, _bucket(h), starts)
+        p += _next_to(p, doc, 1)
         p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
         # an item's answer needs its telling words around the passage; they are rare, so their places are few
         hits = np.flatnonzero(self.telling_bucket[_bucket(h)])
@@ -233,12 +275,10 @@ class Searcher:
         hit = np.concatenate([[0], np.cumsum(np.bincount(half, minlength=len(starts)) > 0)])
         all_rows = np.arange(len(starts))
         some = np.flatnonzero(hit[np.minimum(all_rows + self.reach, len(starts) - 1) + 1] > hit[np.maximum(all_rows - self.reach, 0)])
-        at_row, columns = np.nonzero(p[some] @ self.matrix.T >= self.least)
-        rows = some[at_row]
-        lo, hi = np.maximum(rows - self.reach, 0), np.minimum(rows + self.reach, len(starts))
-        found = np.searchsorted(places, columns * wide + hi, side="right") - np.searchsorted(places, columns * wide + lo, side="left")
-        told = found >= self.told[columns]
-        taken = set(zip(rows[told].tolist(), columns[told].tolist(), strict=True))
+        near = p[some] @ self.matrix.T >= self.least
+        near &= self._told(places // wide, places % wide, len(starts))[some]
+        at_row, columns = np.nonzero(near)
+        taken = set(zip(some[at_row].tolist(), columns.tolist(), strict=True))
 
         def around(first: int, last: int, c: int) -> np.ndarray:
             d = doc[first]
@@ -254,6 +294,19 @@ class Searcher:
                 if (r, c) not in taken:
                     yield doc[r], c, around(r, r, c)
 
+    def _told(self, item: np.ndarray, half: np.ndarray, n: int) -> np.ndarray:
+        """Of ``n`` passages and all item rows: whether enough of the item's telling words stand within reach, from the words' places in order."""
+        out = np.zeros((n, len(self.ids)), dtype=bool)
+        end = np.arange(len(item)) + self.told[item] - 1
+        j = np.flatnonzero(end < len(item))
+        j = j[item[end[j]] == item[j]]
+        lo, hi = np.maximum(half[end[j]] - self.reach, 0), np.minimum(half[j] + self.reach, n - 1)
+        j, lo, hi = (x[lo <= hi] for x in (j, lo, hi))
+        length = hi - lo + 1
+        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(length)])[:-1], length) + np.arange(length.sum())
+        out[rows, np.repeat(item[j], length)] = True
+        return out
+
     def _indexed(self, item: np.ndarray, half: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(first passage, last passage, item row): all passages around which enough of the item's telling words stand, from the words' places in order."""
         end = np.arange(len(item)) + self.told[item] - 1
@@ -312,10 +365,10 @@ def matched(docs: DataFrame, benchmark: DataFrame, items_name: str = "items", sh
     The two names must not be columns of docs.  Null texts hold nothing; equal
     texts hold the same; without items, or with items without words, nothing is
     found.  What is known of the documents is counted once, whatever the number
-    of blocks of items.  Each block is one pass over the texts alone; what is found
-    is joined with the rows by two hashes of the text.
+    of blocks of items.  Each block is two passes over the texts alone, one to fit
+    its space and one to search; what is found is joined with the rows by two hashes of the text.
     """
-    counts = sample = None
+    counts = None
     text = F.coalesce(docs["text"], F.lit(""))
     keys = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
     texts = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), text.alias("text"))
@@ -324,8 +377,8 @@ def matched(docs: DataFrame, benchmark: DataFrame, items_name: str = "items", sh
         if not items:
             continue
         if counts is None:
-            counts, (sample, n) = word_counts(docs), sample_of(docs)
-        held = docs.sparkSession.sparkContext.broadcast((fit(counts, sample, n, [t for _, t in items]), items))
+            counts, (whole, n) = word_counts(docs), texts_of(docs)
+        held = docs.sparkSession.sparkContext.broadcast((fit(counts, whole, n, [t for _, t in items]), items))
         # copies of a text find the same
         some = written(texts.mapInArrow(_search(held), "k1 long, k2 long, items array<long>, share double").dropDuplicates(["k1", "k2"]))
         found = some if found is None else found.unionByName(some)

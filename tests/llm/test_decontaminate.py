@@ -75,3 +75,34 @@ def test_odd_rows(spark):
     assert D.matched(odd_docs(spark, TEXTS), items, "found_items", "best_share").filter("size(found_items) = 0").count() == len(TEXTS)
     assert D.matched(odd_docs(spark, []), items, "found_items", "best_share").count() == 0
     assert D.matched(odd_docs(spark, TEXTS), _items(spark, []), "found_items", "best_share").count() == len(TEXTS)
+
+
+def test_space_comes_from_all_documents(spark):
+    """The fitted range is that of every passage and item, by plain matrices."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"v{i}" for i in range(150)]
+    texts = [" ".join(vocabulary[k] for k in rng.integers(0, 150, rng.integers(0, 60))) for _ in range(9000)]
+    items = [" ".join(vocabulary[k] for k in rng.integers(0, 150, 20)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    counts, (whole, n) = D.word_counts(docs), D.texts_of(docs)
+    space = D.fit(counts, whole, n, items, rank=6)
+    h, at = D._words(texts + items)
+    names, b = np.unique(D._bucket(h), return_inverse=True)
+    starts, doc = D._halves(at)
+    a, _ = D.passages(np.eye(len(names))[b] * space.idf[names], starts, doc)
+    q = np.random.default_rng(11).standard_normal((1 << D.BUCKETS_LOG2, 6), dtype=np.float32)[names].astype(np.float64)
+    weight = np.where(doc < len(texts), 1.0, 8 * len(texts) / len(items))
+    want, _ = np.linalg.qr(a.T @ (weight[:, None] * (a @ q)))
+    idf = space.idf[names][:, None]
+    got = np.divide(space.basis[names], idf, out=np.zeros((len(names), 6)), where=idf > 0)
+    assert n == 9000 and np.allclose(got.T @ got, np.eye(6), atol=1e-4)
+    assert np.allclose(got @ got.T, want @ want.T, atol=1e-3)
+
+
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=12), st.integers(2, 9))
+@settings(max_examples=100, deadline=None)
+def test_run_sums(lengths, group):
+    rng = np.random.default_rng(sum(lengths))
+    rows, vectors = rng.integers(0, 30, sum(lengths)), rng.integers(0, 99, (30, 3)).astype(np.float64)
+    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    assert (D.run_sums(vectors, rows, starts, group) == np.add.reduceat(vectors[rows], starts, axis=0)).all()
