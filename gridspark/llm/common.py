@@ -120,6 +120,37 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and label (0 or 1) of the rows that models learn from."""
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    return rows.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).filter(~held_out())
+
+
+#: Bits of the map in which a doc_id is looked up before its text is shuffled.
+MAP_BITS = 1 << 25
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids, and few others: a bitmap of hashes of one size tells; it spares the texts of other rows the shuffle."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    bits = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    own = docs.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "bucket")
+    return own.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*docs.columns)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """Every learnable row with a text that isn't empty: label, text, its bytes and its hash h; ``at`` deals out rows, copies too.
+
+    A doc_id's equal labels are one; texts meet labels by a shuffle, whatever the tables' sizes.
+    """
+    known = learnable(labels, label).distinct()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter((F.octet_length("text") > 0) & ~held_out())
+    own = among(own, known).withColumns({"bytes": F.octet_length("text"), "h": F.xxhash64("text"), "at": F.xxhash64("doc_id", "text")})
+    return own.join(known.hint("shuffle_hash"), "doc_id").select("label", "text", "bytes", "h", "at")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """At most ``per_class`` learnable texts of each label, and how many learnable labels there are.
 
@@ -128,7 +159,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     (a text is taken whole or not at all).  The picked ids are broadcast: at most
     four times ``per_class`` a label.
     """
-    rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).filter(~held_out())
+    rows = learnable(labels, label)
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     picked = None
     for k in (0, 1):
@@ -146,12 +177,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weights of a logistic regression (the last is the constant) by Newton's method."""
     a = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(a.shape[1])
+    return newton(lambda w: logistic_sums(a, y, w), a.shape[1], ridge)
+
+
+def logistic_sums(a: np.ndarray, y: np.ndarray, w: np.ndarray, n: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature at ``w`` over rows that each count ``n`` times."""
+    p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+    return a.T @ (n * (p - y)), (a * (n * (p * (1 - p) + 1e-9))[:, None]).T @ a
+
+
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], k: int, ridge: float = 1e-2) -> np.ndarray:
+    """The ``k`` weights at which the gradient of logistic_sums() over all rows, and the ridge's, vanish."""
+    w = np.zeros(k)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + ridge * w
-        h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge * np.eye(len(w))
-        d = np.linalg.solve(h, g)
+        g, h = sums(w)
+        d = np.linalg.solve(h + ridge * np.eye(k), g + ridge * w)
         w -= np.clip(d, -5, 5)
         if np.abs(d).max() < 1e-8:
             break
