@@ -28,7 +28,8 @@ RANKS = (64, 256)
 HALF = 16  # words; a passage is two halves, and passages overlap by one
 #: The space is fitted on all documents and items, by a task for so many words (at least one a core): each sends an array over all buckets.
 FIT_WORDS = 40_000_000
-GROUP = 8  # words of a bucket summed at once
+GROUP = 64  # words of a bucket summed at once
+BLOCK = 1 << 17  # numbers of the sums that are worked on at once
 ITEMS = 4000  # items a pass over the documents
 #: Cosine from which a passage is near an item: COSINE, or for items far shorter than a passage SHORT times the
 #: root of their share of it.  Measured (README): each finds 0.9 or more of planted items, also with 40 % of the words changed.
@@ -89,23 +90,40 @@ def passages(vectors: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[
 
 
 def run_sums(vectors: np.ndarray, rows: np.ndarray, starts: np.ndarray, group: int = HALF) -> np.ndarray:
-    """Sums of the vectors of these rows in runs (none empty) that begin at ``starts``, by groups: small pieces stay in a core's cache."""
-    while True:
-        n = np.diff(np.append(starts, len(rows)))
-        per = -(-n // group)
-        begin = np.concatenate([[0], np.cumsum(per)])
-        first = np.repeat(starts - begin[:-1] * group, per) + np.arange(begin[-1]) * group
-        end = np.repeat(starts + n, per)
-        out = np.empty((len(first), vectors.shape[1]), dtype=vectors.dtype)
-        step = max(1, 8192 // group)
-        for i in range(0, len(first), step):
-            at = first[i : i + step, None] + np.arange(group)
-            some = vectors[rows[np.minimum(at, len(rows) - 1)]]
-            some[at >= end[i : i + step, None]] = 0
-            np.add.reduce(some, axis=1, out=out[i : i + step])
-        if len(out) == len(starts):
-            return out
-        vectors, rows, starts = out, np.arange(len(out)), begin[:-1]
+    """Sums of the vectors of these rows in runs (none empty) that begin at ``starts``.
+
+    Runs are cut into pieces of ``group`` rows.  Blocks of pieces, the longest first, add
+    up their first rows, their second ones and so on: each row is read once, and the sums
+    of a block stay in a core's cache.
+    """
+    n = np.diff(np.append(starts, len(rows)))
+    per = -(-n // group)
+    begin = np.concatenate([[0], np.cumsum(per)])
+    first = np.repeat(starts - begin[:-1] * group, per) + np.arange(begin[-1]) * group
+    size = np.minimum(np.repeat(starts + n, per) - first, group)
+    order = np.argsort((group - size).astype(np.uint16), kind="stable")
+    width = vectors.shape[1]
+    out = np.empty((len(first), width), dtype=vectors.dtype)
+    step = max(64, BLOCK // width)
+    total, more = (np.empty((min(step, len(first)), width), dtype=vectors.dtype) for _ in range(2))
+    for i in range(0, len(first), step):
+        own = order[i : i + step]
+        at, left = first[own], size[own]
+        k = len(own)
+        np.take(vectors, rows[at], axis=0, out=total[:k], mode="clip")
+        longer = k - np.searchsorted(left[::-1], np.arange(1, left[0]), side="right")
+        for j, k in enumerate(longer.tolist(), 1):
+            np.take(vectors, rows[at[:k] + j], axis=0, out=more[:k], mode="clip")
+            total[:k] += more[:k]
+        out[own] = total[: len(own)]
+    if len(out) == len(starts):
+        return out
+    sums = out[begin[:-1]]
+    cut = np.flatnonzero(per > 1)
+    ends = np.cumsum(per[cut])
+    pieces = np.repeat(begin[cut] - (ends - per[cut]), per[cut]) + np.arange(ends[-1])
+    sums[cut] = run_sums(out, pieces, ends - per[cut], group)
+    return sums
 
 
 def _next_to(sums: np.ndarray, doc: np.ndarray, by: int) -> np.ndarray:
@@ -277,7 +295,7 @@ class Searcher:
         some = np.flatnonzero(hit[np.minimum(all_rows + self.reach, len(starts) - 1) + 1] > hit[np.maximum(all_rows - self.reach, 0)])
         near = p[some] @ self.matrix.T >= self.least
         near &= self._told(places // wide, places % wide, len(starts))[some]
-        at_row, columns = np.nonzero(near)
+        at_row, columns = np.divmod(np.flatnonzero(near), near.shape[1])
         taken = set(zip(some[at_row].tolist(), columns.tolist(), strict=True))
 
         def around(first: int, last: int, c: int) -> np.ndarray:
